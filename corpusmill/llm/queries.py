@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, token_files
+from . import decontaminate, mixing, suffix_array, suffix_tree, token_files
 
 QUERIES = {
+    "op2_linear_grouping": suffix_array.op2_linear_grouping,
+    "op5_prefix_trees": suffix_tree.op5_prefix_trees,
     "op7_elias_fano": token_files.op7_elias_fano,
     "op9_suffix_arrays": decontaminate.op9_suffix_arrays,
     "op10_water_filling": mixing.op10_water_filling,
