@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, suffix_array, suffix_tree, token_files
+from . import decontaminate, minhash, mixing, quality, suffix_array, suffix_tree, token_files
 
 QUERIES = {
     "op2_linear_grouping": suffix_array.op2_linear_grouping,
+    "op4_hashed_lr": quality.op4_hashed_lr,
     "op5_prefix_trees": suffix_tree.op5_prefix_trees,
     "op7_elias_fano": token_files.op7_elias_fano,
+    "op8_circulant": minhash.op8_circulant,
     "op9_suffix_arrays": decontaminate.op9_suffix_arrays,
     "op10_water_filling": mixing.op10_water_filling,
 }
