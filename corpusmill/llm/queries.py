@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, mixing, quality, suffix_array, suffix_tree, token_files
+from . import decontaminate, html_text, minhash, mixing, quality, suffix_array, suffix_tree, token_files
 
 QUERIES = {
     "op2_linear_grouping": suffix_array.op2_linear_grouping,
+    "op3_style_tree": html_text.op3_style_tree,
     "op4_hashed_lr": quality.op4_hashed_lr,
     "op5_prefix_trees": suffix_tree.op5_prefix_trees,
     "op7_elias_fano": token_files.op7_elias_fano,
