@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, minhash, mixing, quality, suffix_array, suffix_tree, token_files
+from . import chat, decontaminate, html_text, minhash, mixing, quality, revisits, suffix_array, suffix_tree, token_files
 
 QUERIES = {
+    "op1_perspectives": chat.op1_perspectives,
     "op2_linear_grouping": suffix_array.op2_linear_grouping,
     "op3_style_tree": html_text.op3_style_tree,
     "op4_hashed_lr": quality.op4_hashed_lr,
     "op5_prefix_trees": suffix_tree.op5_prefix_trees,
+    "op6_revisits": revisits.op6_revisits,
     "op7_elias_fano": token_files.op7_elias_fano,
     "op8_circulant": minhash.op8_circulant,
     "op9_suffix_arrays": decontaminate.op9_suffix_arrays,
     "op10_water_filling": mixing.op10_water_filling,
 }
-SQL = {"op10_water_filling": mixing.SQL}
+SQL = {"op1_perspectives": chat.SQL, "op6_revisits": revisits.SQL, "op10_water_filling": mixing.SQL}
