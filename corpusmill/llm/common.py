@@ -64,7 +64,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn, schema: str, rows: int = 1000) -> DataFrame:
+def arrow_map(df: DataFrame, fn, schema, rows: int = 1000) -> DataFrame:
     """mapInArrow with the package shipped and batches of a bounded number of rows."""
     spark = df.sparkSession
     ship(spark)

@@ -221,10 +221,24 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WIND
     return every.groupBy("item_id", "item_pos").agg(best).select("item_id", "item_pos", (-F.col("b.less")).alias("length"), "b.doc_id", "b.doc_pos")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs without those that hold a benchmark window; all columns stay. A doc_id shared by rows goes if any of them does."""
-    bad = contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def _clean(b: Benchmark):
+    def run(batches):
+        for rb in batches:
+            docs = [[b.vocab.get(w, 0) for w in words_of(text)] for text in utf8(rb.column("text"))]
+            sa = SuffixArray(docs, b)
+            places = np.concatenate([np.zeros(0, np.int64), *(sa.order[lo:hi] for lo, hi in zip(sa.low.tolist(), sa.high.tolist()) if hi > lo)])
+            keep = np.ones(rb.num_rows, bool)
+            keep[np.searchsorted(sa.starts, places, "right") - 1] = False
+            yield rb.filter(pa.array(keep))
+
+    return run
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of docs that hold no benchmark window, without a shuffle; all columns stay, whatever their names. A batch of rows is a shard here."""
+    for block in _blocks(benchmark, block_bytes):
+        docs = arrow_map(docs, _clean(Benchmark(block, window)), docs.schema)
+    return docs
 
 
 def op9_suffix_arrays(spark, sf_dir: str) -> DataFrame:
