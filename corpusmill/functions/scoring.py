@@ -17,40 +17,43 @@ def unit(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
-def _pairs(text: Column, tag: str) -> Column:
-    t = re.escape(tag)
-    return F.regexp_extract_all(text, F.lit(rf"(?s)<{t}>(.*?)</{t}>"), F.lit(1))
+def _once(value: Column, use) -> Column:
+    """use(value) with value computed once for each row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+_LAST = vocab.OUTER_TAGS[-1]
+_OPENING = rf"(?s)<{_LAST}>\s*{re.escape(vocab.PLACEHOLDER)}\s*$"
+_SPECS = [(t, t, None) for t in vocab.OUTER_TAGS] + [(f"{t}.{i}", t, i) for t in vocab.OUTER_TAGS for i in vocab.INNER_TAGS.get(t, ())]
+
+
+def _found(text: Column, tag: Column) -> Column:
+    return F.regexp_extract_all(text, F.concat(F.lit("(?s)<"), tag, F.lit(">(.*?)</"), tag, F.lit(">")), F.lit(1))
 
 
 def tag_report(text: Column) -> Column:
     """missing, empty, duplicate tags (inner ones as stage.tag), whether the outer ones are in order, and whether the last image tag is open at the end."""
     t = F.coalesce(text, F.lit(""))
-    missing, empty, duplicate, places = [], [], [], []
-    last = vocab.OUTER_TAGS[-1]
-    opening = rf"(?s)<{last}>\s*{re.escape(vocab.PLACEHOLDER)}\s*$"
-    is_open = (F.size(_pairs(t, last)) == 0) & t.rlike(opening)
-    for tag in vocab.OUTER_TAGS:
-        found = _pairs(t, tag)
-        absent = F.size(found) == 0
-        here = F.locate(f"<{tag}>", t)
-        if tag == last:
-            absent = absent & ~is_open
-            here = F.when(is_open, F.regexp_instr(t, F.lit(opening))).otherwise(here)
-        missing.append(F.when(absent, tag))
-        empty.append(F.when((F.size(found) > 0) & (T.clean(F.get(found, F.lit(0))) == ""), tag))
-        duplicate.append(F.when(F.size(found) > 1, tag))
-        places.append(F.when(~absent, here))
-        for inner in vocab.INNER_TAGS.get(tag, ()):
-            name = f"{tag}.{inner}"
-            in_stage = _pairs(F.coalesce(F.get(found, F.lit(0)), F.lit("")), inner)
-            missing.append(F.when(F.size(in_stage) == 0, name))
-            empty.append(F.when((F.size(in_stage) > 0) & (T.clean(F.get(in_stage, F.lit(0))) == ""), name))
-            duplicate.append(F.when(F.size(in_stage) > 1, name))
-    ordered = F.lit(True)
-    for a, b in zip(places, places[1:]):
-        ordered = ordered & (a < b)
-    some = lambda x: F.filter(F.array(*x), lambda y: y.isNotNull())
-    return F.struct(some(missing).alias("missing"), some(empty).alias("empty"), some(duplicate).alias("duplicate"), F.coalesce(ordered, F.lit(False)).alias("order_ok"), is_open.alias("open_end"))
+    is_open = ~F.contains(t, F.lit(f"</{_LAST}>")) & t.rlike(_OPENING)
+    specs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(o).alias("outer"), F.lit(i).cast("string").alias("inner")) for n, o, i in _SPECS])
+
+    def look(x: Column) -> Column:
+        scope = F.when(x["inner"].isNull(), t).otherwise(F.coalesce(F.get(_found(t, x["outer"]), F.lit(0)), F.lit("")))
+        end = is_open & (x["name"] == _LAST)
+        at = F.when(end, F.regexp_instr(t, F.lit(_OPENING))).otherwise(F.instr(t, F.concat(F.lit("<"), x["outer"], F.lit(">"))))
+        found = lambda f: F.struct(
+            x["name"].alias("name"), x["inner"].isNull().alias("is_outer"), F.when(end, 1).otherwise(F.size(f)).alias("n"),
+            F.when(end, vocab.PLACEHOLDER).otherwise(T.clean(F.get(f, F.lit(0)))).alias("first"), at.alias("at"),
+        )
+        return _once(_found(scope, F.coalesce(x["inner"], x["outer"])), found)
+
+    def judge(rows: Column) -> Column:
+        names = lambda keep: F.transform(F.filter(rows, keep), lambda x: x["name"])
+        places = F.transform(F.filter(rows, lambda x: x["is_outer"] & (x["n"] > 0)), lambda x: x["at"])
+        ordered = (F.size(places) == len(vocab.OUTER_TAGS)) & (F.array_sort(F.array_distinct(places)) == places)
+        return F.struct(names(lambda x: x["n"] == 0).alias("missing"), names(lambda x: (x["n"] > 0) & (x["first"] == "")).alias("empty"), names(lambda x: x["n"] > 1).alias("duplicate"), ordered.alias("order_ok"), is_open.alias("open_end"))
+
+    return _once(F.transform(specs, look), judge)
 
 
 N_TAGS = len(vocab.OUTER_TAGS) + sum(map(len, vocab.INNER_TAGS.values()))
@@ -58,31 +61,38 @@ N_TAGS = len(vocab.OUTER_TAGS) + sum(map(len, vocab.INNER_TAGS.values()))
 
 def format_score(text: Column, n_images: Column, expected: int = 3, require_images: bool = True) -> Column:
     """score, ok, text_score, image_score, problems of the staged format. n_images may be null (not decoded)."""
-    r = tag_report(text)
     marks = T.placeholders(text)
     near = lambda n: F.greatest(F.lit(0.0), 1.0 - F.abs(n - expected) / float(expected))
-    mark_score = near(marks)
     images_ok = F.coalesce(n_images == expected, F.lit(False)) if require_images else F.coalesce(n_images == expected, marks == expected)
-    tag_score = F.greatest(F.lit(0.0), (N_TAGS - F.size(r["missing"]) - F.size(r["empty"])) / float(N_TAGS))
-    penalty = F.least(F.lit(0.20), 0.04 * F.size(r["duplicate"]))
-    text_score = F.greatest(F.lit(0.0), 0.75 * tag_score + 0.15 * r["order_ok"].cast("double") + 0.10 * mark_score - penalty)
-    image_score = F.when(images_ok, 1.0).otherwise(F.coalesce(near(n_images), F.lit(0.0) if require_images else mark_score))
-    problems = F.concat(r["missing"], F.transform(r["empty"], lambda x: F.concat(F.lit("empty:"), x)), F.transform(r["duplicate"], lambda x: F.concat(F.lit("duplicate:"), x)), F.when(r["order_ok"], F.array().cast("array<string>")).otherwise(F.array(F.lit("tag_order"))))
-    ok = images_ok & (marks == expected) & (F.size(problems) == 0)
-    score = F.when(ok, 1.0).otherwise(unit(0.70 * text_score + 0.30 * image_score))
-    return F.struct(score.alias("score"), ok.alias("ok"), unit(text_score).alias("text_score"), unit(image_score).alias("image_score"), problems.alias("problems"), images_ok.alias("image_count_ok"), marks.alias("placeholders"))
+    image_score = F.when(images_ok, 1.0).otherwise(F.coalesce(near(n_images), F.lit(0.0) if require_images else near(marks)))
+
+    def grade(r: Column) -> Column:
+        tag_score = F.greatest(F.lit(0.0), (N_TAGS - F.size(r["missing"]) - F.size(r["empty"])) / float(N_TAGS))
+        penalty = F.least(F.lit(0.20), 0.04 * F.size(r["duplicate"]))
+        text_score = unit(0.75 * tag_score + 0.15 * r["order_ok"].cast("double") + 0.10 * near(marks) - penalty)
+        named = lambda kind: F.transform(r[kind], lambda x: F.concat(F.lit(f"{kind}:"), x))
+        order = F.filter(F.array(F.when(~r["order_ok"], F.lit("tag_order"))), lambda x: x.isNotNull())
+        problems = F.concat(r["missing"], named("empty"), named("duplicate"), order)
+        ok = images_ok & (marks == expected) & (F.size(problems) == 0)
+        score = F.when(ok, 1.0).otherwise(unit(0.70 * text_score + 0.30 * image_score))
+        return F.struct(score.alias("score"), ok.alias("ok"), text_score.alias("text_score"), image_score.alias("image_score"), problems.alias("problems"), images_ok.alias("image_count_ok"), marks.alias("placeholders"))
+
+    return _once(tag_report(text), grade)
 
 
 def format_gate(text: Column, n_images: Column, expected: int = 3, protocol: Column | None = None) -> Column:
     """score 0 or 1, ok, protocol, problems. The full protocol is strict; the fused-only one wants its opening tags; others fail."""
     p = T.protocol(text) if protocol is None else protocol
-    strict = format_score(text, n_images, expected)
     images_ok = F.coalesce(n_images == expected, F.lit(False))
     lacking = lambda tags: F.filter(F.array(*[F.when(~T.has_open(text, t), t) for t in tags]), lambda x: x.isNotNull())
     loose = F.when(p == "fused_only", lacking(vocab.FUSED_ONLY_TAGS)).otherwise(lacking(("clean_fused_image",)))
-    problems = F.when(p == "full", strict["problems"]).otherwise(loose)
-    ok = F.when(p == "full", strict["ok"]).otherwise((p == "fused_only") & images_ok & (T.placeholders(text) == expected) & (F.size(loose) == 0))
-    return F.struct(ok.cast("double").alias("score"), ok.alias("ok"), p.alias("protocol"), problems.alias("problems"))
+
+    def decide(strict: Column) -> Column:
+        problems = F.when(p == "full", strict["problems"]).otherwise(loose)
+        ok = F.when(p == "full", strict["ok"]).otherwise((p == "fused_only") & images_ok & (T.placeholders(text) == expected) & (F.size(loose) == 0))
+        return F.struct(ok.cast("double").alias("score"), ok.alias("ok"), p.alias("protocol"), problems.alias("problems"))
+
+    return _once(format_score(text, n_images, expected), decide)
 
 
 def coverage(label: Column, text: Column, lexicon: dict = vocab.LEXICON_REWARD) -> Column:
