@@ -45,15 +45,19 @@ def stage_errors(text: Column, stage: str, min_field: int = 12, min_think: int =
 
 def ordered_grammar(text: Column, tags, least: int = 1) -> Column:
     """Codes of a text that should be exactly the tags in order. A tag that does not match leaves the cursor, so later ones still can."""
-    rest, out = T.clean(text), []
-    for tag in tags:
-        pattern = rf"(?s)^\s*<{tag}>(.*?)</{tag}>"
-        hit = rest.rlike(pattern)
-        value = F.regexp_extract(rest, pattern, 1)
-        out += [rule(hit, f"missing_or_out_of_order:{tag}"), F.when(hit & (F.length(T.clean(value)) < least), F.lit(f"short:{tag}")), F.when(hit & value.rlike(r"</?[A-Za-z_][^<>]*>"), F.lit(f"markup:{tag}"))]
-        rest = F.when(hit, F.regexp_replace(rest, pattern, "")).otherwise(rest)
-    out.append(rule(T.clean(rest) == "", "trailing_text"))
-    return errors(*out)
+    nothing = F.array().cast("array<string>")
+
+    def step(acc: Column, tag: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?s)^\s*<"), tag, F.lit(">(.*?)</"), tag, F.lit(">"))
+        value = F.get(F.regexp_extract_all(acc["rest"], pattern, F.lit(1)), F.lit(0))
+        hit = value.isNotNull()
+        code = lambda holds, name: F.when(holds, F.concat(F.lit(name), tag))
+        found = F.array(code(~hit, "missing_or_out_of_order:"), code(hit & (F.length(T.clean(value)) < least), "short:"), code(hit & value.rlike(r"</?[A-Za-z_][^<>]*>"), "markup:"))
+        rest = F.when(hit, F.substr(acc["rest"], F.length(F.regexp_substr(acc["rest"], pattern)) + 1)).otherwise(acc["rest"])
+        return F.struct(rest.alias("rest"), F.concat(acc["errors"], F.filter(found, lambda x: x.isNotNull())).alias("errors"))
+
+    start = F.struct(T.clean(text).alias("rest"), nothing.alias("errors"))
+    return F.aggregate(F.array(*[F.lit(t) for t in tags]), start, step, lambda acc: F.concat(acc["errors"], F.when(T.clean(acc["rest"]) == "", nothing).otherwise(F.array(F.lit("trailing_text")))))
 
 
 def record_errors(min_field: int = 12, min_think: int = 60) -> Column:

@@ -71,7 +71,7 @@ def status_rows(spark: SparkSession, root: str, schema: S.StructType) -> DataFra
 
 def side_texts(spark: SparkSession, root: str, name: str) -> DataFrame:
     """folder, text of the files of that name below root."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root)
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
     return df.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder"), F.col("value").alias("text"))
 
 
@@ -93,7 +93,7 @@ def judge_cache(spark: SparkSession, path: str) -> DataFrame:
 def skip_ids(spark: SparkSession, path: str) -> DataFrame:
     """id: a JSON list, or lines with # comments."""
     if path.endswith(".json"):
-        lines = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "array<string>")).alias("id"))
+        lines = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("id"))
     else:
         lines = spark.read.text(path).select(T.clean(F.substring_index("value", "#", 1)).alias("id"))
     return lines.where("id <> ''").distinct()

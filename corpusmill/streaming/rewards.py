@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 def windowed_rates(stream: DataFrame, *, late: str = "10 minutes", width: str = "1 hour", flag: str = "event_type = 'error'") -> DataFrame:
     """Rows, mean value and share flagged for each window and type; works on a stream or a table."""
     return (
-        stream.withWatermark("ts", late)
+        stream.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", late)
         .groupBy(F.window("ts", width).alias("w"), "event_type")
         .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"), F.avg(F.expr(flag).cast("double")).alias("share"))
         .select(F.col("w.start").alias("window_start"), "event_type", "n", "mean_value", "share")
@@ -19,7 +20,7 @@ def windowed_rates(stream: DataFrame, *, late: str = "10 minutes", width: str =
 
 
 def sessions(stream: DataFrame, *, late: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
-    return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def _runs(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -59,7 +60,7 @@ def judged(rows: DataFrame, judge: Callable[[list[dict]], list[dict]], size: int
                     errors += [f"{type(e).__name__}: {e}"] * len(part)
             yield pdf.assign(judge_raw=raws, judge_error=errors)
 
-    schema = rows.select(*columns, F.lit("").alias("judge_raw"), F.lit("").alias("judge_error")).schema
+    schema = rows.select(*columns, F.lit(None).cast("string").alias("judge_raw"), F.lit("").alias("judge_error")).schema
     return rows.mapInPandas(run, schema)
 
 
