@@ -29,17 +29,19 @@ K = BANDS * ROWS
 UNIVERSE = 1 << 20
 #: Share of equal bytes in two signatures below which a pair is not verified: six standard errors below 0.8.
 ESTIMATE = 0.62
+#: Coordinates of a finer estimate, for documents that a bucket holds in different components, and its bound: five standard errors below 0.8.
+FINE, FINE_ESTIMATE = 1280, 0.74
 
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
-def permutations(seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """The scattering permutation, and all slices of K neighbours of the circular one."""
-    if seed not in _tables:
+def permutations(k: int = K, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The scattering permutation, and all slices of k neighbours of the circular one."""
+    if (k, seed) not in _tables:
         rng = np.random.default_rng(seed)
         scatter, circle = rng.permutation(UNIVERSE), rng.permutation(UNIVERSE).astype(np.uint32)
-        _tables[seed] = scatter, np.lib.stride_tricks.sliding_window_view(np.concatenate([circle, circle[: K - 1]]), K)
-    return _tables[seed]
+        _tables[k, seed] = scatter, np.lib.stride_tricks.sliding_window_view(np.concatenate([circle, circle[: k - 1]]), k)
+    return _tables[k, seed]
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -51,12 +53,12 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return np.unique(roll.grams(words) if len(s) >= words else roll.slices(np.array([0]), np.array([len(s)])))
 
 
-def signature(places: np.ndarray, seed: int = 1) -> np.ndarray:
-    scatter, slices = permutations(seed)
-    at = scatter[places]
-    out = slices[at[:2048]].min(axis=0)
-    for i in range(2048, len(at), 2048):
-        np.minimum(out, slices[at[i : i + 2048]].min(axis=0), out=out)
+def signature(shingle_hashes: np.ndarray, k: int = K) -> np.ndarray:
+    scatter, slices = permutations(k)
+    at = scatter[(shingle_hashes >> np.uint64(44)).astype(np.int64)]
+    out = slices[at[:1024]].min(axis=0)
+    for i in range(1024, len(at), 1024):
+        np.minimum(out, slices[at[i : i + 1024]].min(axis=0), out=out)
     return out
 
 
@@ -71,7 +73,7 @@ def _sets(words: int):
             for doc, text in zip(rb.column("doc").to_pylist(), utf8(rb.column("text"))):
                 s = shingles(text, words)
                 if len(s):
-                    sig = signature((s >> np.uint64(44)).astype(np.int64))
+                    sig = signature(s)
                     bands = mix64(mix64(sig.astype(np.uint64).reshape(BANDS, ROWS) + (lanes << np.uint64(32))).sum(1, dtype=np.uint64)).view(np.int64)
                     row = doc, len(s), int(mix64(s).sum(dtype=np.uint64).view(np.int64)), int(mix64(s ^ np.uint64(BASES[0])).sum(dtype=np.uint64).view(np.int64)), bands, sig.astype(np.uint8).tobytes()
                 else:
@@ -105,40 +107,53 @@ def _verify(words: int, percent: int):
     return run
 
 
+def _fine(words: int):
+    """Rows (doc, text) -> doc and the bytes of its finer signature."""
+    schema = pa.schema([("doc", pa.int64()), ("fine", pa.binary())])
+
+    def run(batches):
+        for rb in batches:
+            yield batch(schema, [rb.column("doc"), [signature(shingles(t, words), FINE).astype(np.uint8).tobytes() for t in utf8(rb.column("text"))]])
+
+    return run
+
+
 def _cross(batches):
-    """Rows (bucket, doc, root, sketch) in runs of one bucket -> pairs of documents of different roots that may be links."""
+    """Rows (bucket, doc, root, bands, fine) in runs of one bucket -> pairs of documents of different roots that may be links. A pair comes from the first band alone that both share."""
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
-    def close(docs, roots, sketches):
+    def close(bucket, docs, roots, bands, fine):
         if len(set(roots)) < 2:
             return [], []
-        d, r, s = np.array(docs), np.array(roots), np.frombuffer(b"".join(sketches), np.uint8).reshape(len(docs), K)
+        d, r, lanes, s = np.array(docs), np.array(roots), np.array(bands), np.frombuffer(b"".join(fine), np.uint8).reshape(len(docs), FINE)
         kinds, of, sizes = np.unique(r, return_inverse=True, return_counts=True)
-        xs, ys = [], []
+        coarse, xs, ys = np.ascontiguousarray(s[:, :K]), [], []
         most = int(sizes.argmax())
         for i in np.flatnonzero(of != most):  # the largest component's members meet all others from their side
-            near = (of != of[i]) & ((of == most) | (np.arange(len(d)) < i))
-            at = np.flatnonzero(near)
+            at = np.flatnonzero((of != of[i]) & ((of == most) | (np.arange(len(d)) < i)))
             for k in range(0, len(at), 8192):
                 part = at[k : k + 8192]
-                hit = part[(s[part] == s[i]).sum(1) >= ESTIMATE * K]
+                part = part[(coarse[part] == coarse[i]).sum(1) >= ESTIMATE * K]
+                part = part[(s[part] == s[i]).sum(1) >= FINE_ESTIMATE * FINE]
+                same = lanes[part] == lanes[i]
+                hit = part[lanes[i][same.argmax(1)] == bucket]
                 xs += [int(d[i])] * len(hit)
                 ys += d[hit].tolist()
         return xs, ys
 
-    held, rows, out = None, ([], [], []), ([], [])
+    held, rows, out = None, ([], [], [], []), ([], [])
     for rb in batches:
-        for bucket, *x in zip(*[rb.column(i).to_pylist() for i in range(4)]):
+        for bucket, *x in zip(*[rb.column(i).to_pylist() for i in range(5)]):
             if bucket != held:
-                for to, more in zip(out, close(*rows)):
+                for to, more in zip(out, close(held, *rows)):
                     to += more
-                held, rows = bucket, ([], [], [])
+                held, rows = bucket, ([], [], [], [])
                 if len(out[0]) > 50_000:
                     yield batch(schema, list(out))
                     out = ([], [])
             for to, y in zip(rows, x):
                 to.append(y)
-    for to, more in zip(out, close(*rows)):
+    for to, more in zip(out, close(held, *rows)):
         to += more
     yield batch(schema, list(out))
 
@@ -152,29 +167,34 @@ def _agreement(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def links(sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """u, v: confirmed links that join all documents which confirmed pairs of a bucket join. sets: one row for each different set."""
-    rows = written(sets.select("doc", "sketch", F.explode("bands").alias("bucket")).withColumn("size", F.count(F.lit(1)).over(W.partitionBy("bucket"))).where("size > 1"), "buckets")
+    # The merge hints keep one plan for all sizes: a side that is small today is not broadcast.
+    rows = sets.select("doc", F.explode("bands").alias("bucket")).withColumn("size", F.count(F.lit(1)).over(W.partitionBy("bucket"))).where("size > 1")
+    rows = written(rows, "buckets")
     central = rows.groupBy("doc").agg(F.sum("size").alias("central"))
-    weighed = rows.select("doc", "bucket").join(central, "doc")
+    weighed = rows.select("doc", "bucket").join(central.hint("merge"), "doc")
     leaders = weighed.groupBy("bucket").agg(F.max(F.struct("central", (-F.col("doc")).alias("least"))).alias("top")).select("bucket", (-F.col("top.least")).alias("y"))
-    stars = rows.select("bucket", F.col("doc").alias("x")).join(leaders, "bucket").where("x <> y").select("x", "y").distinct()
-    sketches = rows.groupBy("doc").agg(F.first("sketch").alias("sketch"))
-    stars = stars.join(sketches.select(F.col("doc").alias("x"), F.col("sketch").alias("sx")), "x").join(sketches.select(F.col("doc").alias("y"), F.col("sketch").alias("sy")), "y")
+    stars = rows.select("bucket", F.col("doc").alias("x")).join(leaders.hint("merge"), "bucket").where("x <> y").select("x", "y").distinct()
+    sketch = lambda doc, name: sets.select(F.col("doc").alias(doc), F.col("sketch").alias(name)).hint("merge")
+    stars = stars.join(sketch("x", "sx"), "x").join(sketch("y", "sy"), "y")
     stars = written(stars.where(_agreement("sx", "sy") >= ESTIMATE).select("x", "y"), "stars")
-    texts = written(docs.join(central.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text")), "candidates")
+    texts = written(docs.join(central.select("doc").hint("merge"), "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text")), "candidates")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        with_x = pairs.join(texts.select(F.col("doc").alias("x"), F.col("text").alias("text_x")), "x")
-        both = with_x.join(texts.select(F.col("doc").alias("y"), F.col("text").alias("text_y")), "y")
+        with_x = pairs.join(texts.select(F.col("doc").alias("x"), F.col("text").alias("text_x")).hint("merge"), "x")
+        both = with_x.join(texts.select(F.col("doc").alias("y"), F.col("text").alias("text_y")).hint("merge"), "y")
         return arrow_map(both.select("y", "text_y", "x", "text_x"), _verify(words, percent), "u long, v long", 200)
 
     first = written(confirmed(stars), "links")
     roots = components(first)
-    rooted = rows.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"), "sketch")
+    rooted = rows.select("bucket", "doc").join(roots.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-    apart = rooted.join(mixed, "bucket", "left_semi").repartition("bucket").sortWithinPartitions("bucket", "doc")
-    more = arrow_map(apart, _cross, "x long, y long", 5000).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    apart = written(rooted.join(mixed.hint("merge"), "bucket", "left_semi"), "apart")
+    fine = arrow_map(texts.join(apart.select("doc").distinct().hint("merge"), "doc", "left_semi").select("doc", "text"), _fine(words), "doc long, fine binary", 500)
+    marked = sets.select("doc", "bands").join(fine.hint("merge"), "doc")
+    apart = apart.join(marked.hint("merge"), "doc").select("bucket", "doc", "root", "bands", "fine").repartition("bucket").sortWithinPartitions("bucket", "doc")
+    more = arrow_map(apart, _cross, "x long, y long", 1000).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     known = stars.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
-    second = confirmed(written(more.join(known, ["x", "y"], "left_anti"), "pairs"))
+    second = confirmed(written(more.join(known.hint("merge"), ["x", "y"], "left_anti"), "pairs"))
     return first.unionAll(second)
 
 
@@ -190,11 +210,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     sets = written(arrow_map(rows, _sets(words), "doc long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary", 500), "sets")
     full = sets.where("n_shingles > 0")
     classes = full.groupBy("s1", "s2").agg(F.min("doc").alias("first"))
-    member = written(full.select("doc", "s1", "s2").join(classes, ["s1", "s2"]).select("doc", "first").distinct(), "members")
-    firsts = full.join(member.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+    member = written(full.select("doc", "s1", "s2").join(classes.hint("merge"), ["s1", "s2"]).select("doc", "first").distinct(), "members")
+    heads = member.select(F.col("first").alias("doc")).distinct()
+    firsts = written(full.select("doc", "bands", "sketch").join(heads.hint("merge"), "doc", "left_semi").groupBy("doc").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "firsts")
     every = links(firsts, rows, words, percent).unionAll(member.where("doc <> first").select(F.col("doc").alias("u"), F.col("first").alias("v")))
     roots = components(every)
-    out = sets.select("doc", "n_shingles").join(roots.withColumnRenamed("node", "doc"), "doc", "left")
+    out = sets.select("doc", "n_shingles").join(roots.withColumnRenamed("node", "doc").hint("merge"), "doc", "left")
     root = F.coalesce("root", "doc")
     back = lambda c: F.when(c != LEAST, c)
     return out.select(back(F.col("doc")).alias("doc_id"), "n_shingles", back(root).alias("component_id"), (root == F.col("doc")).alias("kept"))
