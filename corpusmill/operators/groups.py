@@ -135,3 +135,50 @@ def accumulation_scale(step: Column, total: Column, every: int) -> Column:
     """1, but every / rest for the last, incomplete round."""
     rest = F.pmod(total, F.lit(every))
     return F.when((rest > 0) & (step >= total - rest), F.lit(float(every)) / rest).otherwise(1.0)
+
+
+def chunks(df: DataFrame, ordinal: str, size: int) -> DataFrame:
+    """chunk: number of the fixed-size batch that a 0-based place falls in."""
+    return df.withColumn("chunk", F.floor(F.col(ordinal) / size))
+
+
+def rank_reduce(df: DataFrame, means: list[str] = (), maxima: list[str] = (), every: list[str] = (), some: list[str] = ()) -> DataFrame:
+    """One row over all ranks: means, maxima, flags true on all, flags true on any."""
+    return df.agg(*[F.avg(c).alias(c) for c in means], *[F.max(c).alias(c) for c in maxima], *[F.bool_and(c).alias(c) for c in every], *[F.bool_or(c).alias(c) for c in some])
+
+
+def decoded_streams(tokens: DataFrame, key: str = "id") -> DataFrame:
+    """id, text_tokens, blocks: tokens outside image blocks in order, and each block's codes. Text ends where a block stays open."""
+    t = open_blocks(tokens, key)
+    of_block = F.count_if(F.col("token") == vocab.IMAGE_START).over(W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    t = t.withColumn("_b", of_block)
+    text = t.where(~F.col("inside") & ~F.col("token").isin(vocab.IMAGE_START, vocab.IMAGE_END)).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("x"))
+    closed = image_blocks(tokens, key).select(F.col(key).alias("_k"), "block", "start_at", "end_at")
+    on = (t[key] == closed["_k"]) & t["pos"].between(closed["start_at"], closed["end_at"])
+    codes = t.where(F.col("token").between(vocab.CODE_FIRST, vocab.CODE_LAST)).join(closed, on).groupBy(key, "block").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("c"))
+    blocks = codes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("block", F.transform("c", lambda x: x["token"]).alias("codes")))).alias("blocks"))
+    return text.select(key, F.transform("x", lambda x: x["token"]).alias("text_tokens")).join(blocks, key, "full")
+
+
+def token_length(tokens: Column, fallback: Column) -> Column:
+    return F.coalesce(F.when(tokens.isNotNull(), F.size(tokens)), fallback)
+
+
+def active_chunks(tokens: DataFrame, active: Column, size: int, key: str = "id") -> DataFrame:
+    """Chunks of positions that hold an active token: only these need work."""
+    return tokens.where(active).select(key, F.floor(F.col("pos") / size).alias("chunk")).distinct()
+
+
+def guided(conditional: Column, unconditional: Column, scale: float) -> Column:
+    return scale * (conditional - unconditional) + unconditional
+
+
+def row_seed(base: int, epoch: Column, rank: Column, ordinal: Column, generation: Column) -> Column:
+    """A seed for each generated row; different rows have different seeds below a billion rows an epoch."""
+    return F.pmod(F.xxhash64(F.lit(base), epoch, rank, ordinal, generation), F.lit(2**31 - 1))
+
+
+def aligned_errors(df: DataFrame, a: Column, b: Column, keep: Column) -> DataFrame:
+    """Greatest and mean absolute difference of two aligned columns under a mask."""
+    d = F.when(keep, F.abs(a - b))
+    return df.agg(F.max(d).alias("max_abs"), F.avg(d).alias("mean_abs"))

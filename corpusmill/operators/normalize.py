@@ -114,3 +114,62 @@ def image_names(text: Column) -> Column:
     heads = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
     opened = F.transform(heads, lambda x: F.regexp_extract(x, r"(?s).*<(" + "|".join(names) + r")>[^<]*$", 1))
     return F.transform(opened, lambda x, i: F.when(x != "", x).otherwise(F.concat(F.lit("extra_image_"), (i + 1).cast("string"))))
+
+
+def legacy_schema(df: DataFrame) -> DataFrame:
+    """id, paths and the three understand fields; a row that lacks one fails the job."""
+    values = {f"{s}_understand": understand_value(s) for s in STAGES}
+    need = [F.when(v != "", v).otherwise(F.raise_error(F.concat(F.lit(f"no {k} in item "), F.coalesce(F.col("id"), F.lit("?"))))).alias(k) for k, v in values.items()]
+    return df.select("id", *PATHS, *need)
+
+
+def result_row(df: DataFrame, raw: dict[str, str]) -> DataFrame:
+    """Annotated items from three raw outputs (stage: column): sanitized texts, flat answer, validity and the raw outputs."""
+    from ..functions import vocab
+
+    cots = {s: T.sanitized_stage(F.col(c), s) for s, c in raw.items()}
+    out = df.withColumns({f"{s}_cot": c for s, c in cots.items()})
+    tags = {t: T.last_tag(F.col(f"{s}_cot"), t) for s in ("visible", "infrared", "fused") for t in vocab.ANSWER_TAGS[s]}
+    valid = {s: _all([T.last_tag(F.col(raw[s]), t) != "" for t in vocab.ANSWER_TAGS[s]]) for s in STAGES}
+    return out.withColumn("final_answer", flat_answer(tags)).withColumn("cot_valid", F.struct(*[v.alias(s) for s, v in valid.items()])).withColumn("raw_qwen_outputs", F.struct(*[F.col(raw[s]).alias(s) for s in STAGES]))
+
+
+def completion_text(*columns: str) -> Column:
+    """The first text given under one of several names."""
+    return F.coalesce(T.given(*[F.col(c) for c in columns]), F.lit(""))
+
+
+def prompt(template: str, **parts: Column) -> Column:
+    """A template with {name} places filled by columns; null is ''."""
+    import re
+
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.coalesce(parts[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(pieces)])
+
+
+def component_hint(label: Column) -> Column:
+    """Components in words, joined by ' + '."""
+    return F.array_join(F.transform(T.components(label), lambda x: F.replace(x, F.lit("_"), F.lit(" "))), " + ")
+
+
+def nested(variant: Column, path: str, kind: str = "double") -> Column:
+    """A value within JSON (VARIANT) by path, null if it is not there or of another kind."""
+    return F.try_variant_get(variant, f"$.{path}", kind)
+
+
+def zipped(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows joined by their place (batch, position); a place that one side lacks fails the job."""
+    l, r = left.withColumn("_l", F.lit(True)), right.withColumn("_r", F.lit(True))
+    j = l.join(r, keys, "full")
+    return j.where(F.assert_true(F.col("_l").isNotNull() & F.col("_r").isNotNull(), F.lit("lengths differ")).isNull()).drop("_l", "_r")
+
+
+def level2_only(df: DataFrame, infrared: str) -> DataFrame:
+    """Both levels level_2, and one canonical infrared label."""
+    return df.where((F.col("infrared_level") == "level_2") & (F.col("visible_level") == "level_2") & (T.canonical_label(F.col("infrared_label")) == infrared))
+
+
+def required_for(protocol: Column) -> Column:
+    """The columns that a protocol needs."""
+    names = lambda suffix: F.array(*[F.lit(f"{s}_{suffix}") for s in STAGES])
+    return F.when(protocol == "full", names("cot")).when(protocol == "fused_only", F.array(F.lit("fused_cot"))).when(protocol == "legacy", names("understand")).otherwise(F.array().cast("array<string>"))
