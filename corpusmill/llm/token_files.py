@@ -24,7 +24,8 @@ MAGIC, HEAD, SAMPLE = b"CMTOKEF1", struct.Struct("<8sIIQQQ"), 256
 END_ID = 1
 #: Ids in a file, at least, unless the partition ends.
 FILE_IDS = 8 << 20
-CACHE_WORDS = 400_000
+#: Entries of each half of a worker's cache of words.
+CACHE_WORDS = 200_000
 
 
 class EliasFano:
@@ -125,92 +126,106 @@ def load(uri: str) -> bytes:
         return f.read()
 
 
-_cache: dict[bytes, bytes] = {}
+#: Words of texts and of the library's calls, by how lately they were met: the newer and the older half of the cache.
+_newer: dict[bytes, bytes] = {}
+_older: dict[bytes, bytes] = {}
 _tokenizers: dict[str, object] = {}
 _TAIL = (b".", b",")
 
 
+class _Letters(dict):
+    """Code points of letters to what normalizer and pre-tokenizer make of them; to ODD if that is not one piece."""
+
+    ODD = "\ud800"
+
+    def __init__(self, t):
+        self.t = t
+
+    def __missing__(self, point: int) -> str:
+        made = self.t.pre_tokenizer.pre_tokenize_str(self.t.normalizer.normalize_str(chr(point)))
+        out = self[point] = made[0][0] if len(made) == 1 else self.ODD
+        return out
+
+
 class WordEncoder:
     """Ids of texts with a tokenizer whose pre-tokens never cross ASCII white space, through a bounded cache of words.
 
-    Words that the cache lacks are encoded by the library many at a time, with a separator between them that is
-    always a pre-token of its own. An ASCII word shares the entry of its lower-cased self, and one of letters that
-    ends in a comma or a stop that of its letters, as the tokenizer lower-cases and parts letters from other signs.
+    A batch's words that the cache lacks go to the library together, each once. An ASCII word shares the entry of its
+    lower-cased self, and one of letters that ends in a comma or a stop that of its letters, as the tokenizer
+    lower-cases and parts letters from other signs. A word of letters below U+1100, where no letter joins with the next,
+    goes to the library's model letter by letter, past its slower normalizer. When the newer half of the cache is full it becomes the older one,
+    so words in use stay.
     """
 
-    SEP = "\x01"
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         if path not in _tokenizers:
-            _cache.clear()
+            _newer.clear()
+            _older.clear()
             _tokenizers.clear()
             _tokenizers[path] = Tokenizer.from_file(path)
         self.t = _tokenizers[path]
         self.width = 2 if self.t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.sep = np.array(self._ids(self.SEP), f"<u{self.width}")
-        self.tails = {x: self._raw(x.decode()) for x in _TAIL}
-
-    def _ids(self, text: str) -> list[int]:
-        return self.t.encode(text, add_special_tokens=False).ids
-
-    def _raw(self, text: str) -> bytes:
-        return np.array(self._ids(text), f"<u{self.width}").tobytes()
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        out = {}
-        if len(self.sep) != 1:
-            return {w: self._raw(w) for w in words}
-        for i in range(0, len(words), 512):
-            some = words[i : i + 512]
-            ids = np.array(self._ids(f" {self.SEP} ".join(some)), f"<u{self.width}")
-            cuts = np.flatnonzero(ids == self.sep[0])
-            if len(cuts) != len(some) - 1 or any(self.SEP in w for w in some):
-                out |= {w: self._raw(w) for w in some}
-                continue
-            edges = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            out |= {w: ids[a:b].tobytes() for w, a, b in zip(some, *edges)}
+        self.letters = _Letters(self.t)
+        self.tails = dict(zip(_TAIL, self._library([x.decode() for x in _TAIL])))
+
+    def _library(self, words: list[str]) -> list[bytes]:
+        code = "H" if self.width == 2 else "I"
+        out, rest, model, letters = [b""] * len(words), [], self.t.model.tokenize, self.letters
+        for k, w in enumerate(words):
+            piece = w.translate(letters) if w.isalpha() and max(w) < "\u1100" else letters.ODD
+            if letters.ODD not in piece:
+                ids = [x.id for x in model(piece)]
+                out[k] = struct.pack(f"<{len(ids)}{code}", *ids)
+            else:
+                rest.append(k)
+        for i in range(0, len(rest), 256):
+            part = rest[i : i + 256]
+            for k, e in zip(part, self.t.encode_batch_fast([words[k] for k in part], add_special_tokens=False)):
+                out[k] = struct.pack(f"<{len(e.ids)}{code}", *e.ids)
         return out
 
-    def add(self, words: set[bytes]) -> None:
-        """Put every one of the words in the cache."""
-        if len(_cache) > CACHE_WORDS:
-            _cache.clear()
-        new, plain = {}, {}
+    def _add(self, words: set[bytes]) -> None:
+        """Puts every one of the words in the newer half."""
+        built: list[tuple[bytes, bytes, bytes]] = []
+        wanted: set[bytes] = set()
         for w in words:
+            if (x := _older.get(w)) is not None:
+                _newer[w] = x
+                continue
+            core, tail = w, b""
             if w.isascii():
                 core = w.lower()
-                tail = core[-1:] if core[-1:] in _TAIL and core[:-1].isalpha() else b""
-                core = core[:-1] if tail else core
-                if core not in _cache:
-                    new[core] = core.decode()
-                plain[w] = (core, self.tails[tail] if tail else b"")
-            else:
-                new[w] = w.decode()
-        got = self._learn(list(new.values()))
-        for raw, w in new.items():
-            _cache[raw] = got[w]
-        for w, (core, tail) in plain.items():
-            _cache[w] = _cache[core] + tail
+                if core[-1:] in _TAIL and core[:-1].isalpha():
+                    core, tail = core[:-1], core[-1:]
+            if core not in _newer:
+                if (x := _older.get(core)) is not None:
+                    _newer[core] = x
+                else:
+                    wanted.add(core)
+            if core is not w:
+                built.append((w, core, tail))
+        order = list(wanted)
+        _newer.update(zip(order, self._library([w.decode() for w in order])))
+        for w, core, tail in built:
+            _newer[w] = _newer[core] + self.tails[tail] if tail else _newer[core]
 
     def encode(self, texts: list[bytes], end: int = END_ID) -> list[bytes]:
         """Each text's ids with the end id, as little-endian integers of `width` bytes."""
-        tail = np.array([end], f"<u{self.width}").tobytes()
-        out, get = [], _cache.get
-        for text in texts:
-            words = text.split()
-            found = list(map(get, words))
-            if None in found:
-                self.add({w for w, x in zip(words, found) if x is None})
-                miss = {w for w in words if w not in _cache}
-                if miss:
-                    self.add(miss)
-                found = list(map(get, words))
-            found.append(tail)
-            out.append(b"".join(found))
-        return out
+        global _newer, _older
+        if len(_newer) > CACHE_WORDS:
+            _newer, _older = {}, _newer
+        tail, get = end.to_bytes(self.width, "little"), _newer.get
+        lists = [t.split() for t in texts]
+        found = [list(map(get, words)) for words in lists]
+        short = [i for i, x in enumerate(found) if None in x]
+        if short:
+            self._add({w for i in short for w, x in zip(lists[i], found[i]) if x is None})
+            for i in short:
+                found[i] = list(map(get, lists[i]))
+        return [b"".join(x) + tail for x in found]
 
 
 _MANIFEST = pa.schema([("first", pa.int64()), ("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("path", pa.string())])
