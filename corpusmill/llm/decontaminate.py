@@ -175,9 +175,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
         every = passes[0]
         for p in passes[1:]:
             every = every.unionAll(p)
-        every = every.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+        every = every.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         found = arrow_map(every, _union_hits, "doc_id long, n_words long, n_hit long, items array<string>")
-    # Item ids are unique as items, so the list holds each once for each item row with that id.
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
