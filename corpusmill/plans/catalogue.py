@@ -397,11 +397,11 @@ def path_names(pages):
 
 
 @query("""
-with p as (select page_id, 'msrs/level_' || (page_id % 4) || '/haze_' || (page_id % 3) || '/' || page_id || '.png' as path from pages)
+with p as (select page_id, 'root/level_' || (page_id % 4) || '/haze_' || (page_id % 3) || '/' || page_id || '.png' as path from pages)
 select page_id, regexp_extract(path, '(?:^|/)(level_[012])/([^/]+)', 1) as level, regexp_extract(path, '(?:^|/)level_[012]/([^/]+)', 1) as label from p
 """)
 def path_label(pages):
-    path = F.concat(F.lit("msrs/level_"), F.col("page_id") % 4, F.lit("/haze_"), F.col("page_id") % 3, F.lit("/"), "page_id", F.lit(".png"))
+    path = F.concat(F.lit("root/level_"), F.col("page_id") % 4, F.lit("/haze_"), F.col("page_id") % 3, F.lit("/"), "page_id", F.lit(".png"))
     return pages.select("page_id", T.path_level(path).alias("level"), T.path_label(path).alias("label"))
 
 
