@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ END_ID = 1
 #: Ids in a file, at least, unless the partition ends.
 FILE_IDS = 8 << 20
 #: Entries of each half of a worker's cache of words.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 
 
 class EliasFano:
@@ -127,10 +129,10 @@ def load(uri: str) -> bytes:
 
 
 #: Words of texts and of the library's calls, by how lately they were met: the newer and the older half of the cache.
-_newer: dict[bytes, bytes] = {}
-_older: dict[bytes, bytes] = {}
+_newer: dict[bytes | str, bytes] = {}
+_older: dict[bytes | str, bytes] = {}
 _tokenizers: dict[str, object] = {}
-_TAIL = (b".", b",")
+_TAIL = (".", ",")
 
 
 class _Letters(dict):
@@ -150,10 +152,9 @@ class _Letters(dict):
 class WordEncoder:
     """Ids of texts with a tokenizer whose pre-tokens never cross ASCII white space, through a bounded cache of words.
 
-    A batch's words that the cache lacks go to the library together, each once. An ASCII word shares the entry of its
-    lower-cased self, and one of letters that ends in a comma or a stop that of its letters, as the tokenizer
-    lower-cases and parts letters from other signs. A word of letters below U+1100, where no letter joins with the next,
-    goes to the library's model letter by letter, past its slower normalizer. When the newer half of the cache is full it becomes the older one,
+    A batch's words that the cache lacks go to the library together, each once. A word of letters below U+1100, where no
+    letter joins with the next, is normalized letter by letter and goes to the library's model, past its slower
+    normalizer; a comma or a stop behind it is a piece of its own, as the tokenizer parts letters from other signs. When the newer half of the cache is full it becomes the older one,
     so words in use stay.
     """
 
@@ -169,48 +170,51 @@ class WordEncoder:
         self.t = _tokenizers[path]
         self.width = 2 if self.t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.letters = _Letters(self.t)
-        self.tails = dict(zip(_TAIL, self._library([x.decode() for x in _TAIL])))
+        self.tails = dict(zip(_TAIL, self._library(list(_TAIL))))
+
+    def _raw(self, ids: list[int]) -> bytes:
+        out = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def _library(self, words: list[str]) -> list[bytes]:
-        code = "H" if self.width == 2 else "I"
-        out, rest, model, letters = [b""] * len(words), [], self.t.model.tokenize, self.letters
-        for k, w in enumerate(words):
-            piece = w.translate(letters) if w.isalpha() and max(w) < "\u1100" else letters.ODD
-            if letters.ODD not in piece:
-                ids = [x.id for x in model(piece)]
-                out[k] = struct.pack(f"<{len(ids)}{code}", *ids)
-            else:
-                rest.append(k)
-        for i in range(0, len(rest), 256):
-            part = rest[i : i + 256]
-            for k, e in zip(part, self.t.encode_batch_fast([words[k] for k in part], add_special_tokens=False)):
-                out[k] = struct.pack(f"<{len(e.ids)}{code}", *e.ids)
+        out = []
+        for i in range(0, len(words), 256):
+            out += [self._raw(e.ids) for e in self.t.encode_batch_fast(words[i : i + 256], add_special_tokens=False)]
         return out
 
     def _add(self, words: set[bytes]) -> None:
-        """Puts every one of the words in the newer half."""
-        built: list[tuple[bytes, bytes, bytes]] = []
-        wanted: set[bytes] = set()
+        """Puts every one of the words in the newer half. Pieces of letters have entries too, under their text."""
+        newer, older, tails, letters, model = _newer, _older.get, self.tails, self.letters, self.t.model.tokenize
+        rest: list[bytes] = []
         for w in words:
-            if (x := _older.get(w)) is not None:
-                _newer[w] = x
-                continue
-            core, tail = w, b""
-            if w.isascii():
-                core = w.lower()
-                if core[-1:] in _TAIL and core[:-1].isalpha():
-                    core, tail = core[:-1], core[-1:]
-            if core not in _newer:
-                if (x := _older.get(core)) is not None:
-                    _newer[core] = x
+            x = older(w)
+            if x is None:
+                s = w.decode()
+                tail = tails.get(s[-1])
+                if tail:
+                    s = s[:-1]
+                if not s.isalpha():
+                    rest.append(w)
+                    continue
+                if s.isascii():
+                    s = s.lower()
+                elif max(s) < "\u1100":
+                    s = s.translate(letters)
+                    if letters.ODD in s:
+                        rest.append(w)
+                        continue
                 else:
-                    wanted.add(core)
-            if core is not w:
-                built.append((w, core, tail))
-        order = list(wanted)
-        _newer.update(zip(order, self._library([w.decode() for w in order])))
-        for w, core, tail in built:
-            _newer[w] = _newer[core] + self.tails[tail] if tail else _newer[core]
+                    rest.append(w)
+                    continue
+                x = newer.get(s)
+                if x is None:
+                    x = newer[s] = older(s) or self._raw([t.id for t in model(s)])
+                if tail:
+                    x = x + tail
+            newer[w] = x
+        newer.update(zip(rest, self._library([w.decode() for w in rest])))
 
     def encode(self, texts: list[bytes], end: int = END_ID) -> list[bytes]:
         """Each text's ids with the end id, as little-endian integers of `width` bytes."""
