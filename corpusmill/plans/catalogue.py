@@ -597,7 +597,10 @@ def epoch_permutation(documents):
 
 @query()
 def stage_sanitizer(documents):
-    t = F.concat(F.lit("<think>"), F.substring("text", 1, 400), F.lit("</think><answer><fused_understand>"), F.substring("text", 401, 300), F.lit("</fused_understand><fused_image>"), F.substring("text", 701, 300), F.lit("</fused_image></answer>"))
+    # The whole text, by thirds of its length; the last one takes the rest. Only the sanitizer's own limits cut.
+    third = F.floor(F.length("text") / 3).cast("int")
+    parts = [F.substring("text", F.lit(1), third), F.substring("text", third + 1, third), F.substring("text", 2 * third + 1, F.length("text"))]
+    t = F.concat(F.lit("<think>"), parts[0], F.lit("</think><answer><fused_understand>"), parts[1], F.lit("</fused_understand><fused_image>"), parts[2], F.lit("</fused_image></answer>"))
     return documents.select("doc_id", F.md5(T.sanitized_stage(t, "fused")).alias("digest"))
 
 

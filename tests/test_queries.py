@@ -42,3 +42,20 @@ def test_query(spark, duck, name):
 def test_contract(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_stage_sanitizer_reads_whole_texts(spark, tmp_path):
+    from hashlib import md5
+
+    from corpusmill.functions import text as T
+
+    def whole(t):
+        k = len(t) // 3
+        return f"<think>{t[:k]}</think><answer><fused_understand>{t[k : 2 * k]}</fused_understand><fused_image>{t[2 * k :]}</fused_image></answer>"
+
+    base = "".join(f"Line {i:03d} stands here. " for i in range(60))
+    texts = [base, base[:1010] + "X" + base[1011:], base * 20, "short", "\U0001f600ab" * 400, "ab", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["digest"] for r in catalogue.QUERIES["stage_sanitizer"](spark, str(tmp_path)).collect()}
+    assert got == {i: md5(T._rebuilt(t and whole(t), "fused", 1800, 900).encode()).hexdigest() for i, t in enumerate(texts)}
+    assert got[0] != got[1]
