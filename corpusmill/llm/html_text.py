@@ -5,7 +5,8 @@ node's presentation importance is the entropy of its child sequences over the pa
 importance falls with the share of pages that its blocks recur on; a composite joins both with its children's. What
 elements declare comes first: navigation, forms, adverts, comments and the like have importance 0, an article or
 main element 1. Branches of low importance are cut from each page; where a page has an article, only its branch is
-read. The entropies decide on what declares nothing, with MIN_PAGES pages of the host or more that have the node.
+read. The entropies decide on what declares nothing itself, inside an article as well as on pages without one, with
+MIN_PAGES pages of the host or more that have the node.
 
 Null or empty html, or a page without text: ''. Unclosed elements end with their parent; text after an unclosed
 comment, script or style is not text. A null or odd url: the host is ''. Repeated rows are pages of their own.
@@ -70,8 +71,8 @@ def _node(parent: int, name: str) -> int:
 
 
 def parse(page: str) -> tuple[list[list], list[tuple[int, str]]]:
-    """The page's containers, [node, parent's place, importance declared by it or a parent, child names], and its blocks, (container's place, text)."""
-    nodes: list[list] = [[0, -1, None, []]]
+    """The page's containers, [node, parent's place, importance declared by it or a parent, child names, importance declared by itself], and its blocks, (container's place, text)."""
+    nodes: list[list] = [[0, -1, None, [], None]]
     blocks: list[tuple[int, str]] = []
     open_: list[tuple[str, int]] = [("", 0)]
     text: list[str] = []
@@ -119,11 +120,12 @@ def parse(page: str) -> tuple[list[list], list[tuple[int, str]]]:
                 continue
             parent = open_[-1][1]
             name, own = _declared(tag, m[3])
-            nodes[parent][3].append(name)
             above = nodes[parent][2]
             if tag == "header" and above != 1 and own is None:
                 own = 0
-            nodes.append([_node(nodes[parent][0], name), parent, 0 if above == 0 else own if own is not None else above, []])
+            if own != 0:
+                nodes[parent][3].append(name)
+            nodes.append([_node(nodes[parent][0], name), parent, 0 if above == 0 else own if own is not None else above, [], own])
             open_.append((tag, len(nodes) - 1))
         elif tag in BLOCKS:
             close()
@@ -148,8 +150,8 @@ def main_text(page: str | None, noise: set[int] = frozenset()) -> str:
     nodes, blocks = parse(page or "")
     landmark = any(n[2] == 1 for n in nodes)
     gone: set[int] = set()
-    for i, (node, parent, declared, _) in enumerate(nodes):
-        if declared == 0 or declared is None and (node in noise or parent in gone):
+    for i, (node, parent, declared, _, own) in enumerate(nodes):
+        if declared == 0 or own is None and (node in noise or parent in gone):
             gone.add(i)
     keep = [i not in gone and (n[2] == 1 or not landmark) for i, n in enumerate(nodes)]
     return "\n".join(t for i, t in blocks if keep[i])
@@ -163,13 +165,13 @@ def _hash(text: str) -> int:
 
 
 def _page_stats(batches):
-    """For each page and node: its child sequences (kind 0) and block texts (kind 1), each once. Blocks of declared content are never cut and are left out."""
+    """For each page and node: its child sequences (kind 0) and block texts (kind 1), each once. What is declared as noise is cut in any case and left out."""
     for rb in batches:
         out: list[tuple] = []
         for host, page in zip(rb.column("host").to_pylist(), rb.column("html").to_pylist()):
             nodes, blocks = parse(page or "")
-            rows = {(n[0], nodes[n[1]][0] if n[1] >= 0 else -1, 0, _hash("|".join(n[3]))) for n in nodes}
-            rows |= {(nodes[i][0], nodes[nodes[i][1]][0] if nodes[i][1] >= 0 else -1, 1, _hash(t)) for i, t in blocks if nodes[i][2] != 1}
+            rows = {(n[0], nodes[n[1]][0] if n[1] >= 0 else -1, 0, _hash("|".join(n[3]))) for n in nodes if n[2] != 0}
+            rows |= {(nodes[i][0], nodes[nodes[i][1]][0] if nodes[i][1] >= 0 else -1, 1, _hash(t)) for i, t in blocks if nodes[i][2] != 0}
             out += [(host, *r) for r in rows]
         yield batch(_STATS, [list(c) for c in zip(*out)] if out else [[]] * 5)
 
@@ -202,10 +204,10 @@ def _composite(pdf: pd.DataFrame) -> pd.DataFrame:
         else:
             g = DAMPING ** styles[i]
             imp[i] = (1 - g) * shape[i] + g * below
-    # A node that some important node stands below is no noise, however low its own value.
+    # A node with important blocks of its own, or that some important node stands below, is no noise, however low its own value.
     above = set()
     for i in range(len(pdf)):
-        if imp[i] >= LOW or pages[i] < MIN_PAGES:
+        if imp[i] >= LOW or pages[i] < MIN_PAGES or content[i] is not None and content[i] >= LOW:
             while i is not None and i not in above:
                 above.add(i)
                 i = at.get(pdf["parent"].iat[i])

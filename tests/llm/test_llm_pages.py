@@ -66,6 +66,17 @@ def test_style_tree_cuts_what_recurs(spark):
     assert h.extracted(df.limit(0)).count() == 0
 
 
+def texts(spark, pages):
+    df = spark.createDataFrame([(i, f"http://a.org/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in h.extracted(df).orderBy("page_id").collect()]
+
+
+def test_style_tree_decides_inside_articles(spark):
+    page = "<body><article><h1>Title {0}</h1><p>Own text {0}</p><div class='x'><p>Get our letter</p></div><div class='y'>Part {0}<figure>Logo</figure><ul>Links</ul><dl>Legal</dl></div><section class='content'>Same story</section></article><div>Out {0}</div></body>"
+    assert texts(spark, [page.format(i) for i in range(8)]) == [f"Title {i}\nOwn text {i}\nPart {i}\nSame story" for i in range(8)]
+    assert texts(spark, [page.format(i) for i in range(3)])[2] == "Title 2\nOwn text 2\nGet our letter\nPart 2\nLogo\nLinks\nLegal\nSame story"
+
+
 def test_revisits(spark):
     rows = [
         ("r1", "http://www.A.org/x/?utm_source=q#f", 1, False, {"etag": '"1"', "content-length": "9", "date": "d1"}),
