@@ -4,7 +4,7 @@ Pages of one host are merged to a style tree: a node is a path of container elem
 node's presentation importance is the entropy of its child sequences over the pages that have it; its content
 importance falls with the share of pages that its blocks recur on; a composite joins both with its children's. What
 elements declare comes first: navigation, forms, adverts, comments and the like have importance 0, an article or
-main element 1. Branches of low importance are cut from each page; where a page has an article, only its branch is
+main element 1. A word of a class or id does not cut what is or holds the page's article. Branches of low importance are cut from each page; where a page has an article, only its branch is
 read. The entropies decide on what declares nothing itself, inside an article as well as on pages without one, with
 MIN_PAGES pages of the host or more that have the node.
 
@@ -40,43 +40,87 @@ NOISE = set("ad ads adv advert adverts advertisement advertising adsense banner
 CONTENT = set("article content story".split())
 #: Words that make a header one of the article.
 OWN_HEADER = CONTENT | set("post entry".split())
+#: Words of adverts, comments and lists of other pages, which hold articles of their own.
+OTHERS = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion related recommended recommendations comment comments commentlist reply replies respond".split())
+#: Importance declared by a class or id word alone: STRONG if a whole name or a word of OTHERS says so, else WEAK.
+WEAK, STRONG = -1, -2
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation": 0, "banner": 0, "contentinfo": 0, "complementary": 0, "search": 0, "dialog": 0, "alert": 0, "alertdialog": 0, "menu": 0, "menubar": 0, "form": 0, "toolbar": 0, "main": 1, "article": 1}
 
 _TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*>""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_MODIFIER = re.compile(r"(?:has|no|with|without|tag)[-_]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 @lru_cache(50_000)
 def _declared(tag: str, attrs: str) -> tuple[str, int | None]:
-    """What identifies an element among its siblings, and its declared importance, if any."""
+    """What identifies an element among its siblings, and its declared importance, if any: 0, 1, WEAK or STRONG."""
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
     classes = sorted(found.get("class", "").lower().split())
     role = found.get("role", "").strip().lower()
-    words = set(_SPLIT.split(" ".join(classes + [found.get("id", "").lower()])))
+    names = classes + ([] if tag in HEADINGS else found.get("id", "").lower().split())
+    names = [x for x in names if not _MODIFIER.match(x)]
+    words = set(_SPLIT.split(" ".join(names)))
     name = f"{tag}.{'.'.join(classes)}#{role}"
     if tag in ("html", "body"):
         return name, None
-    if tag in CUT or "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "").lower()) or ROLES.get(role) == 0 or words & NOISE or "header" in words and not words & OWN_HEADER:
+    if tag in CUT or "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "").lower()) or ROLES.get(role) == 0:
         return name, 0
-    if tag in ("article", "main") or ROLES.get(role) == 1 or words & CONTENT:
+    if tag in ("article", "main") or ROLES.get(role) == 1:
+        return name, STRONG if tag != "main" and words & OTHERS else 1
+    if words & NOISE or "header" in words and not words & OWN_HEADER:
+        return name, STRONG if words & OTHERS or (NOISE | {"header"}).intersection(names) else WEAK
+    if words & CONTENT:
         return name, 1
     return name, None
 
 
+def _main(tag: str, attrs: str) -> bool:
+    """Whether an element is an article or main element."""
+    return tag in ("article", "main") or ROLES.get(_declared(tag, attrs)[0].rpartition("#")[2]) == 1
+
+
+def _settle(nodes: list[list], mains: list[int]) -> None:
+    """Settles what class and id words declare, and what each node passes on. They cut no article or main element and
+    nothing that holds one, unless there is another that fewer STRONG ones are around: then it is a teaser or comment."""
+    strong = [0] * len(nodes)
+    for i, n in enumerate(nodes[1:], 1):
+        strong[i] = strong[n[1]] + (n[4] == STRONG)
+    shown = [i for i in mains if nodes[i][2] != 0]
+    least = min((strong[i] for i in shown), default=0)
+    landmark, free = set(mains), {0}
+    for i in shown:
+        if strong[i] == least:
+            while i not in free:
+                free.add(i)
+                if nodes[i][4] in (WEAK, STRONG):
+                    nodes[i][4] = 1 if i in landmark else None
+                i = nodes[i][1]
+    for n in nodes[1:]:
+        above, own = nodes[n[1]][2], n[4]
+        if own in (WEAK, STRONG):
+            own = n[4] = 0
+        if own != 0:
+            nodes[n[1]][3].append(n[5])
+        n[2] = 0 if above == 0 else own if own is not None else above
+
+
 @lru_cache(200_000)
 def _node(parent: int, name: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{parent}/{name}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def parse(page: str) -> tuple[list[list], list[tuple[int, str]]]:
-    """The page's containers, [node, parent's place, importance declared by it or a parent, child names, importance declared by itself], and its blocks, (container's place, text)."""
-    nodes: list[list] = [[0, -1, None, [], None]]
+    """The page's containers, [node, parent's place, importance declared by it or a parent, child names, importance declared by itself, name], and its blocks, (container's place, text)."""
+    nodes: list[list] = [[0, -1, None, [], None, ""]]
+    mains: list[int] = []
     blocks: list[tuple[int, str]] = []
     open_: list[tuple[str, int]] = [("", 0)]
     text: list[str] = []
     hidden: list[str] = []  # cut elements that are no containers of text, as <span hidden>
+    soft = False  # they are cut by a word alone
 
     def close():
         if text:
@@ -120,28 +164,35 @@ def parse(page: str) -> tuple[list[list], list[tuple[int, str]]]:
                 continue
             parent = open_[-1][1]
             name, own = _declared(tag, m[3])
-            above = nodes[parent][2]
+            above, main = nodes[parent][2], _main(tag, m[3])
             if tag == "header" and above != 1 and own is None:
                 own = 0
-            if own != 0:
-                nodes[parent][3].append(name)
-            nodes.append([_node(nodes[parent][0], name), parent, 0 if above == 0 else own if own is not None else above, [], own])
+            if main:
+                mains.append(len(nodes))
+                if soft:
+                    hidden.clear()
+            # Until _settle, words alone pass on what stands above.
+            nodes.append([_node(nodes[parent][0], name), parent, 0 if above == 0 or own == 0 else 1 if own == 1 or main else above, [], own, name])
             open_.append((tag, len(nodes) - 1))
         elif tag in BLOCKS:
             close()
-            if m[3] and _declared(tag, m[3])[1] == 0:
+            own = _declared(tag, m[3])[1] if m[3] else None
+            if own in (0, WEAK, STRONG):
                 parent = open_[-1][1]
                 blocks.append((parent, ""))
-                hidden = [tag]
+                hidden, soft = [tag], own != 0
             else:
                 hidden.clear()
         elif tag in SPACED:
             text.append(" ")
-        elif hidden or m[3] and _declared(tag, m[3])[1] == 0 and tag not in ("input", "link", "meta", "img", "embed", "source", "a", "b", "i", "em", "strong"):
-            hidden.append(tag) if not hidden or hidden[-1] == tag else None
+        elif hidden:
+            hidden.append(tag) if hidden[-1] == tag else None
+        elif m[3] and (own := _declared(tag, m[3])[1]) in (0, WEAK, STRONG) and tag not in ("input", "link", "meta", "img", "embed", "source", "a", "b", "i", "em", "strong"):
+            hidden, soft = [tag], own != 0
     if at < len(page) and not hidden:
         text.append(page[at:])
     close()
+    _settle(nodes, mains)
     return nodes, [(i, t) for i, t in blocks if t]
 
 
@@ -150,7 +201,7 @@ def main_text(page: str | None, noise: set[int] = frozenset()) -> str:
     nodes, blocks = parse(page or "")
     landmark = any(n[2] == 1 for n in nodes)
     gone: set[int] = set()
-    for i, (node, parent, declared, _, own) in enumerate(nodes):
+    for i, (node, parent, declared, _, own, _) in enumerate(nodes):
         if declared == 0 or own is None and (node in noise or parent in gone):
             gone.add(i)
     keep = [i not in gone and (n[2] == 1 or not landmark) for i, n in enumerate(nodes)]

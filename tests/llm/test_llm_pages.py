@@ -66,6 +66,19 @@ def test_style_tree_cuts_what_recurs(spark):
     assert h.extracted(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div class='{0}'><article><p>q</p></article><div class='sidebar'>s</div></div><p>z".format(c), "q") for c in ("content-sidebar-wrap", "has-sidebar", "no-sidebar", "header-sticky", "sidebar", "with-comments")
+] + [
+    ("<article class='post tag-social'><p>q</article><p>z", "q"), ("<main><article class='post social'><p>q</article></main><p>z", "q"), ("<div class='menu-wrap'><main class='social'>q</main></div>z", "q"),
+    ("<article><h2 id='search-methods'>Search methods</h2><p>q</p><h3 class='related'>r</h3></article>", "Search methods\nq"), ("<ul><li class='header-sticky'><article>q</article></ul>z", "q"),
+    ("<div class='no-sidebar'>q</div><div class='sidebar'>s</div>", "q"), ("<article class='comment'><header>h</header><p>q</article>", "h\nq"),
+    ("<div class='sidebar-wrap'><article>q<div id='comments'><article class='comment-body'>c</article></div></article><section class='related'><article>r</article></section><div class='ad'>a</div></div>", "q"),
+    ("<nav class='x'><article>n</article></nav><p>z", "z"),
+])
+def test_words_do_not_cut_the_article(page, text):
+    assert h.main_text(page) == text
+
+
 def texts(spark, pages):
     df = spark.createDataFrame([(i, f"http://a.org/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
     return [r["text"] for r in h.extracted(df).orderBy("page_id").collect()]
