@@ -9,7 +9,8 @@ read. The entropies decide on what declares nothing itself, inside an article as
 MIN_PAGES pages of the host or more that have the node.
 
 Null or empty html, or a page without text: ''. Unclosed elements end with their parent; text after an unclosed
-comment, script or style is not text. A null or odd url: the host is ''. Repeated rows are pages of their own.
+comment, script or style is not text. A null or odd url: the host is ''. Repeated rows are pages of their own, but pages
+of a host with the same text count as one in the statistics. A page that the tree would leave empty keeps its text.
 """
 
 from __future__ import annotations
@@ -196,9 +197,7 @@ def parse(page: str) -> tuple[list[list], list[tuple[int, str]]]:
     return nodes, [(i, t) for i, t in blocks if t]
 
 
-def main_text(page: str | None, noise: set[int] = frozenset()) -> str:
-    """The text of a page's blocks without branches that are declared or listed (by node) as noise."""
-    nodes, blocks = parse(page or "")
+def _kept(nodes: list[list], blocks: list[tuple[int, str]], noise: set[int] = frozenset()) -> str:
     landmark = any(n[2] == 1 for n in nodes)
     gone: set[int] = set()
     for i, (node, parent, declared, _, own, _) in enumerate(nodes):
@@ -208,7 +207,13 @@ def main_text(page: str | None, noise: set[int] = frozenset()) -> str:
     return "\n".join(t for i, t in blocks if keep[i])
 
 
-_STATS = pa.schema([("host", pa.string()), ("node", pa.int64()), ("parent", pa.int64()), ("kind", pa.int8()), ("value", pa.int64())])
+def main_text(page: str | None, noise: set[int] = frozenset()) -> str:
+    """The text of a page's blocks without branches that are declared or listed (by node) as noise; without those that are declared alone, if nothing is left."""
+    nodes, blocks = parse(page or "")
+    return _kept(nodes, blocks, noise) or _kept(nodes, blocks)
+
+
+_STATS = pa.schema([("host", pa.string()), ("page", pa.int64()), ("node", pa.int64()), ("parent", pa.int64()), ("kind", pa.int8()), ("value", pa.int64())])
 
 
 def _hash(text: str) -> int:
@@ -216,15 +221,16 @@ def _hash(text: str) -> int:
 
 
 def _page_stats(batches):
-    """For each page and node: its child sequences (kind 0) and block texts (kind 1), each once. What is declared as noise is cut in any case and left out."""
+    """For each page and node: its child sequences (kind 0) and block texts (kind 1), each once, and a hash of its text as declared, which copies share. What is declared as noise is cut in any case and left out."""
     for rb in batches:
         out: list[tuple] = []
         for host, page in zip(rb.column("host").to_pylist(), rb.column("html").to_pylist()):
             nodes, blocks = parse(page or "")
             rows = {(n[0], nodes[n[1]][0] if n[1] >= 0 else -1, 0, _hash("|".join(n[3]))) for n in nodes if n[2] != 0}
             rows |= {(nodes[i][0], nodes[nodes[i][1]][0] if nodes[i][1] >= 0 else -1, 1, _hash(t)) for i, t in blocks if nodes[i][2] != 0}
-            out += [(host, *r) for r in rows]
-        yield batch(_STATS, [list(c) for c in zip(*out)] if out else [[]] * 5)
+            same = _hash(_kept(nodes, blocks))
+            out += [(host, same, *r) for r in rows]
+        yield batch(_STATS, [list(c) for c in zip(*out)] if out else [[]] * 6)
 
 
 def _composite(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -268,7 +274,7 @@ def _composite(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def noise_nodes(pages: DataFrame) -> DataFrame:
     """host, nodes: each host's nodes of low importance. pages: host, html."""
-    stats = arrow_map(pages, _page_stats, "host string, node long, parent long, kind byte, value long", 500)
+    stats = arrow_map(pages, _page_stats, "host string, page long, node long, parent long, kind byte, value long", 500).distinct()
     counted = stats.groupBy("host", "node", "parent", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
     # Presentation: a style of n of m pages has p = n / m. Content: a block on n pages has entropy log_m(n) over them.
     of_node = counted.groupBy("host", "node", "parent").agg(

@@ -90,6 +90,13 @@ def test_style_tree_decides_inside_articles(spark):
     assert texts(spark, [page.format(i) for i in range(3)])[2] == "Title 2\nOwn text 2\nGet our letter\nPart 2\nLogo\nLinks\nLegal\nSame story"
 
 
+def test_copies_keep_their_text(spark):
+    page = "<html><body><div class='x'><p>Same text</p></div><div class='y'><p>{}</p></div></body></html>"
+    for n in (3, 4, 9):
+        assert texts(spark, [page.format("End") + f"<!-- {i} -->" for i in range(n)]) == ["Same text\nEnd"] * n
+    assert h.main_text(page.format("End"), {n[0] for n in h.parse(page)[0]}) == "Same text\nEnd"
+
+
 def test_revisits(spark):
     rows = [
         ("r1", "http://www.A.org/x/?utm_source=q#f", 1, False, {"etag": '"1"', "content-length": "9", "date": "d1"}),
