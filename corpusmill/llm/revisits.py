@@ -8,6 +8,7 @@ carries the latest earlier response, as a small struct without payload. The revi
 from __future__ import annotations
 
 import gzip
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -16,6 +17,9 @@ from .common import arrow_map, batch
 
 #: Header fields that a not-modified answer may bring up to date (all lower case).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "age", "set-cookie", "warning")
+#: Status codes of full responses, and what names the profile of a not-modified revisit.
+FULL = (200, 203)
+NOT_MODIFIED = "server-not-modified"
 #: Query parameters that do not name a resource.
 TRACKING = r"(?i)^(utm_[^=]*|ref|fbclid|gclid|sid|sessionid)(=|$)"
 
@@ -36,18 +40,21 @@ def _tag(c: Column) -> Column:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """records: record_id, url, time (long), revisit (boolean), headers (map of lower-case names). A row for each revisit:
-    record_id, url_key, source_id, status, headers.
+    """records: record_id, url, time (long), revisit (boolean), headers (map of lower-case names), and http_status (int) and
+    profile, if they have them. A row for each revisit: record_id, url_key, source_id, status, headers.
 
-    status: 'resolved' (validators agree), 'unvalidated' (they have none in common), 'changed' (they differ) or 'orphan' (no
-    earlier response). Headers are the response's with the permitted ones of the revisit over them; for 'changed' and
-    'orphan' they are the revisit's own. Earlier is strictly less in time; of responses at one time the greatest record_id.
+    status: 'resolved' (validators agree), 'unvalidated' (they have none in common), 'changed' (they differ), 'orphan' (no
+    earlier full response) or 'other_profile' (no not-modified revisit, as one by payload digest). Headers are the response's
+    with the permitted ones of the revisit over them; for the last three they are the revisit's own. Only responses with a
+    status of FULL are sources (all, if there is no http_status); a null profile is a not-modified one. Earlier is strictly less in time; of responses at one time the greatest record_id.
     Null url or time: 'orphan'. Null headers: none. Repeated rows are records of their own. Empty table: no rows.
     """
-    r = records.select("record_id", canonical(F.col("url")).alias("url_key"), "time", F.coalesce("revisit", F.lit(False)).alias("revisit"), F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"))
+    full = F.coalesce(F.col("http_status").isin(*FULL), F.lit(False)) if "http_status" in records.columns else F.lit(True)
+    other = ~F.contains(F.coalesce("profile", F.lit(NOT_MODIFIED)), F.lit(NOT_MODIFIED)) if "profile" in records.columns else F.lit(False)
+    r = records.select("record_id", canonical(F.col("url")).alias("url_key"), "time", F.coalesce("revisit", F.lit(False)).alias("revisit"), F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), full.alias("full"), other.alias("other"))
     known = F.col("url_key").isNotNull() & F.col("time").isNotNull()
     # Maps are not ordered types: only what is needed of them to choose takes part, and entries go along as an array.
-    response = F.when(~F.col("revisit"), F.struct("time", "record_id", F.map_entries("headers").alias("entries")))
+    response = F.when(~F.col("revisit") & F.col("full"), F.struct("time", "record_id", F.map_entries("headers").alias("entries")))
     before = W.partitionBy("url_key").orderBy("time").rangeBetween(W.unboundedPreceding, -1)
     a = r.where(known).withColumn("source", F.max(response).over(before)).where("revisit")
     b = r.where(~known & F.col("revisit")).withColumn("source", F.lit(None).cast(a.schema["source"].dataType))
@@ -55,7 +62,8 @@ def resolved(records: DataFrame) -> DataFrame:
     tag, old_tag = _tag(F.col("headers")["etag"]), _tag(F.col("old")["etag"])
     date, old_date = F.col("headers")["last-modified"], F.col("old")["last-modified"]
     status = (
-        F.when(F.col("source").isNull(), "orphan")
+        F.when(F.col("other"), "other_profile")
+        .when(F.col("source").isNull(), "orphan")
         .when(tag.isNotNull() & old_tag.isNotNull(), F.when(tag == old_tag, "resolved").otherwise("changed"))
         .when(date.isNotNull() & old_date.isNotNull(), F.when(date == old_date, "resolved").otherwise("changed"))
         .otherwise("unvalidated")
@@ -67,31 +75,40 @@ def resolved(records: DataFrame) -> DataFrame:
     return a.select("record_id", "url_key", F.when(F.col("status").isin("resolved", "unvalidated"), F.col("source.record_id")).alias("source_id"), "status", merged.alias("headers"))
 
 
-_RECORD = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("time", pa.string()), ("revisit", pa.bool_()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
+_RECORD = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("time", pa.string()), ("revisit", pa.bool_()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("http_status", pa.int32()), ("profile", pa.string())])
+_START = re.compile(rb"(?:^|\n)(?=WARC/[0-9])")
+_STATUS = re.compile(rb"HTTP/\S+[ \t]+([0-9]{3})(?![0-9])")
 
 
 def parse_warc(raw: bytes) -> list[tuple]:
-    """Response and revisit records of a WARC file (plain or gzip): record_id, url, time, revisit, headers, payload. A cut last record is left out."""
+    """Response and revisit records of a WARC file (plain or gzip): record_id, url, time, revisit, headers, payload, http_status, profile.
+
+    A cut last record is left out. So is a malformed one (no or a wrong length), and reading goes on at the next line that starts a record.
+    """
     if raw[:2] == b"\x1f\x8b":
         raw = gzip.decompress(raw)
     out, at = [], 0
-    while raw.startswith(b"WARC/", at):
+    while raw.startswith(b"WARC/", at) or (start := _START.search(raw, max(0, at - 1))):
+        at = at if raw.startswith(b"WARC/", at) else start.end()
         end = raw.find(b"\r\n\r\n", at)
         if end < 0:
             break
         fields = _fields(raw[at:end])
-        n = int(fields.get("content-length", "0"))
-        block = raw[end + 4 : end + 4 + n]
-        if len(block) < n:
-            break
-        at = end + 4 + n
-        while raw.startswith(b"\r\n", at):
-            at += 2
+        length = fields.get("content-length", "")
+        n = int(length) if length.isascii() and length.isdigit() else len(raw)
+        block, after = raw[end + 4 : end + 4 + n], end + 4 + n
+        while raw.startswith(b"\r\n", after):
+            after += 2
+        if len(block) < n or after < len(raw) and after < end + 8 + n and not raw.startswith(b"WARC/", after):
+            at += 5
+            continue
+        at = after
         kind = fields.get("warc-type")
         if kind in ("response", "revisit"):
             head, _, body = block.partition(b"\r\n\r\n")
             url = fields.get("warc-target-uri", "").strip("<>")
-            out.append((fields.get("warc-record-id"), url or None, fields.get("warc-date"), kind == "revisit", _fields(head), body if kind == "response" else None))
+            code = _STATUS.match(head)
+            out.append((fields.get("warc-record-id"), url or None, fields.get("warc-date"), kind == "revisit", _fields(head), body if kind == "response" else None, int(code[1]) if code else None, fields.get("warc-profile")))
     return out
 
 
@@ -105,7 +122,7 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """record_id, url, time (microseconds), revisit, headers, payload of the WARC files below path."""
+    """record_id, url, time (microseconds), revisit, headers, payload, http_status, profile of the WARC files below path."""
 
     def run(batches):
         for rb in batches:
@@ -117,7 +134,7 @@ def read_warc(spark, path: str) -> DataFrame:
                     yield batch(_RECORD, cols)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
-    records = arrow_map(files, run, "record_id string, url string, time string, revisit boolean, headers map<string,string>, payload binary", 1)
+    records = arrow_map(files, run, "record_id string, url string, time string, revisit boolean, headers map<string,string>, payload binary, http_status int, profile string", 1)
     return records.withColumn("time", F.unix_micros(F.try_to_timestamp("time")))
 
 

@@ -125,3 +125,19 @@ def test_read_warc(spark, tmp_path):
     rows = revisits.read_warc(spark, str(tmp_path)).collect()
     assert sorted(r["revisit"] for r in rows) == [False, False, True]
     assert {r["payload"] for r in rows if not r["revisit"]} == {bytearray(b"body")} and rows[0]["headers"]["etag"] == '"1"'
+
+
+def test_only_full_responses_are_sources(spark, tmp_path):
+    def record(name, second, http, profile="", length=None):
+        block = http + b"\r\nETag: \"1\"\r\n\r\nbody"
+        head = f"WARC/1.1\r\nWARC-Type: {'revisit' if profile else 'response'}\r\nWARC-Target-URI: http://a/\r\nWARC-Record-ID: {name}\r\nWARC-Date: 2024-01-02T03:04:{second:02d}Z\r\n"
+        head += f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/{profile}\r\n" if profile else ""
+        return head.encode() + (f"Content-Length: {len(block) if length is None else length}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    raw = record("full", 1, b"HTTP/1.1 200 OK") + record("odd", 2, b"HTTP/1.1 200 OK", length="x") + record("short", 2, b"HTTP/1.1 200 OK", length=9) + record("long", 2, b"HTTP/1.1 200 OK", length=10**6)
+    raw += record("part", 3, b"HTTP/1.1 206 Partial") + record("same", 4, b"HTTP/1.1 304") + record("bad", 5, b"HTTP/1.1 503 Down") + b"stray line\r\n"
+    raw += record("v1", 6, b"HTTP/1.1 304", "server-not-modified") + record("v2", 7, b"HTTP/1.1 200 OK", "identical-payload-digest")
+    (tmp_path / "a.warc").write_bytes(raw)
+    rows = revisits.read_warc(spark, str(tmp_path))
+    assert [(r["record_id"], r["http_status"]) for r in rows.collect()] == [("full", 200), ("part", 206), ("same", 304), ("bad", 503), ("v1", 304), ("v2", 200)]
+    assert {r["record_id"]: (r["source_id"], r["status"]) for r in revisits.resolved(rows).collect()} == {"v1": ("full", "resolved"), "v2": (None, "other_profile")}
