@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Java regular expression of a word of the contracts: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bounds of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
 
 _shipped: set[str] = set()
 _own_dir: list[str] = []
@@ -42,18 +46,37 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); an own one only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset: an own one in local mode, else an error, as executors would not see it."""
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master") or ""):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="corpusmill-shared"))
         atexit.register(shutil.rmtree, _own_dir[0], True)
     return "file://" + _own_dir[0]
 
 
+def filesystem(uri: str):
+    """The store of a file of the shared folder, and its path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def _drop(uri: str) -> None:
+    with contextlib.suppress(Exception):  # a store may be gone before the application ends
+        store, path = filesystem(uri)
+        store.delete_dir(path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder of the shared one; it is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_drop, path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -64,11 +87,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn, schema, rows: int = 1000) -> DataFrame:
-    """mapInArrow with the package shipped and batches of a bounded number of rows."""
+def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
+    """mapInArrow with the package shipped. Batches have BATCH_ROWS rows and BATCH_BYTES bytes at most: the session's
+    settings are lowered to that where they are higher, and left so, as a plan reads them when it runs."""
     spark = df.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key)
+        number = int(re.match(r"-?\d+", now)[0])
+        if number <= 0 or number > most or not now.isdigit():
+            spark.conf.set(key, str(most))
     return df.mapInArrow(fn, schema)
 
 
@@ -90,41 +119,52 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Rolling:
-    """Hashes of any slice of a sequence of uint64 symbols, from prefix sums modulo 2^64."""
-
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def __init__(self, symbols: np.ndarray, base: int):
-        n = len(symbols)
-        up, down = self._tables(n + 1, base)
-        self.down = down
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(symbols * up[:n], out=self.sums[1:])
-
-    @classmethod
-    def _tables(cls, n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-        got = cls._powers.get(base)
-        if got is None or len(got[0]) < n:
-            size = max(1 << 14, 1 << (n - 1).bit_length())
-            up, down = np.ones(size, np.uint64), np.ones(size, np.uint64)
-            np.cumprod(np.full(size - 1, base, np.uint64), out=up[1:])
-            np.cumprod(np.full(size - 1, pow(base, -1, 1 << 64), np.uint64), out=down[1:])
-            got = cls._powers[base] = (up, down)
-        return got
+#: Odd multipliers; each gives an independent family of hashes.
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
-    def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The hash of each [start, end)."""
-        return mix64((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
-    def grams(self, k: int) -> np.ndarray:
-        """The hash of each run of k symbols."""
-        n = len(self.sums) - k
-        return mix64((self.sums[k:] - self.sums[:n]) * self.down[:n] + np.uint64(k))
+def _joined(a: np.ndarray, b: np.ndarray, base: np.uint64) -> np.ndarray:
+    """A hash of two neighbours' hashes. The shift between the products keeps the whole from being a polynomial, whose values collide for some texts at any base."""
+    x = a * base
+    x += b
+    x ^= x >> np.uint64(29)
+    return x
 
 
-#: Odd multipliers for independent rolling hashes.
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+def grams(symbols: np.ndarray, width: int, base: int) -> np.ndarray:
+    """The hash of each run of `width` symbols (uint64), from hashes of runs of 1, 2, 4 and so on."""
+    if len(symbols) < width:
+        return np.zeros(0, np.uint64)
+    m, n = np.uint64(base), 1
+    level = symbols * m
+    level ^= level >> np.uint64(31)
+    while 2 * n <= width:
+        level = _joined(level[:-n], level[n:], m)
+        n *= 2
+    if width > n:
+        level = _joined(level[: len(level) - (width - n)], level[width - n :], m)
+    return mix64(level + np.uint64(width))
+
+
+def slices(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """The hash of each [start, end): of its length and the runs of a power of two that it starts and ends with, which cover it."""
+    length = end - start
+    out = length.astype(np.uint64)
+    if not len(out):
+        return out
+    m, n = np.uint64(base), 1
+    level = symbols * m
+    level ^= level >> np.uint64(31)
+    most = int(length.max())
+    kind = np.frexp(length)[1] - 1  # floor of the logarithm
+    while n <= most:
+        at = np.flatnonzero(kind == n.bit_length() - 1)
+        if len(at):
+            out[at] = mix64(_joined(level[start[at]], level[end[at] - n], m) * m + out[at])
+        if 2 * n <= most:
+            level = _joined(level[:-n], level[n:], m)
+        n *= 2
+    return out
 
 
 def sliding(a: np.ndarray, width: int, f) -> np.ndarray:

@@ -274,7 +274,7 @@ def _composite(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def noise_nodes(pages: DataFrame) -> DataFrame:
     """host, nodes: each host's nodes of low importance. pages: host, html."""
-    stats = arrow_map(pages, _page_stats, "host string, page long, node long, parent long, kind byte, value long", 500).distinct()
+    stats = arrow_map(pages, _page_stats, "host string, page long, node long, parent long, kind byte, value long").distinct()
     counted = stats.groupBy("host", "node", "parent", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
     # Presentation: a style of n of m pages has p = n / m. Content: a block on n pages has entropy log_m(n) over them.
     of_node = counted.groupBy("host", "node", "parent").agg(
@@ -307,7 +307,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
     joined = rows.join(noise_nodes(rows.select("host", "html")), "host", "left")
-    return arrow_map(joined.select("page_id", "url", "html", "nodes"), _extract, "page_id long, url string, text string, n_chars long", 500)
+    return arrow_map(joined.select("page_id", "url", "html", "nodes"), _extract, "page_id long, url string, text string, n_chars long")
 
 
 def op3_style_tree(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
-from .common import BASES, LOWER, Rolling, arrow_map, batch, mix64, utf8, written
+from .common import BASES, LOWER, arrow_map, batch, grams, mix64, slices, utf8, written
 from .components import components
 from .repeats import LEAST, word_symbols
 
@@ -49,16 +49,15 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     s = word_symbols(text.translate(LOWER))
     if not len(s):
         return np.zeros(0, np.uint64)
-    roll = Rolling(s, BASES[1])
-    return np.unique(roll.grams(words) if len(s) >= words else roll.slices(np.array([0]), np.array([len(s)])))
+    return np.unique(grams(s, words, BASES[1]) if len(s) >= words else slices(s, np.array([0]), np.array([len(s)]), BASES[1]))
 
 
 def signature(shingle_hashes: np.ndarray, k: int = K) -> np.ndarray:
-    scatter, slices = permutations(k)
+    scatter, rows = permutations(k)
     at = scatter[(shingle_hashes >> np.uint64(44)).astype(np.int64)]
-    out = slices[at[:1024]].min(axis=0)
+    out = rows[at[:1024]].min(axis=0)
     for i in range(1024, len(at), 1024):
-        np.minimum(out, slices[at[i : i + 1024]].min(axis=0), out=out)
+        np.minimum(out, rows[at[i : i + 1024]].min(axis=0), out=out)
     return out
 
 
@@ -182,17 +181,17 @@ def links(sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFra
     def confirmed(pairs: DataFrame) -> DataFrame:
         with_x = pairs.join(texts.select(F.col("doc").alias("x"), F.col("text").alias("text_x")).hint("merge"), "x")
         both = with_x.join(texts.select(F.col("doc").alias("y"), F.col("text").alias("text_y")).hint("merge"), "y")
-        return arrow_map(both.select("y", "text_y", "x", "text_x"), _verify(words, percent), "u long, v long", 200)
+        return arrow_map(both.select("y", "text_y", "x", "text_x"), _verify(words, percent), "u long, v long")
 
     first = written(confirmed(stars), "links")
     roots = components(first)
     rooted = rows.select("bucket", "doc").join(roots.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
     apart = written(rooted.join(mixed.hint("merge"), "bucket", "left_semi"), "apart")
-    fine = arrow_map(texts.join(apart.select("doc").distinct().hint("merge"), "doc", "left_semi").select("doc", "text"), _fine(words), "doc long, fine binary", 500)
+    fine = arrow_map(texts.join(apart.select("doc").distinct().hint("merge"), "doc", "left_semi").select("doc", "text"), _fine(words), "doc long, fine binary")
     marked = sets.select("doc", "bands").join(fine.hint("merge"), "doc")
     apart = apart.join(marked.hint("merge"), "doc").select("bucket", "doc", "root", "bands", "fine").repartition("bucket").sortWithinPartitions("bucket", "doc")
-    more = arrow_map(apart, _cross, "x long, y long", 1000).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    more = arrow_map(apart, _cross, "x long, y long").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     known = stars.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
     second = confirmed(written(more.join(known.hint("merge"), ["x", "y"], "left_anti"), "pairs"))
     return first.unionAll(second)
@@ -207,7 +206,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     the least of all. Empty table: no rows. Other columns are not kept.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc"), "text")
-    sets = written(arrow_map(rows, _sets(words), "doc long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary", 500), "sets")
+    sets = written(arrow_map(rows, _sets(words), "doc long, n_shingles long, s1 long, s2 long, bands array<long>, sketch binary"), "sets")
     full = sets.where("n_shingles > 0")
     classes = full.groupBy("s1", "s2").agg(F.min("doc").alias("first"))
     member = written(full.select("doc", "s1", "s2").join(classes.hint("merge"), ["s1", "s2"]).select("doc", "first").distinct(), "members")

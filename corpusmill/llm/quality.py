@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BASES, LOWER, Rolling, arrow_map, batch, utf8
+from .common import BASES, LOWER, arrow_map, batch, grams, utf8
 from .repeats import byte_symbols, word_symbols
 
 #: Labelled rows that a fit takes at most.
@@ -34,8 +34,8 @@ def repeated_words(words: list[bytes], n: int = REPEAT) -> int:
         return 0
     ids: dict[bytes, int] = {}
     seq = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
-    grams = Rolling(seq.astype(np.uint64) * np.uint64(BASES[1]) + np.uint64(1), BASES[0]).grams(n)
-    _, of, counts = np.unique(grams, return_inverse=True, return_counts=True)
+    runs = grams(seq.astype(np.uint64) + np.uint64(1), n, BASES[0])
+    _, of, counts = np.unique(runs, return_inverse=True, return_counts=True)
     at = np.flatnonzero(counts[of] > 1)
     if not len(at):
         return 0
@@ -67,9 +67,8 @@ def features(raw: bytes) -> list[np.ndarray]:
     low = raw.translate(LOWER)
     out = []
     for symbols, sizes in ((word_symbols(low), (1, 2)), (byte_symbols(low), (3, 5))):
-        roll = Rolling(symbols, BASES[0])
         for n in sizes:
-            got = roll.grams(n) if len(symbols) >= n else np.zeros(0, np.uint64)
+            got = grams(symbols, n, BASES[0])
             out.append((got >> np.uint64(64 - BITS)).astype(np.int32))
     return out
 
@@ -156,7 +155,7 @@ def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mod
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.min("quality").cast("double").alias("good"))
     chosen = known.orderBy(F.xxhash64("doc"), "doc").limit(fit_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(F.broadcast(chosen), "doc").select("doc", "text", "good")
-    rows = arrow_map(texts, _featured, "doc long, at binary, share binary, good double", 500).collect()
+    rows = arrow_map(texts, _featured, "doc long, at binary, share binary, good double").collect()
     rows.sort(key=lambda r: (r["doc"], bytes(r["at"])))
     return fit([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["share"], "<f4"), r["good"]) for r in rows[: 2 * fit_rows]])
 
@@ -184,7 +183,7 @@ def judged(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD,
             yield pa.RecordBatch.from_arrays([*rb.columns, *batch(_OUT, out).columns], names=[*rb.schema.names, *_OUT.names])
 
     schema = "doc_id long, text string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema, 500)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def kept_only(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -201,7 +200,7 @@ def kept_only(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOL
             keep = [not base_counts(raw)[-1] and (model is None or model.probability(raw) >= threshold) for raw in utf8(rb.column("text"))]
             yield rb.filter(pa.array(keep, pa.bool_()))
 
-    return arrow_map(docs, run, docs.schema, 500)
+    return arrow_map(docs, run, docs.schema)
 
 
 def op4_hashed_lr(spark, sf_dir: str) -> DataFrame:

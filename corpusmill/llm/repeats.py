@@ -9,6 +9,7 @@ each different context of an anchor is fetched and compared symbol by symbol by
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable
 
@@ -16,12 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import BASES, Rolling, anchors, arrow_map, batch, utf8, written
+from .common import BASES, anchors, arrow_map, batch, grams, mix64, slices, utf8, written
 
 #: A fixed table of random odd symbols for bytes.
 _BYTES = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: What to keep of 8 bytes of which the first n are a word's.
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG = 64
 #: Bits of a text's crc32 that tell rows of one doc_id apart.
 TAG = 0x7FFFF
 LEAST = -(1 << 63)
@@ -38,9 +42,25 @@ def byte_symbols(text: bytes) -> np.ndarray:
 
 
 def word_symbols(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word: 8 bytes after 8 bytes with mixing between; of words over LONG bytes BLAKE2."""
     a = np.frombuffer(text, np.uint8)
     start, end = word_edges(a)
-    return Rolling(_BYTES[a], BASES[0]).slices(start, end)
+    length = end - start
+    padded = np.zeros(len(a) + 8, np.uint8)
+    padded[: len(a)] = a
+    low = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    out = np.zeros(len(start), np.uint64)
+    short = np.flatnonzero(length <= LONG)
+    for k in range(0, LONG, 8):
+        short = short[length[short] > k]
+        if not len(short):
+            break
+        n = np.minimum(length[short] - k, 8)
+        block = np.ascontiguousarray(low[start[short] + k]).view("<u8").ravel() & _TAIL[n]
+        out[short] = mix64((out[short] ^ block) * np.uint64(BASES[0]) + n.astype(np.uint64))
+    for i in np.flatnonzero(length > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(text[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def byte_slice(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
@@ -79,11 +99,11 @@ def _anchored(symbols: Callable, window: int, gram: int):
                 n = len(s)
                 if n < window:
                     continue
-                h = Rolling(s, BASES[0] ^ 0x55AA55AA00).grams(gram)
+                h = grams(s, gram, BASES[0])
                 p = anchors(h, width)
                 low, high = np.maximum(p - (width - 1), 0), np.minimum(p + window, n)
                 hs.append(h[p])
-                cs.append(Rolling(s, BASES[1]).slices(low, high) + (p - low).astype(np.uint64))
+                cs.append(slices(s, low, high, BASES[1]) + (p - low).astype(np.uint64))
                 ds.append(np.full(len(p), doc))
                 ats.append(pack_at(zlib.crc32(text) & TAG, p, p - low, high - p))
             if hs:
@@ -102,7 +122,7 @@ def shared_anchors(rows: DataFrame, symbols: Callable, window: int, gram: int, n
 
     Only anchors that occur twice or more. One shuffle, by h, of the anchors alone.
     """
-    found = arrow_map(rows.select("doc", "text"), _anchored(symbols, window, gram), "h long, c long, doc long, at long", 2000)
+    found = arrow_map(rows.select("doc", "text"), _anchored(symbols, window, gram), "h long, c long, doc long, at long")
     of_c, of_h = W.partitionBy("h", "c"), W.partitionBy("h")
     ranked = found.withColumn("nth", F.rank().over(of_c.orderBy("doc", "at"))).withColumn("n_same", F.count(F.lit(1)).over(of_c))
     ranked = ranked.withColumn("n", F.count(F.lit(1)).over(of_h)).where("n > 1")
@@ -130,7 +150,7 @@ def contexts(rows: DataFrame, wanted: DataFrame, cut: Callable) -> DataFrame:
                     s.append(x["n_same"])
             yield batch(_CONTEXT, [h, d, a, s, out])
 
-    return arrow_map(joined, run, "h long, doc long, at long, n_same long, context binary", 500)
+    return arrow_map(joined, run, "h long, doc long, at long, n_same long, context binary")
 
 
 _MARK = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
@@ -168,7 +188,7 @@ def solved(found: DataFrame, solve: Callable) -> DataFrame:
             to += more
         yield batch(_MARK, list(out))
 
-    return arrow_map(ordered, run, "doc long, tag long, start long, end long", 5000)
+    return arrow_map(ordered, run, "doc long, tag long, start long, end long")
 
 
 def whole_contexts(found: DataFrame) -> DataFrame:
@@ -192,4 +212,4 @@ def removed(rows: DataFrame, docs_columns: list[str], marks: DataFrame, digest:
     """Joins each text with its marks and applies digest(doc, text, runs) -> row."""
     spans = marks.groupBy("doc", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     joined = rows.join(spans, ["doc", "tag"], "left").select(*docs_columns, "text", "starts", "ends")
-    return arrow_map(joined, digest, schema, 500)
+    return arrow_map(joined, digest, schema)

@@ -134,7 +134,7 @@ def read_warc(spark, path: str) -> DataFrame:
                     yield batch(_RECORD, cols)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
-    records = arrow_map(files, run, "record_id string, url string, time string, revisit boolean, headers map<string,string>, payload binary, http_status int, profile string", 1)
+    records = arrow_map(files, run, "record_id string, url string, time string, revisit boolean, headers map<string,string>, payload binary, http_status int, profile string")
     return records.withColumn("time", F.unix_micros(F.try_to_timestamp("time")))
 
 
