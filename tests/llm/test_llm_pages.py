@@ -124,7 +124,7 @@ def test_read_warc(spark, tmp_path):
     (tmp_path / "b.warc").write_bytes(raw[:-30])
     rows = revisits.read_warc(spark, str(tmp_path)).collect()
     assert sorted(r["revisit"] for r in rows) == [False, False, True]
-    assert {r["payload"] for r in rows if not r["revisit"]} == {bytearray(b"body")} and rows[0]["headers"]["etag"] == '"1"'
+    assert {bytes(r["payload"]) for r in rows if not r["revisit"]} == {b"body"} and rows[0]["headers"]["etag"] == '"1"'
 
 
 def test_only_full_responses_are_sources(spark, tmp_path):
