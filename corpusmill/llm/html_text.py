@@ -1,127 +1,203 @@
 """HTML main text with site style trees.
 
-Pages of one host are merged to a style tree: a node is a path of container elements by tag, class and role. A
-node's presentation importance is the entropy of its child sequences over the pages that have it; its content
-importance falls with the share of pages that its blocks recur on; a composite joins both with its children's. What
-elements declare comes first: navigation, forms, adverts, comments and the like have importance 0, an article or
-main element 1. A word of a class or id does not cut what is or holds the page's article. Branches of low importance are cut from each page; where a page has an article, only its branch is
-read. The entropies decide on what declares nothing itself, inside an article as well as on pages without one, with
-MIN_PAGES pages of the host or more that have the node.
+Pages of one host are merged to a style tree: a node is a path of container elements by tag, class and role. A node's
+presentation importance is the entropy of its child sequences over the pages that have it, to the base of their number
+(0: all pages alike, 1: each its own). Its content importance is 1 less the mean entropy of its blocks' texts over them
+(0: on all pages, 1: each on one). Its importance is the mean of both and, on a page, the mean of that with what the
+page says beforehand: 1 in an article or main element itself, 0.8 if named as content, 0.5 below an article or where the
+page has none, less where a part of its name stands for something else, little outside the page's article. A node below LOW
+loses its blocks; a branch is as important as its most important node, so one of low nodes alone goes whole. Nodes on
+fewer than MIN_PAGES pages have the page's word alone.
+
+Markup is read before the tree: scripts, styles, forms, hidden elements, nav, footer, aside and their roles are no
+text, nor are elements whose class or id says nothing else than what is to go (ad, comments, cookie-notice); entropies
+cannot tell readers' comments or fresh adverts from an article. Names never cut what holds the page's article.
 
 Null or empty html, or a page without text: ''. Unclosed elements end with their parent; text after an unclosed
-comment, script or style is not text. A null or odd url: the host is ''. Repeated rows are pages of their own, but pages
-of a host with the same text count as one in the statistics. A page that the tree would leave empty keeps its text.
+comment, tag, script or style is not text. A null or odd url: the host is ''. Repeated rows are pages of their own, but
+pages of a host with the same text count as one in the tree. A page that the tree would leave empty keeps its text.
+Reading is linear in the page's length, however broken the page is.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
-import math
 import re
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, batch, ship
+from .common import arrow_map, batch, ship, written
 
 MIN_PAGES = 4
 LOW = 0.3
-DAMPING = 0.9
+#: What a page says of a node: named as content, neutral, named in part as something else (below an article; on a page without one), outside the page's article.
+NAMED, NEUTRAL, PARTLY, DOUBTFUL, OUTSIDE = 0.8, 0.5, 0.45, 0.29, 0.05
 
 #: Elements and what they are.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 CUT = {"nav", "footer", "aside", "form", "head", "button", "select", "svg", "object", "canvas", "menu", "dialog", "audio", "video", "map"}
 CONTAINERS = {"html", "body", "div", "section", "article", "main", "header", "ul", "ol", "table", "figure", "details", "dl", "center", "fieldset"} | CUT
 BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "blockquote", "pre", "address", "hr", "caption", "figcaption", "summary", "legend", "hgroup", "tbody", "thead", "tfoot"}
-SPACED = {"br", "td", "th", "img", "wbr", "option"} - {"wbr"}
+SPACED = {"br", "td", "th", "img", "option"}
 NOISE = set("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar sidenav footer masthead cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus widget toolbar pagination pager skip copyright disclaimer search form".split())
 CONTENT = set("article content story".split())
 #: Words that make a header one of the article.
 OWN_HEADER = CONTENT | set("post entry".split())
-#: Words of adverts, comments and lists of other pages, which hold articles of their own.
+#: Words that say nothing by themselves of what an element holds.
+GENERIC = set("this the us my site page box bar wrap wrapper container block area list links items section widget widgets module inner outer body left right top bottom main primary secondary slot unit posts articles stories topics id js col row panel group small large new".split())
 OTHERS = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion related recommended recommendations comment comments commentlist reply replies respond".split())
-#: Importance declared by a class or id word alone: STRONG if a whole name or a word of OTHERS says so, else WEAK.
-WEAK, STRONG = -1, -2
+#: Declared by names: in part by words of NOISE, by nothing else, or as content.
+WEAK, STRONG, SAID = -1, -2, 2
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation": 0, "banner": 0, "contentinfo": 0, "complementary": 0, "search": 0, "dialog": 0, "alert": 0, "alertdialog": 0, "menu": 0, "menubar": 0, "form": 0, "toolbar": 0, "main": 1, "article": 1}
 
-_TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*>""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_QUOTE_OR_END = re.compile(r"""=\s*(["'])|>""")
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _MODIFIER = re.compile(r"(?:has|no|with|without|tag)[-_]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+def tags(page: str):
+    """Text and tags in turn: (text before, slash, name, attributes); comments and declarations have no name, the last text has None for all. Linear: what is not found once is not sought again."""
+    at, text, n, plain, find = 0, [], len(page), False, page.find
+    while (k := find("<", at)) >= 0:
+        text.append(page[at:k])
+        if page.startswith("<!--", k):
+            short = page.startswith("<!-->", k) or page.startswith("<!--->", k)
+            ends = [e for e in ((find("-->", k + 2), 3), (find("--!>", k + 4), 4)) if e[0] >= 0] if not short else [(find(">", k), 1)]
+            at = min(e + w for e, w in ends) if ends else n
+            yield "".join(text), "", "", ""
+            text = []
+            continue
+        if page.startswith(("<!", "<?"), k):
+            end = find(">", k)
+            at = end + 1 if end >= 0 else n
+            yield "".join(text), "", "", ""
+            text = []
+            continue
+        m = _NAME.match(page, k + 1)
+        if not m:
+            text.append("<")
+            at = k + 1
+            continue
+        end, i = -1, m.end()
+        if not plain:
+            while q := _QUOTE_OR_END.search(page, i):
+                if not q[1]:
+                    end = q.start()
+                    break
+                i = find(q[1], q.end()) + 1
+                if not i:
+                    break
+            plain = end < 0  # a quote that never ends: from here on tags end at the next >
+        if plain:
+            end = find(">", m.end())
+        at = end + 1 if end >= 0 else n
+        after = yield "".join(text), m[1], m[2].lower(), page[m.end() : end if end >= 0 else n]
+        text = []
+        if after:  # skip to the end tag of a raw element; with its name, no tag ends within
+            raw = re.compile(rf"</{re.escape(after)}(?=[\s/>])", re.I).search(page, at)
+            at = raw.start() if raw else n
+            yield "", "", "", ""
+    text.append(page[at:])
+    yield "".join(text), None, None, None
+
+
+def _declared(tag: str, attrs: str) -> tuple[str, int | None, bool]:
+    return _known(tag, attrs) if len(attrs) < 300 else _known.__wrapped__(tag, attrs)
+
+
 @lru_cache(50_000)
-def _declared(tag: str, attrs: str) -> tuple[str, int | None]:
-    """What identifies an element among its siblings, and its declared importance, if any: 0, 1, WEAK or STRONG."""
-    found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
+def _known(tag: str, attrs: str) -> tuple[str, int | None, bool]:
+    """What identifies an element among its siblings, what it declares itself to be (0, 1, SAID, WEAK, STRONG, None), and whether it is an article or main element."""
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
     classes = sorted(found.get("class", "").lower().split())
     role = found.get("role", "").strip().lower()
     names = classes + ([] if tag in HEADINGS else found.get("id", "").lower().split())
     names = [x for x in names if not _MODIFIER.match(x)]
-    words = set(_SPLIT.split(" ".join(names)))
+    parts = [[w for w in _SPLIT.split(x) if w and not w.isdigit()] for x in names]
+    words = {w for p in parts for w in p}
     name = f"{tag}.{'.'.join(classes)}#{role}"
+    main = tag in ("article", "main") or ROLES.get(role) == 1
     if tag in ("html", "body"):
-        return name, None
+        return name, None, False
     if tag in CUT or "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "").lower()) or ROLES.get(role) == 0:
-        return name, 0
-    if tag in ("article", "main") or ROLES.get(role) == 1:
-        return name, STRONG if tag != "main" and words & OTHERS else 1
-    if words & NOISE or "header" in words and not words & OWN_HEADER:
-        return name, STRONG if words & OTHERS or (NOISE | {"header"}).intersection(names) else WEAK
-    if words & CONTENT:
-        return name, 1
-    return name, None
+        return name, 0, main
+    if main:
+        return name, STRONG if tag != "main" and words & OTHERS else 1, True
+    noise = NOISE if words & OWN_HEADER else NOISE | {"header"}
+    if any(set(p) & noise and set(p) <= noise | GENERIC for p in parts):
+        return name, STRONG, False
+    if words & noise:
+        return name, WEAK, False
+    return name, SAID if words & CONTENT else None, False
 
 
-def _main(tag: str, attrs: str) -> bool:
-    """Whether an element is an article or main element."""
-    return tag in ("article", "main") or ROLES.get(_declared(tag, attrs)[0].rpartition("#")[2]) == 1
+class Node(list):
+    """A container of a page: a list of its key in the host's tree, with what the page says of it. own: what it declares; cut: not text by markup or names; prior: what the page says of its importance; inside: below the page's article."""
 
+    __slots__ = ("key", "parent", "own", "main", "style", "cut", "prior", "inside")
 
-def _settle(nodes: list[list], mains: list[int]) -> None:
-    """Settles what class and id words declare, and what each node passes on. They cut no article or main element and
-    nothing that holds one, unless there is another that fewer STRONG ones are around: then it is a teaser or comment."""
+    def __init__(self, key: int, parent: int, own: int | None = None, main: bool = False):
+        super().__init__([key])
+        self.key, self.parent, self.own, self.main, self.style, self.cut, self.prior, self.inside = key, parent, own, main, [], own == 0, NEUTRAL, False
+
+
+def _settle(nodes: list[Node], names: list[str]) -> None:
+    """Names cut no article or main element and nothing that holds one, unless there is another that fewer of them are
+    around: then it is a teaser or comment. What is left of them, and where the article is, gives the nodes' priors."""
     strong = [0] * len(nodes)
     for i, n in enumerate(nodes[1:], 1):
-        strong[i] = strong[n[1]] + (n[4] == STRONG)
-    shown = [i for i in mains if nodes[i][2] != 0]
+        n.cut |= nodes[n.parent].cut
+        strong[i] = strong[n.parent] + (n.own == STRONG)
+    shown = [i for i, n in enumerate(nodes) if n.main and not n.cut]
     least = min((strong[i] for i in shown), default=0)
-    landmark, free = set(mains), {0}
+    free = {0}
     for i in shown:
         if strong[i] == least:
+            nodes[i].own = 1
             while i not in free:
                 free.add(i)
-                if nodes[i][4] in (WEAK, STRONG):
-                    nodes[i][4] = 1 if i in landmark else None
-                i = nodes[i][1]
-    for n in nodes[1:]:
-        above, own = nodes[n[1]][2], n[4]
-        if own in (WEAK, STRONG):
-            own = n[4] = 0
-        if own != 0:
-            nodes[n[1]][3].append(n[5])
-        n[2] = 0 if above == 0 else own if own is not None else above
+                if nodes[i].own in (WEAK, STRONG):
+                    nodes[i].own = None
+                i = nodes[i].parent
+    outside = OUTSIDE if shown else NEUTRAL
+    nodes[0].prior = outside
+    for i, n in enumerate(nodes[1:], 1):
+        above = nodes[n.parent]
+        n.cut |= above.cut or n.own == STRONG
+        if not n.cut:
+            above.style.append(names[i])
+        n.inside = above.inside or n.own == 1 and n.main
+        if n.own == 1:
+            n.prior = 1.0
+        elif n.inside or not shown:
+            n.prior = NAMED if n.own == SAID else (PARTLY if n.inside else DOUBTFUL) if n.own == WEAK else above.prior if above.prior < NEUTRAL else NEUTRAL
+        else:
+            n.prior = outside
 
 
 @lru_cache(200_000)
-def _node(parent: int, name: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{parent}/{name}".encode(), digest_size=8).digest(), "little", signed=True)
+def _path(parent: int, name: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{parent}/{name}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def parse(page: str) -> tuple[list[list], list[tuple[int, str]]]:
-    """The page's containers, [node, parent's place, importance declared by it or a parent, child names, importance declared by itself, name], and its blocks, (container's place, text)."""
-    nodes: list[list] = [[0, -1, None, [], None, ""]]
-    mains: list[int] = []
+def parse(page: str, host: str = "") -> tuple[list[Node], list[tuple[int, str]]]:
+    """The page's containers, the first of them the page itself, and its blocks of text, (container's place, text)."""
+    nodes, names = [Node(_path(0, host), -1)], [""]
     blocks: list[tuple[int, str]] = []
     open_: list[tuple[str, int]] = [("", 0)]
+    count: dict[str, int] = {}
     text: list[str] = []
     hidden: list[str] = []  # cut elements that are no containers of text, as <span hidden>
-    soft = False  # they are cut by a word alone
+    soft = False  # they are cut by a name alone
 
     def close():
         if text:
@@ -129,24 +205,28 @@ def parse(page: str) -> tuple[list[list], list[tuple[int, str]]]:
             text.clear()
             if whole:
                 blocks.append((open_[-1][1], whole))
-
-    at, find = 0, _TAG.search
-    while m := find(page, at):
-        if m.start() > at and not hidden:
-            text.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+                nodes[open_[-1][1]].style.append("#")
+
+    source, raw = tags(page), None
+    while True:
+        before, slash, tag, attrs = source.send(raw)
+        raw = None
+        if before and not hidden:
+            text.append(before)
+        if tag is None:
+            break
         if not tag:
             continue
-        tag = tag.lower()
-        if m[1]:
+        if slash:
             if tag in CONTAINERS:
                 close()
-                for k in range(len(open_) - 1, 0, -1):
-                    if open_[k][0] == tag:
-                        del open_[k:]
-                        hidden.clear()
-                        break
+                if count.get(tag):
+                    while True:
+                        shut = open_.pop()[0]
+                        count[shut] -= 1
+                        if shut == tag:
+                            break
+                    hidden.clear()
             elif tag in BLOCKS:
                 close()
                 hidden.clear()
@@ -156,64 +236,53 @@ def parse(page: str) -> tuple[list[list], list[tuple[int, str]]]:
                 hidden.pop()
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
-            at = end.start() if end else len(page)
+            raw = tag
             continue
         if tag in CONTAINERS:
             close()
-            if m[3].endswith("/") and tag == "svg":
+            if attrs.endswith("/") and tag == "svg":
                 continue
             parent = open_[-1][1]
-            name, own = _declared(tag, m[3])
-            above, main = nodes[parent][2], _main(tag, m[3])
-            if tag == "header" and above != 1 and own is None:
+            name, own, main = _declared(tag, attrs)
+            if tag == "header" and own is None and not any(nodes[k].main for _, k in open_):
                 own = 0
-            if main:
-                mains.append(len(nodes))
-                if soft:
-                    hidden.clear()
-            # Until _settle, words alone pass on what stands above.
-            nodes.append([_node(nodes[parent][0], name), parent, 0 if above == 0 or own == 0 else 1 if own == 1 or main else above, [], own, name])
+            if main and soft:
+                hidden.clear()
+            nodes.append(Node(_path(nodes[parent].key, name), parent, own, main))
+            names.append(name)
             open_.append((tag, len(nodes) - 1))
+            count[tag] = count.get(tag, 0) + 1
         elif tag in BLOCKS:
             close()
-            own = _declared(tag, m[3])[1] if m[3] else None
-            if own in (0, WEAK, STRONG):
-                parent = open_[-1][1]
-                blocks.append((parent, ""))
+            own = _declared(tag, attrs)[1] if attrs else None
+            if own in (0, STRONG):
                 hidden, soft = [tag], own != 0
             else:
                 hidden.clear()
         elif tag in SPACED:
             text.append(" ")
         elif hidden:
-            hidden.append(tag) if hidden[-1] == tag else None
-        elif m[3] and (own := _declared(tag, m[3])[1]) in (0, WEAK, STRONG) and tag not in ("input", "link", "meta", "img", "embed", "source", "a", "b", "i", "em", "strong"):
+            if hidden[-1] == tag:
+                hidden.append(tag)
+        elif attrs and tag not in ("input", "link", "meta", "img", "embed", "source", "a", "b", "i", "em", "strong") and (own := _declared(tag, attrs)[1]) in (0, STRONG):
             hidden, soft = [tag], own != 0
-    if at < len(page) and not hidden:
-        text.append(page[at:])
     close()
-    _settle(nodes, mains)
-    return nodes, [(i, t) for i, t in blocks if t]
+    _settle(nodes, names)
+    return nodes, blocks
 
 
-def _kept(nodes: list[list], blocks: list[tuple[int, str]], noise: set[int] = frozenset()) -> str:
-    landmark = any(n[2] == 1 for n in nodes)
-    gone: set[int] = set()
-    for i, (node, parent, declared, _, own, _) in enumerate(nodes):
-        if declared == 0 or own is None and (node in noise or parent in gone):
-            gone.add(i)
-    keep = [i not in gone and (n[2] == 1 or not landmark) for i, n in enumerate(nodes)]
+def _kept(nodes: list[Node], blocks: list[tuple[int, str]], importance: dict[int, float]) -> str:
+    keep = [not n.cut and (n.prior if (e := importance.get(n.key)) is None else (n.prior + e) / 2) >= LOW for n in nodes]
     return "\n".join(t for i, t in blocks if keep[i])
 
 
-def main_text(page: str | None, noise: set[int] = frozenset()) -> str:
-    """The text of a page's blocks without branches that are declared or listed (by node) as noise; without those that are declared alone, if nothing is left."""
-    nodes, blocks = parse(page or "")
-    return _kept(nodes, blocks, noise) or _kept(nodes, blocks)
+def main_text(page: str | None, importance: dict[int, float] | set[int] = frozenset(), host: str = "") -> str:
+    """The text of a page's blocks without branches of low importance (node -> that in the host's tree; a set: nodes of none); by the page's word alone, if nothing is left."""
+    nodes, blocks = parse(page or "", host)
+    return _kept(nodes, blocks, importance if isinstance(importance, dict) else dict.fromkeys(importance, 0.0)) or _kept(nodes, blocks, {})
 
 
-_STATS = pa.schema([("host", pa.string()), ("page", pa.int64()), ("node", pa.int64()), ("parent", pa.int64()), ("kind", pa.int8()), ("value", pa.int64())])
+_STATS = pa.schema([("host_key", pa.int64()), ("page", pa.int64()), ("node", pa.int64()), ("kind", pa.int8()), ("value", pa.int64())])
 
 
 def _hash(text: str) -> int:
@@ -221,93 +290,63 @@ def _hash(text: str) -> int:
 
 
 def _page_stats(batches):
-    """For each page and node: its child sequences (kind 0) and block texts (kind 1), each once, and a hash of its text as declared, which copies share. What is declared as noise is cut in any case and left out."""
+    """For each page and node that is not cut: its child sequence (kind 0) and block texts (kind 1), each once, and a hash of the page's blocks, which copies share."""
     for rb in batches:
         out: list[tuple] = []
-        for host, page in zip(rb.column("host").to_pylist(), rb.column("html").to_pylist()):
-            nodes, blocks = parse(page or "")
-            rows = {(n[0], nodes[n[1]][0] if n[1] >= 0 else -1, 0, _hash("|".join(n[3]))) for n in nodes if n[2] != 0}
-            rows |= {(nodes[i][0], nodes[nodes[i][1]][0] if nodes[i][1] >= 0 else -1, 1, _hash(t)) for i, t in blocks if nodes[i][2] != 0}
-            same = _hash(_kept(nodes, blocks))
-            out += [(host, same, *r) for r in rows]
-        yield batch(_STATS, [list(c) for c in zip(*out)] if out else [[]] * 6)
-
-
-def _composite(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A host's nodes with their own importances -> the nodes whose composite importance is low."""
-    at = {n: i for i, n in enumerate(pdf["node"])}
-    children: dict[int, list[int]] = {}
-    for i, p in enumerate(pdf["parent"]):
-        if p in at:
-            children.setdefault(at[p], []).append(i)
-    pages, styles, shape, content = (pdf[c].tolist() for c in ("pages", "styles", "shape", "content"))
-    imp: dict[int, float] = {}
-    todo = [(i, False) for i in range(len(pdf))]
-    while todo:
-        i, ready = todo.pop()
-        if i in imp:
-            continue
-        kids = children.get(i, [])
-        if kids and not ready:
-            todo.append((i, True))
-            todo += [(k, False) for k in kids if k not in imp]
-            continue
-        parts = [(pages[k], imp.get(k, 1.0)) for k in kids]
-        if content[i] is not None and not math.isnan(content[i]):
-            parts.append((pages[i], content[i]))
-        below = sum(a * b for a, b in parts) / sum(a for a, _ in parts) if parts else 1.0
-        if not kids:
-            imp[i] = below
-        else:
-            g = DAMPING ** styles[i]
-            imp[i] = (1 - g) * shape[i] + g * below
-    # A node with important blocks of its own, or that some important node stands below, is no noise, however low its own value.
-    above = set()
-    for i in range(len(pdf)):
-        if imp[i] >= LOW or pages[i] < MIN_PAGES or content[i] is not None and content[i] >= LOW:
-            while i is not None and i not in above:
-                above.add(i)
-                i = at.get(pdf["parent"].iat[i])
-    low = [i for i in range(len(pdf)) if i not in above and pdf["parent"].iat[i] != -1]
-    return pd.DataFrame({"host": pdf["host"].iloc[low], "node": pdf["node"].iloc[low]})
-
-
-def noise_nodes(pages: DataFrame) -> DataFrame:
-    """host, nodes: each host's nodes of low importance. pages: host, html."""
-    stats = arrow_map(pages, _page_stats, "host string, page long, node long, parent long, kind byte, value long").distinct()
-    counted = stats.groupBy("host", "node", "parent", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    # Presentation: a style of n of m pages has p = n / m. Content: a block on n pages has entropy log_m(n) over them.
-    of_node = counted.groupBy("host", "node", "parent").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("pages"),
-        F.count(F.when(F.col("kind") == 0, 1)).alias("styles"),
-        F.sum(F.when(F.col("kind") == 0, F.col("n") * F.ln("n"))).alias("n_ln_n"),
-        F.avg(F.when(F.col("kind") == 1, F.ln("n"))).alias("mean_ln"),
+        for host, key, page in zip(*(rb.column(c).to_pylist() for c in ("host", "host_key", "html"))):
+            nodes, blocks = parse(page or "", host)
+            shown = [(nodes[i].key, _hash(t)) for i, t in blocks if not nodes[i].cut]
+            same = _hash(repr(shown))
+            out += {(key, same, n.key, 0, _hash("|".join(n.style))) for n in nodes if not n.cut} | {(key, same, node, 1, t) for node, t in shown}
+        yield batch(_STATS, [list(c) for c in zip(*out)] if out else [[]] * 5)
+
+
+def importances(pages: DataFrame) -> DataFrame:
+    """host_key, node, pages, presentation, content, importance of each node that MIN_PAGES different pages of its host have. pages: host, host_key, html.
+
+    presentation: entropy of the child sequences to the base of the pages. content: 1 less the mean, over the node's
+    different blocks, of the entropy of the pages that hold the block; null without blocks. importance: their mean, or presentation alone.
+    """
+    stats = arrow_map(pages, _page_stats, "host_key long, page long, node long, kind byte, value long").distinct()
+    counted = stats.groupBy("host_key", "node", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    style = F.col("kind") == 0
+    of_node = counted.groupBy("host_key", "node").agg(
+        F.sum(F.when(style, F.col("n"))).alias("pages"),
+        F.sum(F.when(style, F.col("n") * F.ln("n"))).alias("n_ln_n"),
+        F.avg(F.when(~style, F.ln("n"))).alias("mean_ln"),
     )
     m = F.ln(F.col("pages").cast("double"))
-    own = of_node.select("host", "node", "parent", "pages", "styles", F.when(F.col("pages") > 1, 1 - F.col("n_ln_n") / F.col("pages") / m).otherwise(1.0).alias("shape"), F.when(F.col("pages") > 1, 1 - F.least(F.lit(1.0), F.col("mean_ln") / m)).when(F.col("mean_ln").isNotNull(), 1.0).alias("content"))
-    low = own.groupBy("host").applyInPandas(_composite, "host string, node long")
-    return low.groupBy("host").agg(F.collect_set("node").alias("nodes"))
+    own = of_node.where(F.col("pages") >= MIN_PAGES).select("host_key", "node", "pages", (1 - F.col("n_ln_n") / F.col("pages") / m).alias("presentation"), F.when(F.col("mean_ln").isNotNull(), 1 - F.least(F.lit(1.0), F.col("mean_ln") / m)).alias("content"))
+    return own.withColumn("importance", F.when(F.col("content").isNull(), F.col("presentation")).otherwise((F.col("presentation") + F.col("content")) / 2))
 
 
 _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
 def _extract(batches):
+    held, tree = object(), {}
     for rb in batches:
-        out = [main_text(page, set(noise or ())) for page, noise in zip(rb.column("html").to_pylist(), rb.column("nodes").to_pylist())]
+        out, trees = [], rb.column("tree")
+        for i, (host, page) in enumerate(zip(rb.column("host").to_pylist(), rb.column("html").to_pylist())):
+            if host != held:
+                held, tree = host, {x["node"]: x["importance"] for x in trees[i].as_py() or ()}
+            out.append(main_text(page, tree, host))
         yield batch(_TEXT, [rb.column("page_id"), rb.column("url"), out, [len(t) for t in out]])
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of each page. Other columns are not kept. Empty table: no rows.
 
-    The join by host carries the pages once; a host with many pages is on the side that can be split, as a host's list of nodes is one row.
+    A host's tree is one row, of the nodes that several of its pages have. It is written first, so that Spark
+    knows its size: small ones are broadcast; else pages are joined by host, and those of a hot host are split by AQE, which only
+    splits joins of plain exchanges.
     """
     ship(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    joined = rows.join(noise_nodes(rows.select("host", "html")), "host", "left")
-    return arrow_map(joined.select("page_id", "url", "html", "nodes"), _extract, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host")).withColumn("host_key", F.xxhash64("host"))
+    tree = written(importances(rows.select("host", "host_key", "html")).groupBy("host_key").agg(F.collect_list(F.struct("node", "importance")).alias("tree")), "trees")
+    joined = rows.join(tree, "host_key", "left")
+    return arrow_map(joined.select("page_id", "url", "html", "host", "tree"), _extract, "page_id long, url string, text string, n_chars long")
 
 
 def op3_style_tree(spark, sf_dir: str) -> DataFrame:

@@ -141,3 +141,62 @@ def test_only_full_responses_are_sources(spark, tmp_path):
     rows = revisits.read_warc(spark, str(tmp_path))
     assert [(r["record_id"], r["http_status"]) for r in rows.collect()] == [("full", 200), ("part", 206), ("same", 304), ("bad", 503), ("v1", 304), ("v2", 200)]
     assert {r["record_id"]: (r["source_id"], r["status"]) for r in revisits.resolved(rows).collect()} == {"v1": ("full", "resolved"), "v2": (None, "other_profile")}
+
+
+def test_importances_against_plain_entropies(spark):
+    import math
+    import random
+    from collections import Counter, defaultdict
+
+    r = random.Random(8)
+    pages = []
+    for i in range(12):
+        inner = "".join(f"<p>{r.choice('abcdef')}</p>" for _ in range(r.randint(1, 4)))
+        pages.append(f"<body><div class='a'>{r.choice(['x', 'y'])}</div><article>{inner}<ul>{'<li>k</li>' * r.randint(1, 2)}</ul></article></body>")
+    pages += pages[:3]
+    styles, texts_, seen = defaultdict(Counter), defaultdict(Counter), set()
+    for page in pages:
+        nodes, blocks = h.parse(page, "a.org")
+        same = tuple((nodes[i][0], t) for i, t in blocks)
+        if same not in seen:
+            seen.add(same)
+            for n in nodes:
+                styles[n[0]][tuple(n.style)] += 1
+            for x in set(same):
+                texts_[x[0]][x[1]] += 1
+    want = {}
+    for node, c in styles.items():
+        m = sum(c.values())
+        pres = -sum(k / m * math.log(k / m, m) for k in c.values())
+        content = 1 - sum(math.log(k, m) for k in texts_[node].values()) / len(texts_[node]) if texts_[node] else None
+        want[node] = (m, pres, content, pres if content is None else (pres + content) / 2)
+    df = spark.createDataFrame([("a.org", 7, p) for p in pages], "host string, host_key long, html string")
+    got = {x["node"]: tuple(x)[2:] for x in h.importances(df).collect()}
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v)
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<div class='content'><p>intro</p></div><div class='text'><p>the long rest</p></div>", "intro\nthe long rest"),
+    ("<article><p>a</p><div class='notice-period'>n</div><ul class='search-results'><li>r</ul></article>", "a\nn\nr"),
+    ("<article>a<div class='cookie-notice'>c</div><div class='related-posts'>r</div></article>", "a"),
+    ("<p class='x' class='ad'>a<p title='1 > 0'>b<a href=\"q>c</a>d", "a\nbcd"), ("x<!-->y<!-- a > b -->z<!--", "xyz"), ("a<a x", "a"), ("1 < 2 <3 </ 4", "1 < 2 <3 </ 4"),
+])
+def test_names_and_broken_markup(page, text):
+    assert h.main_text(page) == text
+
+
+def test_the_tree_overrules_what_stands_beforehand(spark):
+    page = "<body><div class='news-footer-x'>{0}</div><main>Own {0}</main><section>Lead {0}{1}</section></body>"
+    assert texts(spark, [page.format(i, "<p>more</p>" * i) for i in range(8)])[5] == "Own 5\nLead 5\n" + "\n".join(["more"] * 5)
+    assert h.main_text(page.format(5, "")) == "Own 5"
+
+
+@pytest.mark.parametrize("piece", ["<a x ", "<a x=\"> ", "<a b='>", "<!-- ", "<! ", "<div><p>a</section>", "</div x='", "<script>", "&amp", "<p hidden>"])
+def test_long_broken_pages_take_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    h.main_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 20
