@@ -147,3 +147,71 @@ def test_token_round_trip(spark):
         assert got[None if d < 0 else d] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert tf.tokens(df.limit(0)).count() == 0
+
+
+def test_each_text_of_a_repeated_id_is_searched(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = [(5, a), (5, b), (9, a + " x"), (10, b + " y"), (11, None), (11, a), (12, ""), (None, b), (None, "alone"), (3, "alone")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(x["doc_id"], x["component_id"], x["kept"]) for x in minhash.near_duplicates(df, words=4).collect()}
+    assert got == {(5, None, False), (9, None, False), (10, None, False), (11, None, False), (12, 12, True), (None, None, True), (3, None, False)}
+
+
+def thue_morse(bits):
+    a, b = b"a", b"b"
+    for _ in range(bits):
+        a, b = a + b, b + a
+    return a.decode(), b.decode()
+
+
+def test_hashes_tell_structured_texts_apart(spark):
+    from corpusmill.llm import common, repeats
+
+    for bits in (5, 7, 10, 12):
+        a, b = thue_morse(bits)
+        assert repeats.word_symbols(a.encode())[0] != repeats.word_symbols(b.encode())[0]
+        x, y = (repeats.byte_symbols(t.encode()) for t in (a, b))
+        n = len(a)
+        assert common.grams(x, n, common.BASES[0])[0] != common.grams(y, n, common.BASES[0])[0]
+        whole = np.array([0]), np.array([n])
+        assert common.slices(x, *whole, common.BASES[1])[0] != common.slices(y, *whole, common.BASES[1])[0]
+    docs = [(1, a), (2, b + " one two three"), (3, a + " " + " ".join(f"w{i}" for i in range(34))), (4, b + " " + " ".join(f"w{i}" for i in range(34)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x["doc_id"]: tuple(x)[1:] for x in minhash.near_duplicates(df, words=4).collect()} == minhash.brute_force(docs)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 2), min_size=1, max_size=80), st.integers(1, 40))
+def test_equal_runs_have_equal_hashes(symbols, width):
+    from corpusmill.llm import common
+
+    x = np.array(symbols, np.uint64) + np.uint64(5)
+    runs = common.grams(x, width, common.BASES[0])
+    plain = [tuple(symbols[i : i + width]) for i in range(len(symbols) - width + 1)]
+    assert len(runs) == max(0, len(plain)) and len(set(runs.tolist())) == len(set(plain))
+    at = [(i, j) for i in range(len(symbols)) for j in range(i + 1, len(symbols) + 1)]
+    got = common.slices(x, np.array([i for i, _ in at]), np.array([j for _, j in at]), common.BASES[1])
+    seen = {}
+    for h, (i, j) in zip(got.tolist(), at):
+        assert seen.setdefault(h, tuple(symbols[i:j])) == tuple(symbols[i:j])
+    assert len(seen) == len({tuple(symbols[i:j]) for i, j in at})
+
+
+def test_large_buckets_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CELL", 3)
+    r = random.Random(9)
+    core = words(r, 100)
+    docs = []
+    for i in range(60):  # four families that share a core, so that buckets mix them
+        w = core + [f"f{i % 4}x{k}" for k in range(34)]
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = f"n{r.randint(0, 9)}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x["doc_id"]: tuple(x)[1:] for x in minhash.near_duplicates(df, words=1).collect()} == minhash.brute_force(docs, words=1)
+
+
+def test_recall_of_near_duplicates_at_full_size(spark):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x["doc_id"]: tuple(x)[1:] for x in minhash.near_duplicates(df, words=4).collect()} == minhash.brute_force(docs)
