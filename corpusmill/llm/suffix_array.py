@@ -37,23 +37,35 @@ def sort_suffixes(text: list[int]) -> list[int]:
         place[i], group[i] = k, g
     if n:
         last[g] = n
-    before = [-1] * n
+    before = [-2] * n  # the last earlier suffix of a lower group, once known
     stop = n
     while stop > 0:
         g = group[order[stop - 1]]
         pointed: dict[int, int] = {}
-        for i in sorted(order[g:stop]) if stop - g > 1 else (order[g],):
-            j = i - 1
-            while j >= 0 and group[j] >= g:
-                j = before[j]
-            before[i] = j
+        for i in order[g:stop]:
+            if before[i] == -2:
+                chain = [i]  # members of this group that point to one place
+                while True:
+                    j = chain[-1] - 1
+                    while j >= 0 and group[j] > g:
+                        j = before[j]
+                    if j < 0 or group[j] < g:
+                        break
+                    if before[j] != -2:
+                        j = before[j]
+                        break
+                    chain.append(j)
+                for k in chain:
+                    before[k] = j
+            j = before[i]
             if j >= 0:
                 pointed[j] = pointed.get(j, 0) + 1
-        parts: dict[tuple[int, int], list[int]] = {}
+        parts: dict[int, dict[int, list[int]]] = {}
         for j, times in pointed.items():
-            parts.setdefault((times, group[j]), []).append(j)
-        for key in sorted(parts, reverse=True) if len(parts) > 1 else parts:
-            low, members = key[1], parts[key]
+            parts.setdefault(times, {}).setdefault(group[j], []).append(j)
+        keys = [(t, low) for t in range(max(parts), 0, -1) for low in parts.get(t, ())] if parts else []
+        for t, low in keys:
+            members = parts[t][low]
             high = last[low]
             new = high - len(members)
             if new == low:
@@ -145,54 +157,69 @@ def earlier_matches(group: list[tuple], length: int = LENGTH, gram: int = GRAM):
     sizes: list[int] = []
     owner: list[int] = []
     starts: list[int] = []
-    names: dict = {}
     used = [i for i in range(len(group)) if (lefts[i][-1] if lefts[i] else 0) + gram + (rights[i][-1] if rights[i] else 0) >= length]
     if len(used) < 2:
         return
     base = len(used)
+    names: dict = {None: base}
+    name, more, size, at_, own = names.setdefault, text.append, sizes.append, starts.append, owner.append
     for rank, i in enumerate(used):
-        cuts = [0, *lefts[i]]
-        at = backs[i]
-        for a, b in zip(cuts[-2::-1], cuts[:0:-1]):
-            text.append(base + names.setdefault((0, left[i][:b]), len(names)))
-            sizes.append(b - a)
-            starts.append(at - b)
-        text.append(base + names.setdefault(None, len(names)))
-        sizes.append(gram)
-        starts.append(at)
-        a = 0
+        at, string, b = backs[i], left[i], 0
+        cuts = lefts[i]
+        for k in range(len(cuts) - 1, -1, -1):
+            b = cuts[k]
+            more(name((0, string[:b]), base + len(names)))
+            size(b - (cuts[k - 1] if k else 0))
+            at_(at - b)
+            own(rank)
+        more(base)
+        size(gram)
+        at_(at)
+        own(rank)
+        at, string, a = at + gram, right[i], 0
         for b in rights[i]:
-            text.append(base + names.setdefault((1, right[i][:b]), len(names)))
-            sizes.append(b - a)
-            starts.append(at + gram + a)
+            more(name((1, string[:b]), base + len(names)))
+            size(b - a)
+            at_(at + a)
+            own(rank)
             a = b
-        text.append(base - 1 - rank)
-        sizes.append(0)
-        starts.append(0)
-        owner += [rank] * (len(text) - len(owner))
+        more(base - 1 - rank)
+        size(0)
+        at_(0)
+        own(rank)
     order = sort_suffixes(text)
     shared = common_prefixes(text, order)
     upto = [0, *accumulate(sizes)]
     best: dict[int, int] = {}
     for sequence, gaps in ((order, shared), (order[::-1], [0, *shared[:0:-1]])):
-        # a stack of (owner, symbols shared with the suffix at hand), owners ascending: the nearest earlier one is on top
-        stack: list[list[int]] = []
+        # owners ascend on the stack, each with the symbols it shares with the one below; the nearest earlier owner is on top
+        owners: list[int] = []
+        below: list[int] = []
         for i, gap in zip(sequence, gaps):
-            for x in reversed(stack):
-                if x[1] <= gap:
-                    break
-                x[1] = gap
-            mine, least = owner[i], 1 << 60
-            while stack and stack[-1][0] >= mine:
-                stack.pop()
-            if stack:
-                least = stack[-1][1]
-                n = upto[i + least] - upto[i]
+            mine = owner[i]
+            while owners and owners[-1] >= mine:
+                owners.pop()
+                least = below.pop()
+                if least < gap:
+                    gap = least
+            if owners and gap:
+                n = upto[i + gap] - upto[i]
                 if n >= length and n > best.get(i, 0):
                     best[i] = n
-            stack.append([mine, 1 << 60])
-    for i, n in best.items():
-        yield used[owner[i]], starts[i], starts[i] + n
+            owners.append(mine)
+            below.append(gap)
+    # What overlaps within one context is one mark; places ascend with i.
+    last, low, high = -1, 0, 0
+    for i in sorted(best):
+        a = starts[i]
+        if owner[i] == last and a <= high:
+            high = max(high, a + best[i])
+        else:
+            if last >= 0:
+                yield used[last], low, high
+            last, low, high = owner[i], a, a + best[i]
+    if last >= 0:
+        yield used[last], low, high
 
 
 def _digest(batches):
