@@ -138,6 +138,11 @@ def judge_score(marks: dict[str, Column]) -> Column:
     return unit(sum(parts[1:], parts[0]) / 10.0)
 
 
+def judge_raw(marks: dict[str, Column], overall: Column, error: Column) -> Column:
+    """A judge's record from marks of 0 to 1: tenfold marks, the overall one null where it is, and the error."""
+    return F.struct(*[(F.coalesce(marks[k], F.lit(0.0)) * 10.0).alias(k) for k in JUDGE_WEIGHTS], (overall * 10.0).alias("overall"), error.alias("error"))
+
+
 def two_level(gate: Column, text: Column, judge: Column, judge_failed: Column, reference: Column, *, text_weight: float = 0.1, image_weight: float = 0.9, reference_weight: float = 0.9, judge_weight: float = 0.1, modulation: float = 1.0) -> Column:
     """Gate times the weighted text and image scores. A failed judge drops out and the reference takes its weight; a failed reference stays 0 at full weight."""
     wr, wj = F.lit(max(0.0, reference_weight)), F.when(judge_failed, 0.0).otherwise(max(0.0, judge_weight))

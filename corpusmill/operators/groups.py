@@ -62,18 +62,31 @@ def image_blocks(tokens: DataFrame, key: str = "id") -> DataFrame:
 
 def token_weights(tokens: DataFrame, blocks: DataFrame, weights: DataFrame, key: str = "id", default: float = 1.0) -> DataFrame:
     """weight and block of each token, by the block's ordinal (weights: block, weight); outside blocks the default."""
-    b = blocks.join(F.broadcast(weights), "block", "left").withColumnRenamed(key, "_k")
+    b = blocks.join(weights, "block", "left").withColumnRenamed(key, "_k")
     on = (tokens[key] == b["_k"]) & tokens["pos"].between(b["start_at"], b["end_at"])
     return tokens.join(b, on, "left").drop("_k", "start_at", "end_at").withColumn("weight", F.coalesce("weight", F.lit(default)))
 
 
-def open_blocks(tokens: DataFrame, key: str = "id") -> DataFrame:
-    """inside: more starts than ends so far; since_start: tokens since the last start; row and column for a grid of `width` columns are since_start div and mod width."""
+def open_blocks(tokens: DataFrame, key: str = "id", width: int | None = None) -> DataFrame:
+    """inside: more starts than ends so far; since_start: tokens since the last start. With a grid's width also row and
+    column (width: the row's end) of tokens behind a start and the two sizes."""
     w = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     starts = F.count_if(F.col("token") == vocab.IMAGE_START).over(w)
     ends = F.count_if(F.col("token") == vocab.IMAGE_END).over(w)
     last = F.max(F.when(F.col("token") == vocab.IMAGE_START, F.col("pos"))).over(w)
-    return tokens.withColumn("inside", starts > ends).withColumn("since_start", F.when(starts > ends, F.col("pos") - last))
+    out = tokens.withColumn("inside", starts > ends).withColumn("since_start", F.when(starts > ends, F.col("pos") - last))
+    if width is None:
+        return out
+    at = F.when(F.col("since_start") >= 3, F.col("since_start") - 3)
+    return out.withColumn("row", F.floor(at / (width + 1))).withColumn("column", F.pmod(at, F.lit(width + 1)))
+
+
+def may_start(before: Column, tags: list[list[int]]) -> Column:
+    """Whether an image may start here: the tokens before end with an image's opening tag."""
+    out = F.lit(False)
+    for t in tags:
+        out = out | ends_with(before, t)
+    return F.coalesce(out, F.lit(False))
 
 
 def expected_class(since: Column, width: int, height: int) -> Column:
@@ -94,13 +107,14 @@ def framed(codes: Column, height: int, width: int, size_base: int, newline: int)
     return F.concat(F.array(F.lit(vocab.IMAGE_START), F.lit(size_base + height), F.lit(size_base + width)), rows, F.array(F.lit(vocab.IMAGE_END)))
 
 
-def grid_ok(tokens: Column, height: int, width: int) -> Column:
+def grid_ok(tokens: Column, height: int, width: int, codes_per_grid: int = 16) -> Column:
+    """Whether a block of height by width grids has all its codes, row ends left out."""
     codes = F.filter(tokens, lambda x: x.between(vocab.CODE_FIRST, vocab.CODE_LAST))
-    return F.size(codes) == height * width
+    return F.size(codes) == codes_per_grid * height * width
 
 
 def ends_with(tokens: Column, tail: list[int]) -> Column:
-    return F.slice(tokens, -len(tail), len(tail)) == F.array(*[F.lit(x) for x in tail])
+    return F.when(F.size(tokens) >= len(tail), F.slice(tokens, -len(tail), len(tail)) == F.array(*[F.lit(x) for x in tail])).otherwise(F.lit(False))
 
 
 def masked_labels(tokens: Column, prompt_length: Column) -> Column:
@@ -173,9 +187,16 @@ def guided(conditional: Column, unconditional: Column, scale: float) -> Column:
     return scale * (conditional - unconditional) + unconditional
 
 
-def row_seed(base: int, epoch: Column, rank: Column, ordinal: Column, generation: Column) -> Column:
-    """A seed for each generated row; different rows have different seeds below a billion rows an epoch."""
-    return F.pmod(F.xxhash64(F.lit(base), epoch, rank, ordinal, generation), F.lit(2**31 - 1))
+def row_seed(base: int, epoch: Column, step: Column, rank: Column, generation: Column) -> Column:
+    """The seed of each generated row, a plain sum."""
+    return F.lit(base).cast("long") + epoch.cast("long") * vocab.SEED_EPOCH + step.cast("long") * vocab.SEED_STEP + rank.cast("long") * vocab.SEED_RANK + generation
+
+
+def token_logp(logits: Column, token: Column) -> Column:
+    """Log probability of a token (0-based) under the softmax of logits, shifted by their maximum."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top))
+    return F.get(logits, token).cast("double") - top - F.ln(total)
 
 
 def aligned_errors(df: DataFrame, a: Column, b: Column, keep: Column) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import text as T
+from ..functions import text as T, vocab
 
 #: The path columns of an item.
 PATHS = ("infrared_degraded_path", "visible_degraded_path", "infrared_clean_path", "visible_clean_path", "fused_gt_path")
@@ -12,8 +14,9 @@ STAGES = ("infrared", "visible", "fused")
 
 
 def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
-    """A dense row number by the given columns, made in two steps so that no task holds all rows: range partitions, then offsets of the partitions."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    """A dense row number by the given columns, made in two steps so that no task holds all rows: range partitions, then offsets of the partitions.
+    Their number is fixed, so that adaptive execution leaves them as they are wherever they are read."""
+    parts = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
     parts = parts.withColumn("_part", F.shiftright("_m", 33)).withColumn("_at", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(F.col("_part").alias("_p"), (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
@@ -21,13 +24,13 @@ def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
 
 
 def filled_metadata(df: DataFrame) -> DataFrame:
-    """Labels and levels from the folders of the degraded paths (label: parent, level: the one above), scene from the file name, where they are missing."""
+    """Labels and levels from the folders of the degraded paths (label: parent, level: the one above), scene from the file name of the fused, else the infrared path, where they are missing."""
     out = df
     for m in ("infrared", "visible"):
         parts = F.split(F.col(f"{m}_degraded_path"), "/")
         out = out.withColumn(f"{m}_label", T.given(F.col(f"{m}_label"), F.try_element_at(parts, F.lit(-2))))
         out = out.withColumn(f"{m}_level", T.given(F.col(f"{m}_level"), F.try_element_at(parts, F.lit(-3))))
-    return out.withColumn("base_image", T.base_scene(F.col("base_image"), F.col("infrared_degraded_path")))
+    return out.withColumn("base_image", T.base_scene(F.col("base_image"), F.col("fused_gt_path"), F.col("infrared_degraded_path")))
 
 
 def rl_projection(df: DataFrame) -> DataFrame:
@@ -38,15 +41,16 @@ def rl_projection(df: DataFrame) -> DataFrame:
     columns += [F.coalesce(F.col(p), F.lit("")).alias(p) for p in PATHS]
     for m in ("infrared", "visible"):
         path = F.col(f"{m}_degraded_path")
-        columns.append(T.canonical_label(F.coalesce(pick(f"{m}_label"), T.path_label(path))).alias(f"{m}_label"))
+        columns.append(F.coalesce(T.given(T.canonical_label(pick(f"{m}_label"))), T.canonical_label(T.path_label(path))).alias(f"{m}_label"))
         columns.append(F.coalesce(pick(f"{m}_level"), T.path_level(path)).alias(f"{m}_level"))
-    columns.append(T.base_scene_from_id(F.col("base_image"), pick("id", "sample_id"), F.col("infrared_degraded_path")).alias("base_image"))
+    columns.append(T.base_scene_from_id(F.col("base_image"), pick("id", "sample_id"), F.col("infrared_degraded_path"), F.col("visible_degraded_path"), F.col("fused_gt_path")).alias("base_image"))
     return df.select(*columns)
 
 
 def stratum() -> Column:
-    """The four parts of a stratum as a struct."""
-    return F.struct(F.col("infrared_level"), T.canonical_label(F.col("infrared_label")).alias("infrared_label"), F.col("visible_level"), T.canonical_label(F.col("visible_label")).alias("visible_label"))
+    """The four parts of a stratum as a struct, in the builder's order of labels."""
+    label = lambda m: T.canonical_degradation(F.col(f"{m}_label")).alias(f"{m}_label")
+    return F.struct(F.col("infrared_level"), label("infrared"), F.col("visible_level"), label("visible"))
 
 
 def composite_key(*columns: str) -> Column:
@@ -80,9 +84,10 @@ def quality_rank() -> Column:
 
 
 def understand_value(stage: str) -> Column:
-    """The legacy field, else the last such tag of the stage's, the final answer's or the final text."""
+    """The legacy field, else the last such tag of the stage's, the final answer's or the final text, cleaned like the field."""
     tag = f"{stage}_understand"
-    return F.coalesce(T.given(F.col(tag), T.last_tag(F.col(f"{stage}_cot"), tag), T.last_tag(F.col("final_answer"), tag), T.last_tag(F.col("final_cot"), tag)), F.lit(""))
+    tagged = [T.legacy_understand(T.last_tag(F.col(c), tag)) for c in (f"{stage}_cot", "final_answer", "final_cot")]
+    return F.coalesce(T.given(T.legacy_understand(F.col(tag)), *tagged), F.lit(""))
 
 
 def clean_stage_schema(df: DataFrame) -> DataFrame:
@@ -103,6 +108,31 @@ def conversation(df: DataFrame, ask: Column, answer: Column, images: list[str])
     return df.select("id", F.array(turn("human", ask), turn("gpt", answer)).alias("conversations"), F.array(*[F.col(c) for c in images]).alias("image"))
 
 
+def answer_value(protocol: str = "full") -> Column:
+    """An item's answer text: the protocol's frame, and under "full" that of the item's kind, filled with its cleaned texts."""
+    framed = lambda kind: prompt(vocab.ANSWER[kind], **{c: T.clean(F.col(c)) for c in re.findall(r"\{(\w+)\}", vocab.ANSWER[kind])})
+    if protocol != "full":
+        return framed(protocol)
+    kind = record_kind()
+    return F.when(kind == "stage_cot", framed("stage_cot")).when(kind == "final_cot", framed("final_cot")).otherwise(framed("legacy_understand"))
+
+
+def protocol_conversation(df: DataFrame, protocol: str = "full") -> DataFrame:
+    """id, conversations and image paths of items by a protocol; the first two images are asked about, the others answered."""
+    clean = PATHS[2:] if protocol != "fused_only" else PATHS[4:]
+    return conversation(df, F.lit(vocab.ASK[protocol]), answer_value(protocol), [*PATHS[:2], *clean])
+
+
+def message(text: Column, images: list[Column], most_pixels: int = 0, least_pixels: int = 0) -> Column:
+    """One user message [{role, content}]: the images that are given, in order, then the text."""
+    pixels = lambda n: F.lit(n if n > 0 else None).cast("int")
+    part = lambda kind, image, words, hi=None, lo=None: F.struct(
+        F.lit(kind).alias("type"), image.alias("image"), words.alias("text"), pixels(hi or 0).alias("max_pixels"), pixels(lo or 0).alias("min_pixels"))
+    none = F.lit(None).cast("string")
+    content = F.array(*[F.when(T.given(c).isNotNull(), part("image", c, none, most_pixels, least_pixels)) for c in images], part("text", none, text))
+    return F.array(F.struct(F.lit("user").alias("role"), F.filter(content, lambda x: x.isNotNull()).alias("content")))
+
+
 def flat_answer(values: dict[str, Column]) -> Column:
     return F.concat_ws("\n", *[F.concat(F.lit(f"<{k}>"), F.coalesce(v, F.lit("")), F.lit(f"</{k}>")) for k, v in values.items()])
 
@@ -116,6 +146,24 @@ def image_names(text: Column) -> Column:
     return F.transform(opened, lambda x, i: F.when(x != "", x).otherwise(F.concat(F.lit("extra_image_"), (i + 1).cast("string"))))
 
 
+def output_names(text: Column, count: Column) -> Column:
+    """File names of the first `count` images: for each placeholder the first free name whose tag is opened before and closed
+    behind it; what is left gets the free names in order, then extra_image_n.png."""
+    pieces = F.split(F.coalesce(text, F.lit("")), re.escape(vocab.PLACEHOLDER))
+    none = F.lit(None).cast("string")
+
+    def tagged(acc: Column, k: Column) -> Column:
+        before, behind = (F.array_join(x, vocab.PLACEHOLDER) for x in (F.slice(pieces, 1, k), F.slice(pieces, k + 1, F.greatest(F.size(pieces) - k, F.lit(0)))))
+        fits = [F.when(F.contains(before, F.lit(f"<{t}>")) & F.contains(behind, F.lit(f"</{t}>")) & ~F.array_contains(acc, f), F.lit(f)) for t, f in vocab.IMAGE_FILES.items()]
+        return F.concat(acc, F.array(F.when(k < F.size(pieces), F.coalesce(*fits)).otherwise(none)))
+
+    places = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+    named = F.aggregate(places, F.array().cast("array<string>"), tagged)
+    free = F.concat(F.array_except(F.array(*[F.lit(f) for f in vocab.IMAGE_FILES.values()]), named), F.transform(places, lambda i: F.concat(F.lit("extra_image_"), i.cast("string"), F.lit(".png"))))
+    unnamed = lambda i: F.size(F.filter(F.slice(named, 1, i + 1), lambda x: x.isNull()))
+    return F.transform(named, lambda x, i: F.coalesce(x, F.get(free, unnamed(i) - 1)))
+
+
 def legacy_schema(df: DataFrame) -> DataFrame:
     """id, paths and the three understand fields; a row that lacks one fails the job."""
     values = {f"{s}_understand": understand_value(s) for s in STAGES}
@@ -125,8 +173,6 @@ def legacy_schema(df: DataFrame) -> DataFrame:
 
 def result_row(df: DataFrame, raw: dict[str, str]) -> DataFrame:
     """Annotated items from three raw outputs (stage: column): sanitized texts, flat answer, validity and the raw outputs."""
-    from ..functions import vocab
-
     cots = {s: T.sanitized_stage(F.col(c), s) for s, c in raw.items()}
     out = df.withColumns({f"{s}_cot": c for s, c in cots.items()})
     tags = {t: T.last_tag(F.col(f"{s}_cot"), t) for s in ("visible", "infrared", "fused") for t in vocab.ANSWER_TAGS[s]}
@@ -141,8 +187,6 @@ def completion_text(*columns: str) -> Column:
 
 def prompt(template: str, **parts: Column) -> Column:
     """A template with {name} places filled by columns; null is ''."""
-    import re
-
     pieces = re.split(r"\{(\w+)\}", template)
     return F.concat(*[F.coalesce(parts[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(pieces)])
 

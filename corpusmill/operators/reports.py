@@ -50,6 +50,11 @@ def macro_average(df: DataFrame, stratum: str, value: str) -> DataFrame:
     return df.groupBy(stratum).agg(F.avg(value).alias("m")).agg(F.avg("m").alias("value"))
 
 
+def level_averages(df: DataFrame, stratum: str, level: str, value: str) -> DataFrame:
+    """The mean of the strata's means of each level, and of all (level null)."""
+    return df.groupBy(level, stratum).agg(F.avg(value).alias("m")).groupingSets([[F.col(level)], []], level).agg(F.avg("m").alias("value"), F.count(F.lit(1)).alias("strata"))
+
+
 def missing_from(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.select(key).distinct().join(right.select(key).distinct(), key, "left_anti")
 
@@ -72,6 +77,6 @@ def with_cache(df: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, Da
     return df.join(cache, key, "left"), df.join(cache.select(key).distinct(), key, "left_anti")
 
 
-def merged_metrics(df: DataFrame, weighted: dict[str, str], largest: list[str]) -> DataFrame:
-    """Means weighted by a column each, and maxima, over parts."""
-    return df.agg(*[F.try_divide(F.sum(F.col(v) * F.col(w)), F.sum(w)).alias(v) for v, w in weighted.items()], *[F.max(c).alias(c) for c in largest])
+def merged_metrics(df: DataFrame, weighted: dict[str, str], largest: list[str], *keys: str) -> DataFrame:
+    """Means weighted by a column each, and maxima, over parts; one row, or one for each of the keys."""
+    return df.groupBy(*keys).agg(*[F.try_divide(F.sum(F.col(v) * F.col(w)), F.sum(w)).alias(v) for v, w in weighted.items()], *[F.max(c).alias(c) for c in largest])

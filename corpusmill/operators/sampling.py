@@ -15,8 +15,10 @@ def ranked(df: DataFrame, stratum: str, key: str, seed: str) -> DataFrame:
 
 
 def quota_sample(df: DataFrame, quotas: DataFrame, stratum: str, key: str, seed: str) -> DataFrame:
-    """The first rows of each stratum by quota (stratum, quota). A smaller quota gives a part of a larger one's sample."""
-    return ranked(df, stratum, key, seed).join(F.broadcast(quotas), stratum).where("pick <= quota").drop("quota")
+    """The first rows of each stratum by quota (stratum, quota). A smaller quota gives a part of a larger one's sample.
+    The largest quota, as a literal, lets Spark keep no more rows than that of a stratum in each task before the shuffle."""
+    most = quotas.agg(F.max("quota")).first()[0] or 0
+    return ranked(df, stratum, key, seed).where(F.col("pick") <= int(most)).join(quotas, stratum).where("pick <= quota").drop("quota")
 
 
 def shortfalls(df: DataFrame, quotas: DataFrame, stratum: str) -> DataFrame:

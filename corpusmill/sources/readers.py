@@ -52,6 +52,17 @@ def json_items(spark: SparkSession, paths: str | list[str], schema: S.StructType
     return out
 
 
+def head(df: DataFrame, ordinal: str, most: int) -> DataFrame:
+    """The first rows by their ordinal; all of them if most is 0 or less."""
+    return df.orderBy(ordinal).limit(most) if most > 0 else df
+
+
+def trainer_state(spark: SparkSession, path: str) -> DataFrame:
+    """A run's state files (trainer_state*.json below path), with the file they came from."""
+    df = spark.read.schema(STATE).option("recursiveFileLookup", True).option("pathGlobFilter", "trainer_state*.json").option("multiLine", True).json(path)
+    return df.withColumn("source_file", F.col("_metadata.file_path"))
+
+
 def metric_log(spark: SparkSession, path: str) -> DataFrame:
     """JSON object lines with a micro_step of a mixed text log; all other lines are passed over."""
     lines = spark.read.text(path).where(F.ltrim("value").startswith("{"))
@@ -59,8 +70,8 @@ def metric_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reward_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """All ranks' reward logs."""
-    return spark.read.schema(REWARDS).option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).json(folder).where("id is not null")
+    """All ranks' reward logs (reward_details_rank*.jsonl below folder); lines that are no objects are left out."""
+    return spark.read.schema(REWARDS).option("pathGlobFilter", "reward_details_rank*.jsonl").option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(folder)
 
 
 def status_rows(spark: SparkSession, root: str, schema: S.StructType) -> DataFrame:

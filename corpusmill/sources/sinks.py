@@ -16,6 +16,19 @@ def report(row: DataFrame, path: str) -> None:
     row.limit(1).coalesce(1).write.mode("overwrite").json(path)
 
 
+def sample_rows(df: DataFrame, path: str, key: str = "id") -> None:
+    """A sample's results as one row (text, status, image paths), laid out by id, instead of a folder for each. Two rows of one id fail the job."""
+    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1)
+    if n:
+        raise ValueError(f"more than one row for {key} {n[0][0]}")
+    by_id(df, path, key)
+
+
+def progress(spark, path: str, done: int, total: int) -> None:
+    """A marker of how far a run is: its index, or `finished`. It replaces the last one."""
+    spark.createDataFrame([("finished" if done >= total else str(done),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
