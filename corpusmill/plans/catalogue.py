@@ -234,7 +234,17 @@ def disjoint_sample(documents):
     return sampling.scene_disjoint_sample(documents.select("doc_id", "lang", "source"), dict.fromkeys(("de", "en", "es", "fr"), 3), "lang", "source", "doc_id", "7")
 
 
-@query()
+def _balanced_sql(n: int, strata: int) -> str:
+    """Strata from the smallest; in each the rows of the scenes that are used least so far."""
+    parts = [f"st as (select lang, row_number() over (order by count(*), lang) as k from documents group by 1 having count(*) >= {n})"]
+    for k in range(1, strata + 1):
+        used = " union all ".join(f"select source from x_{j}" for j in range(1, k)) or "select null as source where false"
+        parts.append(f"""x_{k} as (select doc_id, lang, source from documents join st using (lang) left join (select source, count(*) as c from ({used}) group by 1) u using (source)
+          where st.k = {k} order by coalesce(c, 0), md5('7:' || lang || ':' || doc_id), doc_id limit {n})""")
+    return "with " + ", ".join(parts) + " " + " union all ".join(f"select * from x_{k}" for k in range(1, strata + 1))
+
+
+@query(_balanced_sql(8, 4))
 def balanced_topk(documents):
     d = documents.select("doc_id", "lang", "source").withColumn("level", F.lit("level_2"))
     return sampling.balanced_sample(d, 8, "lang", "source", "level", "doc_id", "7").select("doc_id", "lang", "source")
@@ -398,7 +408,7 @@ def path_names(pages):
 
 @query("""
 with p as (select page_id, 'root/level_' || (page_id % 4) || '/haze_' || (page_id % 3) || '/' || page_id || '.png' as path from pages)
-select page_id, regexp_extract(path, '(?:^|/)(level_[012])/([^/]+)', 1) as level, regexp_extract(path, '(?:^|/)level_[012]/([^/]+)', 1) as label from p
+select page_id, regexp_extract(path, '(?:^|/)(level_[012])/([^/]+)', 1) as level, regexp_extract(path, '(?:^|/)level_[12]/([^/]+)', 1) as label from p
 """)
 def path_label(pages):
     path = F.concat(F.lit("root/level_"), F.col("page_id") % 4, F.lit("/haze_"), F.col("page_id") % 3, F.lit("/"), "page_id", F.lit(".png"))
@@ -419,9 +429,10 @@ def lexicon_coverage(documents):
 
 
 @query("""
-with l as (select distinct p_partkey, case p_partkey % 6 when 0 then 'noise_stripe_noise' when 1 then 'stripe_noise_noise' when 2 then 'foo_stripe_noise' when 3 then 'blur4+haze' when 4 then '_noise' else 'rainx' end as label from part)
-select p_partkey, label, case label when 'noise_stripe_noise' then 'noise+stripe_noise' when 'stripe_noise_noise' then 'noise+stripe_noise' when 'foo_stripe_noise' then 'foo+noise+stripe'
-  when 'blur4+haze' then 'blur4+haze' when '_noise' then 'noise' else 'rainx' end as canonical from l
+with l as (select p_partkey, ['noise_stripe_noise', 'stripe_noise_noise', 'foo_stripe_noise', 'blur4+haze', '_noise', 'rainx'][(p_partkey % 6)::int + 1] as label from part),
+h as (select *, replace(label, '+', '_') as t, regexp_extract(replace(label, '+', '_'), '^((?:(?:stripe_noise|blur2|blur4|haze|noise|rain)(?:_+|$))*)', 1) as head from l),
+p as (select *, list_concat(regexp_extract_all(head, '(stripe_noise|blur2|blur4|haze|noise|rain)', 1), list_filter(string_split(substr(t, length(head) + 1), '_'), lambda x: x <> '')) as parts from h)
+select p_partkey, label, array_to_string(list_transform(list_sort(list_transform(parts, lambda x: {'r': coalesce(nullif(list_position(['blur2', 'blur4', 'haze', 'noise', 'rain', 'stripe_noise'], x), 0), 999), 'p': x})), lambda x: x.p), '+') as canonical from p
 """)
 def component_split(part):
     names = ["noise_stripe_noise", "stripe_noise_noise", "foo_stripe_noise", "blur4+haze", "_noise", "rainx"]
@@ -433,10 +444,11 @@ def component_split(part):
 with c as (select doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10)) as t from documents),
 h as (select doc_id, t, substr(t, 1, 200) as h from c),
 k as (select *, greatest(case when contains(h, '. ') then 200 - strpos(reverse(h), ' .') - 1 else -1 end, case when contains(h, chr(10)) then 200 - strpos(reverse(h), chr(10)) else -1 end, case when contains(h, '; ') then 200 - strpos(reverse(h), ' ;') - 1 else -1 end) as cut from h)
-select doc_id, md5(case when length(t) <= 200 then t else regexp_replace(substr(t, 1, case when cut < 100 then 200 else cut end), '^\\s+|\\s+$', '', 'g') end) as digest from k
+select doc_id, md5(case when length(t) <= 200 then t else regexp_replace(substr(t, 1, case when cut < 100 then 200 else cut end), '^\\s+|\\s+$', '', 'g') end) as digest, md5(t) as whole from k
 """)
 def text_clean(documents):
-    return documents.select("doc_id", F.md5(T.truncated(T.collapsed(F.col("text")), 200)).alias("digest"))
+    whole = T.collapsed(F.col("text"))
+    return documents.select("doc_id", F.md5(T.truncated(whole, 200)).alias("digest"), F.md5(whole).alias("whole"))
 
 
 @query("select doc_id, sha256(length(lang) || ':' || lang || ';' || length(text) || ':' || text || ';') as key from documents")
@@ -563,8 +575,8 @@ def macro_average(orders):
 
 @query("select l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) as l_discount, round(max(l_tax), 6) as l_tax from lineitem group by 1")
 def merged_metrics(lineitem):
-    parts = [reports.merged_metrics(lineitem.where(F.col("l_returnflag") == f), {"l_discount": "l_quantity"}, ["l_tax"]).withColumn("l_returnflag", F.lit(f)) for f in ("A", "N", "R")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("l_returnflag", F.round("l_discount", 6).alias("l_discount"), F.round("l_tax", 6).alias("l_tax"))
+    merged = reports.merged_metrics(lineitem, {"l_discount": "l_quantity"}, ["l_tax"], "l_returnflag")
+    return merged.select("l_returnflag", F.round("l_discount", 6).alias("l_discount"), F.round("l_tax", 6).alias("l_tax"))
 
 
 @query("""
@@ -572,7 +584,7 @@ select n_name, m from nation, (select distinct c_mktsegment as m from customer)
 """)
 def catalog_pending(nation, customer):
     segments = customer.select(F.col("c_mktsegment").alias("m")).distinct()
-    every = nation.select("n_nationkey", "n_name").crossJoin(F.broadcast(segments))  # the catalogue: two short dimensions
+    every = nation.select("n_nationkey", "n_name").crossJoin(segments)  # the catalogue: two short dimensions
     done = customer.where("c_acctbal > 9500").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("m")).distinct()
     return every.join(done, ["n_nationkey", "m"], "left_anti").select("n_name", "m")
 
@@ -612,6 +624,6 @@ def local_ssim(embeddings):
     return embeddings.join(nxt, "vec_id").select("vec_id", F.round(scoring.local_ssim(F.slice("embedding", F.lit(1), n), F.slice("other", F.lit(1), n), side, side), 6).alias("ssim"))
 
 
-@query()
+@query(SQL["no_signal_runs"].replace("as longest", "as longest_run"))
 def failure_runs_batch(events):
-    return groups.longest_runs(events, "user_id", ["ts", "event_id"], F.col("event_type") == "error").withColumnRenamed("longest", "longest_run")
+    return groups.longest_runs(events, "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("user_id", big("longest").alias("longest_run"))
