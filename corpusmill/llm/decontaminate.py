@@ -326,6 +326,20 @@ def op9_suffix_arrays(spark, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+#: DuckDB: windows of 10 words (all of a shorter item) joined by their words.
+SQL = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select coalesce(item_id::varchar, '') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+iw as (select distinct item, least(10, len(w)) as k, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') as key from (select item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from b where len(w) > 0)),
+ks as (select distinct k from iw),
+dw as (select r, i, k, array_to_string(w[i : i + k - 1], ' ') as key from (select r, w, k, unnest(range(1, len(w) - k + 2)) as i from d, ks where len(w) >= k)),
+m as (select r, i, k, item from dw join iw using (k, key)),
+h as (select r, count(distinct p)::bigint as n_hit from (select r, unnest(range(i, i + k)) as p from m) group by 1),
+t as (select r, count(*)::bigint as n_items, sha256(string_agg(item, ',' order by item)) as sha from (select distinct r, item from m) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(sha, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join h using (r) left join t using (r)
+"""
+
+
 def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> dict:
     """For tests: doc_id -> (n_words, n_hit, item ids), by plain comparison."""
     out = {}

@@ -272,6 +272,20 @@ def op8_circulant(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, percent=80)
 
 
+#: DuckDB: all pairs with a common shingle, and what each document reaches over links.
+SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, case when len(w) >= 4 then array_to_string(w[i : i + 3], ' ') else array_to_string(w, ' ') end as g from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*)::bigint as n from s group by 1),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 80 * (x.n + y.n - common)),
+l as (select a, b from e union all select b, a from e),
+reach as (select doc_id as root, doc_id as node from n union select root, l.b from reach join l on l.a = reach.node and l.b > reach.root),
+f as (select node, min(root) as root from reach group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(f.root, d.doc_id) as component_id, coalesce(f.root, d.doc_id) = d.doc_id as kept from d left join n using (doc_id) left join f on f.node = d.doc_id
+"""
+
+
 def brute_force(docs: list[tuple], words: int = 4, percent: int = 80) -> dict:
     """For tests: doc_id -> (n_shingles, component_id, kept)."""
     sets = {}

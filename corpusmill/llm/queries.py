@@ -16,4 +16,12 @@ QUERIES = {
     "op9_suffix_arrays": decontaminate.op9_suffix_arrays,
     "op10_water_filling": mixing.op10_water_filling,
 }
-SQL = {"op1_perspectives": chat.SQL, "op6_revisits": revisits.SQL, "op10_water_filling": mixing.SQL}
+SQL = {
+    "op1_perspectives": chat.SQL,
+    "op2_linear_grouping": suffix_array.SQL,
+    "op5_prefix_trees": suffix_tree.SQL,
+    "op6_revisits": revisits.SQL,
+    "op8_circulant": minhash.SQL,
+    "op9_suffix_arrays": decontaminate.SQL,
+    "op10_water_filling": mixing.SQL,
+}

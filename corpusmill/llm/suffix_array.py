@@ -269,6 +269,20 @@ def op2_linear_grouping(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: DuckDB: 100-byte strings, numbered by place among equal ones (by a 64-bit hash).
+SQL = r"""
+with d as (select row_number() over (order by doc_id nulls first, text) as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+s as (select r, i, hash(substr(h, 2 * i + 1, 200)) as key from (select r, h, unnest(range(0, length(h) // 2 - 99)) as i from d where length(h) >= 200)),
+e as (select r, i from (select r, i, row_number() over (partition by key order by r, i) as n from s) where n > 1),
+m as (select r, i, max(i) over (partition by r order by i rows between unbounded preceding and 1 preceding) as prev from e),
+g as (select r, i, sum(case when prev is null or i > prev + 100 then 1 else 0 end) over (partition by r order by i) as run from m),
+z as (select r, run, min(i) as a, max(i) + 100 as b from g group by 1, 2),
+y as (select r, count(*)::bigint as n_spans, sum(b - a)::bigint as n_removed, list(a order by a) as starts, list(b order by a) as ends from z group by 1),
+k as (select d.r, array_to_string(list_transform(generate_series(1, len(starts) + 1), lambda j: substr(h, 2 * (case when j = 1 then 0 else ends[j - 1] end) + 1, 2 * ((case when j > len(starts) then length(h) // 2 else starts[j] end) - (case when j = 1 then 0 else ends[j - 1] end)))), '') as kept from d join y using (r))
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join y using (r) left join k using (r)
+"""
+
+
 def brute_force(docs: list[tuple], length: int = LENGTH) -> dict:
     """For tests: doc_id -> (n_bytes, n_removed, n_spans, kept_sha256)."""
     seen, out = set(), {}

@@ -123,6 +123,18 @@ def op5_prefix_trees(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: DuckDB: windows of 35 words counted by their words.
+SQL = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select r, i, array_to_string(w[i : i + 34], ' ') as key from (select r, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35)),
+g as (select r, i from s where key in (select key from s group by key having count(*) > 1)),
+hit as (select distinct r, unnest(range(i, i + 35)) as p from g),
+p as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+k as (select r, count(*)::bigint as n, string_agg(word, ' ' order by p) as kept from p anti join hit using (r, p) group by 1)
+select doc_id, len(w)::bigint as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (r)
+"""
+
+
 def brute_force(docs: list[tuple], window: int = WINDOW) -> dict:
     """For tests: doc_id -> (n_words, n_removed, kept_sha256)."""
     from collections import Counter
