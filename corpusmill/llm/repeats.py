@@ -83,7 +83,27 @@ def open_at(at: int) -> tuple[int, int, int]:
     return pos, pos - (at >> 8 & 255), pos + (at & 255)
 
 
-_ANCHOR = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
+_PLACE = pa.struct([("doc", pa.int64()), ("at", pa.int64())])
+_ANCHOR = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("more", pa.list_(_PLACE))])
+
+
+def _collapsed(h: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """A row for each (h, c): its least (doc, at), and the others in order."""
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    often = np.zeros(len(h), bool)
+    often[order[1:][same]] = True
+    often[order[:-1][same]] = True
+    once, some = np.flatnonzero(~often), np.flatnonzero(often)
+    some = some[np.lexsort((at[some], doc[some], c[some], h[some]))]
+    first = np.ones(len(some), bool)
+    first[1:] = (h[some][1:] != h[some][:-1]) | (c[some][1:] != c[some][:-1])
+    heads, rest = np.flatnonzero(first), some[~first]
+    rows = np.concatenate([once, some[heads]])
+    sizes = np.concatenate([np.zeros(len(once), np.int64), np.diff(np.append(heads, len(some))) - 1])
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    places = pa.StructArray.from_arrays([pa.array(doc[rest]), pa.array(at[rest])], fields=list(_PLACE))
+    return batch(_ANCHOR, [h[rows].view(np.int64), c[rows].view(np.int64), doc[rows], at[rows], pa.ListArray.from_arrays(pa.array(offsets), places)])
 
 
 def _anchored(symbols: Callable, window: int, gram: int):
@@ -107,7 +127,7 @@ def _anchored(symbols: Callable, window: int, gram: int):
                 ds.append(np.full(len(p), doc))
                 ats.append(pack_at(zlib.crc32(text) & TAG, p, p - low, high - p))
             if hs:
-                yield batch(_ANCHOR, [np.concatenate(hs).view(np.int64), np.concatenate(cs).view(np.int64), np.concatenate(ds), np.concatenate(ats)])
+                yield _collapsed(*map(np.concatenate, (hs, cs, ds, ats)))
 
     return run
 
@@ -118,14 +138,16 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def shared_anchors(rows: DataFrame, symbols: Callable, window: int, gram: int, name: str) -> DataFrame:
-    """h, c, doc, at, n_same (occurrences of this context), nth (rank among them by doc and place), n_ctx (different contexts of h), alone (one occurs once).
+    """h, c, doc, at, more, n_same (occurrences of this context), nth (1 where doc and at are the first of them), n_ctx (different contexts of h), alone (one occurs once).
 
-    Only anchors that occur twice or more. One shuffle, by h, of the anchors alone.
+    Only anchors that occur twice or more. One shuffle, by h, of the anchors alone. An Arrow batch has one row for each
+    anchor and context, so a passage that a third of all documents share comes as one row a batch, with its other places in `more`.
     """
-    found = arrow_map(rows.select("doc", "text"), _anchored(symbols, window, gram), "h long, c long, doc long, at long")
+    found = arrow_map(rows.select("doc", "text"), _anchored(symbols, window, gram), "h long, c long, doc long, at long, more array<struct<doc: long, at: long>>")
     of_c, of_h = W.partitionBy("h", "c"), W.partitionBy("h")
-    ranked = found.withColumn("nth", F.rank().over(of_c.orderBy("doc", "at"))).withColumn("n_same", F.count(F.lit(1)).over(of_c))
-    ranked = ranked.withColumn("n", F.count(F.lit(1)).over(of_h)).where("n > 1")
+    size = F.size("more") + 1
+    ranked = found.withColumn("nth", F.rank().over(of_c.orderBy("doc", "at"))).withColumn("n_same", F.sum(size).over(of_c))
+    ranked = ranked.withColumn("n", F.sum(size).over(of_h)).where("n > 1")
     ranked = ranked.withColumn("n_ctx", F.sum((F.col("nth") == 1).cast("int")).over(of_h)).withColumn("alone", F.max(F.col("n_same") == 1).over(of_h))
     return written(ranked.drop("n"), name)
 
@@ -191,10 +213,12 @@ def solved(found: DataFrame, solve: Callable) -> DataFrame:
     return arrow_map(ordered, run, "doc long, tag long, start long, end long")
 
 
-def whole_contexts(found: DataFrame) -> DataFrame:
-    """Marks over the whole context of each anchor."""
+def whole_contexts(found: DataFrame, own) -> DataFrame:
+    """Marks over the whole context of each place in `more`, and of the row's own place where `own` holds."""
+    mine = F.when(own, F.array(F.struct("doc", "at"))).otherwise(F.array().cast("array<struct<doc: long, at: long>>"))
+    places = found.where(own | (F.size("more") > 0)).select(F.explode(F.concat(mine, "more")).alias("p")).select("p.doc", "p.at")
     pos = F.shiftright("at", 16).bitwiseAND(F.lit(0xFFFFFFF))
-    return found.select("doc", F.shiftright("at", 44).alias("tag"), (pos - F.shiftright("at", 8).bitwiseAND(F.lit(255))).alias("start"), (pos + F.col("at").bitwiseAND(F.lit(255))).alias("end"))
+    return places.select("doc", F.shiftright("at", 44).alias("tag"), (pos - F.shiftright("at", 8).bitwiseAND(F.lit(255))).alias("start"), (pos + F.col("at").bitwiseAND(F.lit(255))).alias("end"))
 
 
 def runs(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:

@@ -247,7 +247,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     """The keyed rows, and marks (doc, tag, start, end) over all bytes that a string of `length` bytes covers that also starts earlier."""
     rows = repeats.keyed(docs)
     found = repeats.shared_anchors(rows, repeats.byte_symbols, length, gram, "anchors")
-    again = repeats.whole_contexts(found.where("nth > 1"))
+    again = repeats.whole_contexts(found, F.col("nth") > 1)
     several = found.where("nth = 1 and n_ctx > 1").select("h", "doc", "at", "n_same")
     partly = repeats.solved(repeats.contexts(rows, several, repeats.byte_slice), lambda group: earlier_matches(group, length, gram))
     return rows, again.unionAll(partly)

@@ -86,7 +86,7 @@ def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tu
     """The keyed rows, and marks (doc, tag, start, end) over all words in windows that occur more than once."""
     rows = repeats.keyed(docs)
     found = repeats.shared_anchors(rows, repeats.word_symbols, window, gram, "word-anchors")
-    again = repeats.whole_contexts(found.where("n_same > 1"))
+    again = repeats.whole_contexts(found, F.col("n_same") > 1)
     several = found.where("nth = 1 and n_ctx > 1 and alone").select("h", "doc", "at", "n_same")
     parts = _longer_prefixes(repeats.contexts(rows, several, repeats.word_slice), window, gram)
     partly = repeats.solved(parts, lambda group: repeats_in(group, window, gram))
