@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BASES, LOWER, arrow_map, batch, grams, utf8
+from .common import BASES, LOWER, arrow_map, batch, filesystem, grams, new_path, utf8
 from .repeats import byte_symbols, word_symbols
 
 #: Labelled rows that a fit takes at most.
@@ -90,12 +90,26 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 30, size: int = 128, rate: float = 0.7, decay: float = 1e-6) -> Model | None:
-    """rows: (places in the joined families, shares, good 0 or 1). None where one kind is missing. The same rows in the same order give the same model."""
-    good = np.array([y for _, _, y in rows])
-    if len(rows) < 8 or good.min() == good.max():
+class Sample:
+    """Texts' features, one after another: starts of texts, places in the joined families, shares, and good (0 or 1) of each text."""
+
+    def __init__(self, starts: np.ndarray, at: np.ndarray, share: np.ndarray, good: np.ndarray):
+        self.starts, self.at, self.share, self.good = starts, at, share, good
+
+    def part(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, shares and the text (0, 1, ...) of each feature of some texts."""
+        cuts = [slice(self.starts[i], self.starts[i + 1]) for i in rows.tolist()]
+        of = np.repeat(np.arange(len(rows)), [c.stop - c.start for c in cuts])
+        return np.concatenate([self.at[c] for c in cuts]), np.concatenate([self.share[c] for c in cuts]), of
+
+
+def fit(sample: Sample, epochs: int = 30, size: int = 128, rate: float = 0.7, decay: float = 1e-6, least_gain: float = 0.005) -> Model | None:
+    """None where one kind is missing. The same sample gives the same model. Ends after `epochs`, or when an epoch lowers the loss by less than that share of it."""
+    good = sample.good
+    rows = len(good)
+    if rows < 8 or good.min() == good.max():
         return None
-    held = np.arange(len(rows)) % 4 == 3
+    held = np.arange(rows) % 4 == 3
     if good[held].min() == good[held].max() or good[~held].min() == good[~held].max():
         held[:] = False
     balance = np.where(good > 0, 0.5 / good.mean(), 0.5 / (1 - good.mean()))
@@ -103,22 +117,31 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 30, size
     w, g2, bias, b2 = np.zeros(n), np.full(n, 1e-8), 0.0, 1e-8
     rng = np.random.default_rng(3)
     use = np.flatnonzero(~held)
+    parts = []  # of texts, drawn once: their features are numbered once
+    for part in np.array_split(rng.permutation(use), max(1, len(use) // size)):
+        at, x, of = sample.part(part)
+        places, back = np.unique(at, return_inverse=True)
+        parts.append((part, places, back, x, of))
+    before = np.inf
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(use), max(1, len(use) // size)):
-            at = np.concatenate([rows[i][0] for i in part])
-            x = np.concatenate([rows[i][1] for i in part])
-            of = np.repeat(np.arange(len(part)), [len(rows[i][0]) for i in part])
-            z = np.bincount(of, w[at] * x, len(part)) + bias
+        loss = 0.0
+        for k in rng.permutation(len(parts)):
+            part, places, back, x, of = parts[k]
+            z = np.bincount(of, w[places][back] * x, len(part)) + bias
+            loss += (balance[part] * np.logaddexp(0, np.where(good[part] > 0, -z, z))).sum()
             err = (_sigmoid(z) - good[part]) * balance[part] / len(part)
-            places, back = np.unique(at, return_inverse=True)
-            g = np.bincount(back, err[of] * x) + decay * w[places]
+            g = np.bincount(back, err[of] * x, len(places)) + decay * w[places]
             g2[places] += g * g
             w[places] -= rate * g / np.sqrt(g2[places])
             b2 += err.sum() ** 2
             bias -= 0.1 * rate * err.sum() / np.sqrt(b2)
+        if before - loss < least_gain * before:
+            break
+        before = loss
     model = Model(w.reshape(FAMILIES, -1).astype(np.float32), bias)
     check = np.flatnonzero(held) if held.any() else use
-    z = np.array([(w[rows[i][0]] * rows[i][1]).sum() + bias for i in check])
+    at, x, of = sample.part(check)
+    z = np.bincount(of, w[at] * x, len(check)) + bias
     y = good[check]
     # Calibration (Platt): targets drawn in by the counts of each kind, Newton steps on two numbers.
     t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
@@ -151,13 +174,25 @@ def _featured(batches):
 
 
 def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
-    """A model of labels.quality. The sample is of doc_ids, so its bound holds for any table."""
+    """A model of labels.quality, fitted to fit_rows documents at most. Of several texts of a doc_id the least counts. A text has 2^18 features a family at most, however long it is."""
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.min("quality").cast("double").alias("good"))
     chosen = known.orderBy(F.xxhash64("doc"), "doc").limit(fit_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(F.broadcast(chosen), "doc").select("doc", "text", "good")
-    rows = arrow_map(texts, _featured, "doc long, at binary, share binary, good double").collect()
-    rows.sort(key=lambda r: (r["doc"], bytes(r["at"])))
-    return fit([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["share"], "<f4"), r["good"]) for r in rows[: 2 * fit_rows]])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(F.broadcast(chosen), "doc").groupBy("doc", "good").agg(F.min("text").alias("text"))
+    path = new_path(docs.sparkSession, "features")
+    arrow_map(texts, _featured, "doc long, at binary, share binary, good double").write.parquet(path)
+    return fit(_read_sample(path))
+
+
+def _read_sample(path: str) -> Sample:
+    """The features, read from the shared folder without the JVM, in order of doc_id."""
+    import pyarrow.dataset as ds
+
+    store, folder = filesystem(path)
+    rows = ds.dataset(folder, filesystem=store, format="parquet", schema=_ROW).to_table().sort_by("doc")
+    at, share = ([np.frombuffer(x.as_buffer() or b"", kind) for x in rows[c]] for c, kind in (("at", "<i4"), ("share", "<f4")))
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in at])]).astype(np.int64)
+    joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+    return Sample(starts, joined(at, "<i4"), joined(share, "<f4"), rows["good"].to_numpy())
 
 
 _OUT = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("probability", pa.float64()), ("kept", pa.bool_())])
