@@ -20,6 +20,7 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) -> DataFra
     integer arithmetic up to one division, so reruns agree. The one ordered window is over sources, not rows.
     """
     s = sizes.withColumn("rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
+    wide = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  # products beyond a long at some 10^19 words times sources
     turn = F.array(*[F.lit(int(w)) for w in weights])
     s = s.withColumn("w", F.get(turn, F.pmod("rank", F.lit(len(weights)))).cast("long")).withColumn("cap", F.col("source_size") * max_epochs)
     fill = W.orderBy(F.col("cap") / F.col("w"), "rank")
@@ -27,7 +28,7 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) -> DataFra
     all_rows = W.partitionBy()
     s = s.withColumn("caps_before", F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("left", F.sum("source_size").over(all_rows) - F.col("caps_before"))
     s = s.withColumn("w_left", F.sum("w").over(all_rows) - F.coalesce(F.sum("w").over(before), F.lit(0)))
-    s = s.withColumn("full", F.col("cap") * F.col("w_left") <= F.col("left") * F.col("w"))
+    s = s.withColumn("full", wide("cap") * wide("w_left") <= wide("left") * wide("w"))
     s = s.withColumn("level", F.min(F.when(~F.col("full"), F.struct((F.col("cap") / F.col("w")).alias("ratio"), "rank", "left", "w_left"))).over(all_rows))
     s = s.withColumn("target", F.when(F.col("full"), F.col("cap").cast("double")).otherwise((F.col("level.left") * F.col("w")).cast("double") / F.col("level.w_left").cast("double")))
     goal = F.floor(F.col("target") + 0.5).cast("long")
