@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .common import written
+
 NARRATORS = ("system",)
 END = "<|end|>\n"
 BLOCK = 256
@@ -30,7 +32,8 @@ def rotated(turns: DataFrame, narrators=NARRATORS) -> DataFrame:
     """
     t = turns.select("conv_id", "turn", F.coalesce(F.nullif("role", F.lit("")), F.lit("unknown")).alias("role"), _plain(F.col("text")).alias("text"))
     told = F.col("role").isin(*narrators)
-    speakers = t.where(~told).select(F.col("conv_id").alias("_conv"), F.col("role").alias("speaker")).distinct()
+    # Written, so that the join has plain exchanges on both sides: AQE splits a conversation that holds most turns.
+    speakers = written(t.where(~told).select(F.col("conv_id").alias("_conv"), F.col("role").alias("speaker")).distinct(), "speakers")
     j = t.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
     mine = F.col("role") == F.col("speaker")
     as_role = F.when(told, F.col("role")).when(mine, F.lit("assistant")).otherwise(F.lit("user"))

@@ -1,7 +1,8 @@
 """WARC not-modified revisits: each is given the latest earlier full response of its canonical URL.
 
-An as-of join without a join: responses and revisits of one canonical URL are ordered by time, and a running maximum
-carries the latest earlier response, as a small struct without payload. The revisit's validators are then checked
+An as-of join by blocks of time: within a block, a running maximum over the records of one canonical URL carries the
+latest earlier response, as a small struct without payload; each block's last response is carried to later blocks, so a
+URL that holds most records is as many groups as it has blocks. The revisit's validators are then checked
 (entity tags by weak comparison, else last-modified), and the headers that a 304 may carry replace the response's.
 """
 
@@ -39,7 +40,10 @@ def _tag(c: Column) -> Column:
     return F.regexp_replace(c, r"^W/", "")
 
 
-def resolved(records: DataFrame) -> DataFrame:
+DAY = 86_400_000_000
+
+
+def resolved(records: DataFrame, block: int = DAY) -> DataFrame:
     """records: record_id, url, time (long), revisit (boolean), headers (map of lower-case names), and http_status (int) and
     profile, if they have them. A row for each revisit: record_id, url_key, source_id, status, headers.
 
@@ -47,7 +51,7 @@ def resolved(records: DataFrame) -> DataFrame:
     earlier full response) or 'other_profile' (no not-modified revisit, as one by payload digest). Headers are the response's
     with the permitted ones of the revisit over them; for the last three they are the revisit's own. Only responses with a
     status of FULL are sources (all, if there is no http_status); a null profile is a not-modified one. Earlier is strictly less in time; of responses at one time the greatest record_id.
-    Null url or time: 'orphan'. Null headers: none. Repeated rows are records of their own. Empty table: no rows.
+    block: length of a block in units of time (microseconds: a day). Null url or time: 'orphan'. Null headers: none. Repeated rows are records of their own. Empty table: no rows.
     """
     full = F.coalesce(F.col("http_status").isin(*FULL), F.lit(False)) if "http_status" in records.columns else F.lit(True)
     other = ~F.contains(F.coalesce("profile", F.lit(NOT_MODIFIED)), F.lit(NOT_MODIFIED)) if "profile" in records.columns else F.lit(False)
@@ -55,8 +59,13 @@ def resolved(records: DataFrame) -> DataFrame:
     known = F.col("url_key").isNotNull() & F.col("time").isNotNull()
     # Maps are not ordered types: only what is needed of them to choose takes part, and entries go along as an array.
     response = F.when(~F.col("revisit") & F.col("full"), F.struct("time", "record_id", F.map_entries("headers").alias("entries")))
-    before = W.partitionBy("url_key").orderBy("time").rangeBetween(W.unboundedPreceding, -1)
-    a = r.where(known).withColumn("source", F.max(response).over(before)).where("revisit")
+    timed = r.where(known).withColumn("_block", F.floor(F.col("time") / block))
+    last = timed.groupBy("url_key", "_block").agg(F.max(response).alias("_last"))
+    earlier = W.partitionBy("url_key").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = last.select("url_key", "_block", F.max("_last").over(earlier).alias("_carried"))
+    before = W.partitionBy("url_key", "_block").orderBy("time").rangeBetween(W.unboundedPreceding, -1)
+    inside = timed.withColumn("_inside", F.max(response).over(before)).where("revisit")
+    a = inside.join(carried, ["url_key", "_block"]).select(*r.columns, F.coalesce("_inside", "_carried").alias("source"))
     b = r.where(~known & F.col("revisit")).withColumn("source", F.lit(None).cast(a.schema["source"].dataType))
     a = a.unionByName(b).withColumn("old", F.map_from_entries("source.entries"))
     tag, old_tag = _tag(F.col("headers")["etag"]), _tag(F.col("old")["etag"])
@@ -157,7 +166,7 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 
 def op6_revisits(spark, sf_dir: str) -> DataFrame:
-    out = resolved(page_records(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    out = resolved(page_records(spark.read.parquet(f"{sf_dir}/pages.parquet")), block=1000)
     return out.select("record_id", "url_key", "source_id", "status", *[F.col("headers")[h].alias(h.replace("-", "_")) for h in ("etag", "last-modified", "date", "content-length")])
 
 
