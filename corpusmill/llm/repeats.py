@@ -83,12 +83,11 @@ def open_at(at: int) -> tuple[int, int, int]:
     return pos, pos - (at >> 8 & 255), pos + (at & 255)
 
 
-_PLACE = pa.struct([("doc", pa.int64()), ("at", pa.int64())])
-_ANCHOR = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("more", pa.list_(_PLACE))])
+_ANCHOR = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("more", pa.binary())])
 
 
 def _collapsed(h: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """A row for each (h, c): its least (doc, at), and the others in order."""
+    """A row for each (h, c): its least (doc, at), and the others in order, as pairs of 64-bit integers side by side."""
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     often = np.zeros(len(h), bool)
@@ -101,9 +100,10 @@ def _collapsed(h: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray) ->
     heads, rest = np.flatnonzero(first), some[~first]
     rows = np.concatenate([once, some[heads]])
     sizes = np.concatenate([np.zeros(len(once), np.int64), np.diff(np.append(heads, len(some))) - 1])
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    places = pa.StructArray.from_arrays([pa.array(doc[rest]), pa.array(at[rest])], fields=list(_PLACE))
-    return batch(_ANCHOR, [h[rows].view(np.int64), c[rows].view(np.int64), doc[rows], at[rows], pa.ListArray.from_arrays(pa.array(offsets), places)])
+    offsets = np.concatenate([[0], np.cumsum(16 * sizes)]).astype(np.int32)
+    places = np.stack([doc[rest], at[rest]], axis=1).astype("<i8").tobytes()
+    more = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(places)])
+    return batch(_ANCHOR, [h[rows].view(np.int64), c[rows].view(np.int64), doc[rows], at[rows], more])
 
 
 def _anchored(symbols: Callable, window: int, gram: int):
@@ -143,9 +143,9 @@ def shared_anchors(rows: DataFrame, symbols: Callable, window: int, gram: int, n
     Only anchors that occur twice or more. One shuffle, by h, of the anchors alone. An Arrow batch has one row for each
     anchor and context, so a passage that a third of all documents share comes as one row a batch, with its other places in `more`.
     """
-    found = arrow_map(rows.select("doc", "text"), _anchored(symbols, window, gram), "h long, c long, doc long, at long, more array<struct<doc: long, at: long>>")
+    found = arrow_map(rows.select("doc", "text"), _anchored(symbols, window, gram), "h long, c long, doc long, at long, more binary")
     of_c, of_h = W.partitionBy("h", "c"), W.partitionBy("h")
-    size = F.size("more") + 1
+    size = F.expr("1 + octet_length(more) div 16")
     ranked = found.withColumn("nth", F.rank().over(of_c.orderBy("doc", "at"))).withColumn("n_same", F.sum(size).over(of_c))
     ranked = ranked.withColumn("n", F.sum(size).over(of_h)).where("n > 1")
     ranked = ranked.withColumn("n_ctx", F.sum((F.col("nth") == 1).cast("int")).over(of_h)).withColumn("alone", F.max(F.col("n_same") == 1).over(of_h))
@@ -214,11 +214,17 @@ def solved(found: DataFrame, solve: Callable) -> DataFrame:
 
 
 def whole_contexts(found: DataFrame, own) -> DataFrame:
-    """Marks over the whole context of each place in `more`, and of the row's own place where `own` holds."""
-    mine = F.when(own, F.array(F.struct("doc", "at"))).otherwise(F.array().cast("array<struct<doc: long, at: long>>"))
-    places = found.where(own | (F.size("more") > 0)).select(F.explode(F.concat(mine, "more")).alias("p")).select("p.doc", "p.at")
+    """Marks over the whole context of each row's own place, where `own` holds, and of each place in `more`."""
     pos = F.shiftright("at", 16).bitwiseAND(F.lit(0xFFFFFFF))
-    return places.select("doc", F.shiftright("at", 44).alias("tag"), (pos - F.shiftright("at", 8).bitwiseAND(F.lit(255))).alias("start"), (pos + F.col("at").bitwiseAND(F.lit(255))).alias("end"))
+    mine = found.where(own).select("doc", F.shiftright("at", 44).alias("tag"), (pos - F.shiftright("at", 8).bitwiseAND(F.lit(255))).alias("start"), (pos + F.col("at").bitwiseAND(F.lit(255))).alias("end"))
+
+    def run(batches):
+        for rb in batches:
+            doc, at = np.frombuffer(b"".join(rb.column("more").to_pylist()), "<i8").reshape(-1, 2).T
+            place, low, high = open_at(at)
+            yield batch(_MARK, [doc, at >> 44, low, high])
+
+    return mine.unionAll(arrow_map(found.where(F.octet_length("more") > 0).select("more"), run, "doc long, tag long, start long, end long"))
 
 
 def runs(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
