@@ -145,11 +145,11 @@ def shared_anchors(rows: DataFrame, symbols: Callable, window: int, gram: int, n
     """
     found = arrow_map(rows.select("doc", "text"), _anchored(symbols, window, gram), "h long, c long, doc long, at long, more binary")
     of_c, of_h = W.partitionBy("h", "c"), W.partitionBy("h")
-    size = F.expr("1 + octet_length(more) div 16")
-    ranked = found.withColumn("nth", F.rank().over(of_c.orderBy("doc", "at"))).withColumn("n_same", F.sum(size).over(of_c))
-    ranked = ranked.withColumn("n", F.sum(size).over(of_h)).where("n > 1")
+    # By h first: that exchange serves the windows by (h, c) too.
+    sized = found.withColumn("size", F.expr("1 + octet_length(more) div 16")).withColumn("n", F.sum("size").over(of_h)).where("n > 1")
+    ranked = sized.withColumn("nth", F.rank().over(of_c.orderBy("doc", "at"))).withColumn("n_same", F.sum("size").over(of_c))
     ranked = ranked.withColumn("n_ctx", F.sum((F.col("nth") == 1).cast("int")).over(of_h)).withColumn("alone", F.max(F.col("n_same") == 1).over(of_h))
-    return written(ranked.drop("n"), name)
+    return written(ranked.drop("n", "size"), name)
 
 
 _CONTEXT = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("n_same", pa.int64()), ("context", pa.binary())])
