@@ -70,3 +70,33 @@ def test_repeated_rows_and_empty_tables(spark):
 def test_subtree_nodes():
     nodes = tree.subtree([["a", "b"], ["a", "b", "c"], ["a", "d"], ["e"]])
     assert sorted(nodes) == [(0, 0, 4), (1, 0, 3), (2, 0, 2)]
+
+
+def test_one_very_long_text(spark):
+    r = random.Random(7)
+    words = [f"x{r.randint(0, 10**6)}" for _ in range(150_000)]
+    words[100_000:100_050] = words[500:550]
+    docs = [(1, " ".join(words)), (2, "short " + " ".join(words[70_000:70_060]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x["doc_id"]: tuple(x)[1:] for x in sa.remove_repeats(df).collect()}
+    assert got == sa.brute_force(docs)
+    assert {x["doc_id"]: tuple(x)[1:] for x in tree.remove_repeats(df).collect()} == tree.brute_force(docs)
+
+
+def test_structured_words_do_not_meet(spark):
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    rest = " ".join(f"w{i}" for i in range(34))
+    docs = [(1, f"{a} {rest}"), (2, f"{b} {rest}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert [x["n_removed"] for x in tree.remove_repeats(df).orderBy("doc_id").collect()] == [0, 0]
+    assert {x["doc_id"]: tuple(x)[1:] for x in sa.remove_repeats(df).collect()} == sa.brute_force(docs)
+
+
+def test_many_copies_in_one_batch(spark):
+    base = " ".join(f"c{i}" for i in range(45))
+    docs = [(i % 7 * 1000 + i, base + (f" end{i}" if i % 3 else "")) for i in range(90)] + [(9000 + i, f"lead{i} " + base) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    assert {x["doc_id"]: tuple(x)[1:] for x in sa.remove_repeats(df).collect()} == sa.brute_force(docs)
+    assert {x["doc_id"]: tuple(x)[1:] for x in tree.remove_repeats(df).collect()} == tree.brute_force(docs)
