@@ -1,4 +1,8 @@
-"""From raw documents to token files: five stages over the whole of `documents`."""
+"""From raw documents to token files: five stages over the whole of `documents`.
+
+All stages take nulls in any column, empty and very long texts, repeated rows and further columns of any name, and an
+empty table gives an empty one. Tables between stages lie in the shared folder until the application ends.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +17,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the classifier keep."""
+    """Documents that the base rules and the classifier keep. Null and short texts fail the base rules; repeated rows are judged alike."""
     return quality.kept_only(docs, _table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near duplicates (five words, 0.8)."""
+    """The document with the least doc_id of each group of near duplicates (five words, 0.8). Rows of one doc_id, null ids
+    too, are one document and stay or go together; texts without words are in no group."""
     return minhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of the benchmark."""
+    """Documents that hold no window of the benchmark. Texts without words hold none."""
     return decontaminate.decontaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks for."""
+    """Documents as often as their source's target asks for; the null source is one. Documents without words have size 0 and are not taken."""
     return mixing.mix(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, and what is read back from them."""
+    """Token files, and what is read back from them: a row for each document, a null text as its end id alone."""
     return token_files.tokens(docs)
 
 
