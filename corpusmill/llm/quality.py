@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BASES, LOWER, arrow_map, batch, filesystem, grams, new_path, utf8
+from .common import BASES, LOWER, arrow_map, batch, grams, utf8
 from .repeats import byte_symbols, word_symbols
 
 #: Labelled rows that a fit takes at most.
@@ -91,16 +91,16 @@ def _sigmoid(z):
 
 
 class Sample:
-    """Texts' features, one after another: starts of texts, places in the joined families, shares, and good (0 or 1) of each text."""
+    """Texts' features: places in the joined families and shares of each text, and good (0 or 1)."""
 
-    def __init__(self, starts: np.ndarray, at: np.ndarray, share: np.ndarray, good: np.ndarray):
-        self.starts, self.at, self.share, self.good = starts, at, share, good
+    def __init__(self, at: list[np.ndarray], share: list[np.ndarray], good: np.ndarray):
+        self.at, self.share, self.good = at, share, good
 
     def part(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places, shares and the text (0, 1, ...) of each feature of some texts."""
-        cuts = [slice(self.starts[i], self.starts[i + 1]) for i in rows.tolist()]
-        of = np.repeat(np.arange(len(rows)), [c.stop - c.start for c in cuts])
-        return np.concatenate([self.at[c] for c in cuts]), np.concatenate([self.share[c] for c in cuts]), of
+        """Places and shares of some texts, one text after another, and the texts' sizes."""
+        at = [self.at[i] for i in rows.tolist()]
+        none = np.zeros(0, np.int32)
+        return np.concatenate([none, *at]), np.concatenate([none.astype(np.float32), *(self.share[i] for i in rows.tolist())]), np.array([len(x) for x in at], np.int64)
 
 
 def fit(sample: Sample, epochs: int = 30, size: int = 128, rate: float = 0.7, decay: float = 1e-6, least_gain: float = 0.005) -> Model | None:
@@ -119,14 +119,15 @@ def fit(sample: Sample, epochs: int = 30, size: int = 128, rate: float = 0.7, de
     use = np.flatnonzero(~held)
     parts = []  # of texts, drawn once: their features are numbered once
     for part in np.array_split(rng.permutation(use), max(1, len(use) // size)):
-        at, x, of = sample.part(part)
+        at, x, sizes = sample.part(part)
         places, back = np.unique(at, return_inverse=True)
-        parts.append((part, places, back, x, of))
+        parts.append((part, places, back.astype(np.int32), x, sizes))
     before = np.inf
     for _ in range(epochs):
         loss = 0.0
         for k in rng.permutation(len(parts)):
-            part, places, back, x, of = parts[k]
+            part, places, back, x, sizes = parts[k]
+            of = np.repeat(np.arange(len(part)), sizes)
             z = np.bincount(of, w[places][back] * x, len(part)) + bias
             loss += (balance[part] * np.logaddexp(0, np.where(good[part] > 0, -z, z))).sum()
             err = (_sigmoid(z) - good[part]) * balance[part] / len(part)
@@ -140,8 +141,7 @@ def fit(sample: Sample, epochs: int = 30, size: int = 128, rate: float = 0.7, de
         before = loss
     model = Model(w.reshape(FAMILIES, -1).astype(np.float32), bias)
     check = np.flatnonzero(held) if held.any() else use
-    at, x, of = sample.part(check)
-    z = np.bincount(of, w[at] * x, len(check)) + bias
+    z = np.array([(w[sample.at[i]] * sample.share[i]).sum() + bias for i in check])
     y = good[check]
     # Calibration (Platt): targets drawn in by the counts of each kind, Newton steps on two numbers.
     t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
@@ -156,6 +156,7 @@ def fit(sample: Sample, epochs: int = 30, size: int = 128, rate: float = 0.7, de
     return model
 
 
+_MODEL = pa.schema([("weights", pa.binary()), ("bias", pa.float64()), ("a", pa.float64()), ("b", pa.float64())])
 _ROW = pa.schema([("doc", pa.int64()), ("at", pa.binary()), ("share", pa.binary()), ("good", pa.float64())])
 
 
@@ -178,21 +179,21 @@ def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mod
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.min("quality").cast("double").alias("good"))
     chosen = known.orderBy(F.xxhash64("doc"), "doc").limit(fit_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(F.broadcast(chosen), "doc").groupBy("doc", "good").agg(F.min("text").alias("text"))
-    path = new_path(docs.sparkSession, "features")
-    arrow_map(texts, _featured, "doc long, at binary, share binary, good double").write.parquet(path)
-    return fit(_read_sample(path))
+    features = arrow_map(texts, _featured, "doc long, at binary, share binary, good double")
+    got = arrow_map(features.repartition(1).sortWithinPartitions("doc"), _fitted, "weights binary, bias double, a double, b double").collect()
+    return Model(np.frombuffer(got[0]["weights"], "<f4").reshape(FAMILIES, -1), got[0]["bias"], got[0]["a"], got[0]["b"]) if got else None
 
 
-def _read_sample(path: str) -> Sample:
-    """The features, read from the shared folder without the JVM, in order of doc_id."""
-    import pyarrow.dataset as ds
-
-    store, folder = filesystem(path)
-    rows = ds.dataset(folder, filesystem=store, format="parquet", schema=_ROW).to_table().sort_by("doc")
-    at, share = ([np.frombuffer(x.as_buffer() or b"", kind) for x in rows[c]] for c, kind in (("at", "<i4"), ("share", "<f4")))
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in at])]).astype(np.int64)
-    joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-    return Sample(starts, joined(at, "<i4"), joined(share, "<f4"), rows["good"].to_numpy())
+def _fitted(batches):
+    """The sample, which has a bound, in one task: a row with the model, or none."""
+    at, share, good = [], [], []
+    for rb in batches:
+        at += [np.frombuffer(x, "<i4") for x in rb.column("at").to_pylist()]
+        share += [np.frombuffer(x, "<f4") for x in rb.column("share").to_pylist()]
+        good += rb.column("good").to_pylist()
+    model = fit(Sample(at, share, np.array(good, float)))
+    if model:
+        yield batch(_MODEL, [[model.weights.astype("<f4").tobytes()], [model.bias], [model.a], [model.b]])
 
 
 _OUT = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("probability", pa.float64()), ("kept", pa.bool_())])
