@@ -215,3 +215,32 @@ def test_recall_of_near_duplicates_at_full_size(spark):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {x["doc_id"]: tuple(x)[1:] for x in minhash.near_duplicates(df, words=4).collect()} == minhash.brute_force(docs)
+
+
+def plain_counts(text):
+    """The base counts by the letter of the contract."""
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    starts = {}
+    for i in range(len(words) - 7):
+        starts.setdefault(tuple(words[i : i + 8]), []).append(i)
+    hit = {i + k for places in starts.values() if len(places) > 1 for i in places for k in range(8)}
+    failed = len(words) < 20 or 100 * len(hit) > 30 * len(words)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), sum(x in lines[:i] for i, x in enumerate(lines)), len(hit), failed
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "é", "日本", "#", "x|y", "\n", "\n\n", " ", "\t", "\x0b", "\x85", " ", "long-word"]), max_size=90), st.sampled_from(["", " ", "\n"]))
+def test_base_counts_against_a_plain_version(pieces, joint):
+    text = joint.join(pieces)
+    assert quality.base_counts(text.encode()) == plain_counts(text)
+
+
+def test_base_counts_of_whole_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    for r in quality.judged(docs, labels).collect():
+        want = plain_counts(r["text"])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == want
+        assert not (r["kept"] and want[-1]) and (want[-1] or r["kept"] == (r["probability"] >= quality.THRESHOLD))
