@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as T, vocab
+from ..sources.tables import written
 
 #: The path columns of an item.
 PATHS = ("infrared_degraded_path", "visible_degraded_path", "infrared_clean_path", "visible_clean_path", "fused_gt_path")
@@ -15,12 +16,13 @@ STAGES = ("infrared", "visible", "fused")
 
 def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
     """A dense row number by the given columns, made in two steps so that no task holds all rows: range partitions, then offsets of the partitions.
-    Their number is fixed, so that adaptive execution leaves them as they are wherever they are read."""
+    Range bounds come from a sample, and two reads may sample differently, so the numbered rows are written once and both steps read that table.
+    Ties keep no fixed order; an empty table gives none."""
     parts = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    parts = parts.withColumn("_part", F.shiftright("_m", 33)).withColumn("_at", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    parts = written(parts.withColumn("_part", F.shiftright("_m", 33)).withColumn("_at", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m"), "ordinals")
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(F.col("_part").alias("_p"), (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return parts.join(offsets, F.col("_part") == F.col("_p")).withColumn("ordinal", F.col("_before") + F.col("_at")).drop("_m", "_part", "_at", "_p", "_before")
+    return parts.join(offsets, F.col("_part") == F.col("_p")).withColumn("ordinal", F.col("_before") + F.col("_at")).drop("_part", "_at", "_p", "_before")
 
 
 def filled_metadata(df: DataFrame) -> DataFrame:
@@ -98,8 +100,9 @@ def clean_stage_schema(df: DataFrame) -> DataFrame:
     return out
 
 
-def unpivoted_paths(df: DataFrame, key: str = "id", columns=PATHS) -> DataFrame:
-    return df.unpivot([key], list(columns), "key", "path")
+def unpivoted_paths(df: DataFrame, key: str | list[str] = "id", columns=PATHS, value: str = "path") -> DataFrame:
+    """A row for each column of a row: key, the column's name, its value."""
+    return df.unpivot([key] if isinstance(key, str) else key, list(columns), "key", value)
 
 
 def conversation(df: DataFrame, ask: Column, answer: Column, images: list[str]) -> DataFrame:

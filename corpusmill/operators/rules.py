@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, vocab
-from .normalize import PATHS, STAGES, _all, cot_all_valid, record_kind
+from .normalize import PATHS, STAGES, _all, cot_all_valid, record_kind, unpivoted_paths
 
 
 def errors(*rules: Column) -> Column:
@@ -127,7 +127,7 @@ def error_examples(df: DataFrame, order: str, n: int = 10, column: str = "errors
 
 def missing_paths(df: DataFrame, listing: DataFrame, key: str = "id", columns=PATHS) -> DataFrame:
     """key, missing: path columns whose file is not in the listing (path)."""
-    long = df.unpivot([key], list(columns), "key", "path")
+    long = unpivoted_paths(df, key, columns)
     return long.join(listing.select("path").distinct(), "path", "left_anti").groupBy(key).agg(F.array_sort(F.collect_list("key")).alias("missing"))
 
 

@@ -27,9 +27,9 @@ def shortfalls(df: DataFrame, quotas: DataFrame, stratum: str) -> DataFrame:
     return quotas.join(have, stratum, "left").withColumn("available", F.coalesce("available", F.lit(0))).where("available < quota")
 
 
-def scene_disjoint_sample(df: DataFrame, quotas: dict, stratum: str, scene: str, key: str, seed: str, used: DataFrame | None = None) -> DataFrame:
+def scene_disjoint_sample(df: DataFrame, quotas: dict, stratum: str, scene: str, key: str, seed: str, used: DataFrame | None = None, save=None) -> DataFrame:
     """Quota per stratum with one row for each scene, and no scene that an earlier stratum (in sorted order) or `used` has.
-    A step for each stratum: quotas are a short control table."""
+    A step for each stratum: quotas are a short control table. save(df) writes each step, so that later ones do not run it again."""
     out = None
     for name in sorted(quotas):
         rows = df.where(F.col(stratum) == name)
@@ -39,6 +39,7 @@ def scene_disjoint_sample(df: DataFrame, quotas: dict, stratum: str, scene: str,
         rows = rows.withColumn("_order", seeded(seed, stratum, key))
         first = rows.withColumn("_n", F.row_number().over(W.partitionBy(scene).orderBy("_order", key))).where("_n = 1")
         step = first.orderBy("_order", key).limit(quotas[name]).drop("_order", "_n")
+        step = save(step) if save else step
         out = step if out is None else out.unionByName(step)
     return out
 
@@ -46,7 +47,7 @@ def scene_disjoint_sample(df: DataFrame, quotas: dict, stratum: str, scene: str,
 def balanced_sample(df: DataFrame, n: int, stratum: str, scene: str, level: str, key: str, seed: str, save=None) -> DataFrame:
     """n rows of each stratum with n or more, smallest stratum first; within one, scenes least used on its level, then
     least used at all, then by seeded order. Counts do not change within a stratum, so a scene can come twice in one.
-    save(df) may cut the lineage between steps (a written table); without it the plan is one query."""
+    save(df) writes each step, so that later ones do not run it again; without it the plan is one query."""
     sizes = sorted((r["count"], r[0]) for r in df.groupBy(stratum).count().collect())
     out = None
     for size, name in sizes:
@@ -60,9 +61,8 @@ def balanced_sample(df: DataFrame, n: int, stratum: str, scene: str, level: str,
             at_all = out.groupBy(scene).agg(F.count(F.lit(1)).alias("_all"))
             rows = rows.join(on_level, [level, scene], "left").join(at_all, scene, "left").fillna(0, ["_level", "_all"])
         step = rows.orderBy("_level", "_all", "_order", key).limit(n).select(*df.columns)
+        step = save(step) if save else step
         out = step if out is None else out.unionByName(step)
-        if save:
-            out = save(out)
     return out if out is not None else df.limit(0)
 
 
@@ -74,11 +74,15 @@ def epoch_order(key: str, seed: int, epoch: int) -> Column:
     return seeded(str(seed + epoch * 100003), key)
 
 
-def batch_slots(df: DataFrame, ordinal: str, total: int, world: int, size: int) -> DataFrame:
-    """batch, rank, slot of each row by its 0-based place; the rows past the last whole round are left out."""
+def _long(n: int | Column) -> Column:
+    return (n if isinstance(n, Column) else F.lit(n)).cast("long")
+
+
+def batch_slots(df: DataFrame, ordinal: str, total: int | Column, world: int, size: int) -> DataFrame:
+    """batch, rank, slot of each row by its 0-based place; the rows past the last whole round are left out. total may be a scalar subquery."""
     per = world * size
     at = F.col(ordinal)
-    kept = df.where(at < total // per * per)
+    kept = df.where(at < _long(total) - F.pmod(_long(total), F.lit(per)))
     return kept.select("*", F.floor(at / per).alias("batch"), F.floor(F.pmod(at, F.lit(per)) / size).alias("rank"), F.pmod(at, F.lit(size)).alias("slot"))
 
 
@@ -86,8 +90,9 @@ def modulo_shard(df: DataFrame, ordinal: str, shards: int, shard: int) -> DataFr
     return df.where(F.pmod(F.col(ordinal), F.lit(shards)) == shard)
 
 
-def range_shard(df: DataFrame, ordinal: str, total: int, shards: int, shard: int) -> DataFrame:
-    block = -(-total // shards)
+def range_shard(df: DataFrame, ordinal: str, total: int | Column, shards: int, shard: int) -> DataFrame:
+    """One of `shards` blocks of equal length. total may be a scalar subquery."""
+    block = F.floor((_long(total) + shards - 1) / shards)
     return df.where((F.col(ordinal) >= block * shard) & (F.col(ordinal) < block * (shard + 1)))
 
 

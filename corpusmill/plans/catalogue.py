@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scoring, text as T, vocab
 from ..operators import groups, normalize, reports, rules, sampling
+from ..sources import readers
+from ..sources.tables import written
 from ..streaming import rewards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +33,11 @@ def big(c: str):
     return F.col(c).cast("long")
 
 
+def rows_of(df: DataFrame):
+    """The number of rows as a scalar subquery, so that no job runs while a plan is built."""
+    return df.agg(F.count(F.lit(1))).scalar()
+
+
 # Groups of rewards: events stand for reward rows, user_id for the group.
 
 
@@ -119,8 +126,8 @@ select user_id, event_type, event_id from (
   select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as n from events) where n = 1
 """)
 def last_write_wins(events):
-    w = W.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    return events.withColumn("n", F.row_number().over(w)).where("n = 1").select("user_id", "event_type", "event_id")
+    e = events.select("user_id", "event_type", "event_id", F.struct("ts", "event_id").alias("at"))
+    return readers.last_write_wins(e, ["user_id", "event_type"], "at").drop("at")
 
 
 @query("""
@@ -155,12 +162,8 @@ with n as (select *, row_number() over (order by ts, event_id) - 1 as o from eve
 select event_id, (o // 12)::bigint as batch, ((o % 12) // 4)::bigint as rank, (o % 4)::bigint as slot from n, c where o < (c // 12) * 12
 """)
 def batch_slots(events):
-    e = normalize.with_ordinal(events, "ts", "event_id")
-    return groups_of(e)
-
-
-def groups_of(e: DataFrame) -> DataFrame:
-    return sampling.batch_slots(e, "ordinal", e.count(), 3, 4).select("event_id", big("batch").alias("batch"), big("rank").alias("rank"), big("slot").alias("slot"))
+    e = normalize.with_ordinal(events.select("ts", "event_id"), "ts", "event_id")
+    return sampling.batch_slots(e, "ordinal", rows_of(events), 3, 4).select("event_id", big("batch").alias("batch"), big("rank").alias("rank"), big("slot").alias("slot"))
 
 
 @query("select event_id, value from events where event_id % 8 = 3")
@@ -172,7 +175,7 @@ def shard_modulo(events):
 with c as (select ceil(count(*) / 8.0)::bigint as b from events) select event_id, value from events, c where event_id >= 2 * b and event_id < 3 * b
 """)
 def shard_range(events):
-    return sampling.range_shard(events, "event_id", events.count(), 8, 2).select("event_id", "value")
+    return sampling.range_shard(events, "event_id", rows_of(events), 8, 2).select("event_id", "value")
 
 
 @query("""
@@ -231,7 +234,7 @@ def _disjoint_sql(n: int) -> str:
 
 @query(_disjoint_sql(3))
 def disjoint_sample(documents):
-    return sampling.scene_disjoint_sample(documents.select("doc_id", "lang", "source"), dict.fromkeys(("de", "en", "es", "fr"), 3), "lang", "source", "doc_id", "7")
+    return sampling.scene_disjoint_sample(documents.select("doc_id", "lang", "source"), dict.fromkeys(("de", "en", "es", "fr"), 3), "lang", "source", "doc_id", "7", save=written)
 
 
 def _balanced_sql(n: int, strata: int) -> str:
@@ -247,7 +250,7 @@ def _balanced_sql(n: int, strata: int) -> str:
 @query(_balanced_sql(8, 4))
 def balanced_topk(documents):
     d = documents.select("doc_id", "lang", "source").withColumn("level", F.lit("level_2"))
-    return sampling.balanced_sample(d, 8, "lang", "source", "level", "doc_id", "7").select("doc_id", "lang", "source")
+    return sampling.balanced_sample(d, 8, "lang", "source", "level", "doc_id", "7", save=written).select("doc_id", "lang", "source")
 
 
 @query("""
@@ -560,7 +563,7 @@ def clipped_objective(lineitem):
 
 @query("select l_orderkey, l_linenumber, k as key, v as value from (select l_orderkey, l_linenumber, unnest(['l_quantity', 'l_discount', 'l_tax']) as k, unnest([l_quantity, l_discount, l_tax]) as v from lineitem) where v = 0")
 def unpivot_missing(lineitem):
-    return lineitem.unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"], "key", "value").where("value = 0")
+    return normalize.unpivoted_paths(lineitem, ["l_orderkey", "l_linenumber"], ("l_quantity", "l_discount", "l_tax"), "value").where("value = 0")
 
 
 @query("select o_orderstatus, o_orderpriority, count(*)::bigint as n, round(sum(o_totalprice), 2) as total from orders group by rollup (o_orderstatus, o_orderpriority)")

@@ -91,7 +91,8 @@ def with_side_text(status: DataFrame, texts: DataFrame) -> DataFrame:
     return status.join(texts, "folder", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def last_write_wins(df: DataFrame, key: str, order: str) -> DataFrame:
+def last_write_wins(df: DataFrame, key: str | list[str], order: str) -> DataFrame:
+    """The last row of each key by `order`."""
     return df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
 
 
