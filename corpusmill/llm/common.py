@@ -1,20 +1,20 @@
-"""What the operators share: shipping the package, shared storage, Arrow maps, word splitting."""
+"""What the operators share: shipping the package, Arrow maps, word splitting; tables in the shared folder."""
 
 from __future__ import annotations
 
 import atexit
-import contextlib
 import os
 import re
 import shutil
 import tempfile
-import uuid
 import zipfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import filesystem, new_path, shared_dir, written  # noqa: F401 (the operators take them from here)
+
 #: Bytes of A-Z to a-z.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Java regular expression of a word of the contracts: anything but ASCII white space.
@@ -23,7 +23,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
 
 _shipped: set[str] = set()
-_own_dir: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -45,48 +44,6 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(path)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset: an own one in local mode, else an error, as executors would not see it."""
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master") or ""):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="corpusmill-shared"))
-        atexit.register(shutil.rmtree, _own_dir[0], True)
-    return "file://" + _own_dir[0]
-
-
-def filesystem(uri: str):
-    """The store of a file of the shared folder, and its path there."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
-def _drop(uri: str) -> None:
-    with contextlib.suppress(Exception):  # a store may be gone before the application ends
-        store, path = filesystem(uri)
-        store.delete_dir(path)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new folder of the shared one; it is deleted when the application ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_drop, path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
     """mapInArrow with the package shipped. Batches have BATCH_ROWS rows and BATCH_BYTES bytes at most: the session's
     settings are lowered to that where they are higher, and left so, as a plan reads them when it runs."""
