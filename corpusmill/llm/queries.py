@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html_text, minhash, mixing, quality, revisits, suffix_array, suffix_tree, token_files
+from . import alignment, chat, decontaminate, filter_audit, html_text, minhash, mixing, quality, revisits, sharding, suffix_array, suffix_tree, token_files
 
 QUERIES = {
     "op1_perspectives": chat.op1_perspectives,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_circulant": minhash.op8_circulant,
     "op9_suffix_arrays": decontaminate.op9_suffix_arrays,
     "op10_water_filling": mixing.op10_water_filling,
+    "op11_filter_cube": filter_audit.op11_filter_cube,
+    "op12_interval_index": alignment.op12_interval_index,
+    "op13_feistel": sharding.op13_feistel,
 }
 SQL = {
     "op1_perspectives": chat.SQL,
@@ -24,4 +27,5 @@ SQL = {
     "op8_circulant": minhash.SQL,
     "op9_suffix_arrays": decontaminate.SQL,
     "op10_water_filling": mixing.SQL,
+    "op11_filter_cube": filter_audit.SQL,
 }
