@@ -29,19 +29,6 @@ def signal_rate(df: DataFrame, group: str, value: str, least_std: float = 1e-4)
     return df.groupBy(group).agg(F.stddev_pop(value).alias("std")).agg(F.count(F.lit(1)).alias("groups"), F.avg((F.col("std") > least_std).cast("double")).alias("rate"))
 
 
-def longest_runs(df: DataFrame, key: str, order: list[str], flag: Column) -> DataFrame:
-    """key, longest: the most flagged rows in a row."""
-    w = W.partitionBy(key).orderBy(*order)
-    f = df.withColumn("_f", F.coalesce(flag, F.lit(False)).cast("int")).withColumn("_island", F.sum(1 - F.col("_f")).over(w))
-    return f.groupBy(key, "_island").agg(F.sum("_f").alias("n")).groupBy(key).agg(F.max("n").alias("longest"))
-
-
-def next_match(df: DataFrame, key: str | None, order: str, start: Column, end: Column) -> DataFrame:
-    """end_at: for each start row the place of the first end row after it (forward as-of)."""
-    w = (W.partitionBy(key) if key else W.partitionBy()).orderBy(order).rowsBetween(1, W.unboundedFollowing)
-    return df.withColumn("end_at", F.min(F.when(end, F.col(order))).over(w)).where(start)
-
-
 def exploded_tokens(df: DataFrame, key: str = "id", *arrays: str) -> DataFrame:
     return df.select(key, F.posexplode(F.arrays_zip(*arrays)).alias("pos", "t")).select(key, "pos", *[F.col(f"t.{a}").alias(a) for a in arrays])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scoring, text as T, vocab
-from ..operators import groups, normalize, reports, rules, sampling
+from ..operators import groups, normalize, reports, rules, runs, sampling
 from ..sources import readers
 from ..sources.tables import written
 from ..streaming import rewards
@@ -79,7 +79,7 @@ r as (select user_id, island, sum(f) as n from i group by 1, 2)
 select user_id, max(n)::bigint as longest from r group by 1
 """)
 def no_signal_runs(events):
-    return groups.longest_runs(events, "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("user_id", big("longest").alias("longest"))
+    return runs.longest_runs(events, "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("user_id", big("longest").alias("longest"))
 
 
 @query("""
@@ -154,7 +154,7 @@ from events a where event_type = 'error'
 """)
 def token_blocks(events):
     bad = F.col("event_type") == "error"
-    return groups.next_match(events, "user_id", "event_id", bad, ~bad).select("event_id", "user_id", "end_at")
+    return runs.next_match(events.select("event_id", "user_id", "event_type"), "user_id", "event_id", bad, ~bad).select("event_id", "user_id", "end_at")
 
 
 @query("""
@@ -629,4 +629,5 @@ def local_ssim(embeddings):
 
 @query(SQL["no_signal_runs"].replace("as longest", "as longest_run"))
 def failure_runs_batch(events):
-    return groups.longest_runs(events, "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("user_id", big("longest").alias("longest_run"))
+    """The greatest of the runs that end with each row."""
+    return runs.run_lengths(events.select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], F.col("event_type") == "error").groupBy("user_id").agg(F.max(big("run")).alias("longest_run"))

@@ -223,12 +223,12 @@ def text_rewards(documents):
 @query("""
 with m as (select event_id, [try_cast((value / 7)::varchar as double), try_cast(case when event_id % 5 = 0 then 'none' else '8' end as double), (event_id % 14)::double - 2, 10.0, value / 20] as m from events),
 c as (select event_id, list_transform(m, lambda x: greatest(0.0, least(10.0, coalesce(x, 0.0)))) as m from m)
-select event_id, round((0.25 * m[1] + 0.20 * m[2] + 0.20 * m[3] + 0.20 * m[4] + 0.15 * m[5]) / 10, 6) as score from c
+select event_id, round((0.25 * m[1] + 0.20 * m[2] + 0.20 * m[3] + 0.20 * m[4] + 0.15 * m[5]) / 10, 9) as score from c
 """)
 def judge_marks(events):
     e, v = F.col("event_id"), F.col("value")
     marks = dict(zip(scoring.JUDGE_WEIGHTS, ((v / 7).cast("string"), F.when(_by(e, 5), F.lit("none")).otherwise(F.lit("8")), (e % 14).cast("double") - 2, F.lit(10.0), v / 20)))
-    return events.select("event_id", F.round(scoring.judge_score(marks), 6).alias("score"))
+    return events.select("event_id", F.round(scoring.judge_score(marks), 9).alias("score"))
 
 
 @query("""

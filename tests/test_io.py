@@ -103,7 +103,7 @@ def test_stream_equals_batch(spark, tmp_path):
     r.processAllAvailable()
     r.stop()
     got = {x["user_id"]: x["longest"] for x in spark.table("r").collect()}
-    from corpusmill.operators import groups
+    from corpusmill.operators import runs
 
-    want = {x["user_id"]: x["longest"] for x in groups.longest_runs(batch, "user_id", ["ts", "event_id"], F.col("event_type") == "error").collect()}
+    want = {x["user_id"]: x["longest"] for x in runs.longest_runs(batch, "user_id", ["ts", "event_id"], F.col("event_type") == "error").collect()}
     assert got == want
