@@ -10,7 +10,9 @@ from ..sources.tables import new_path
 from ..streaming import counters, resumable
 from .catalogue import QUERIES, SQL, big, query
 
-FAILED = F.col("event_type") == "error"
+
+def _failed():
+    return F.col("event_type") == "error"
 
 
 def stream_query(sql: str):
@@ -85,7 +87,7 @@ def run_stops_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors in a row of each user as state of a stream, to the third; the last 12 hours still wait for late rows."""
     table, stream = _events(spark, sf_dir)
     with counters.with_rocksdb(spark):
-        out = counters.counted(stream, "user_id", "ts", "event_id", FAILED, limit=3, late="12 hours")
+        out = counters.counted(stream, "user_id", "ts", "event_id", _failed(), limit=3, late="12 hours")
         target = new_path(spark, "counted")
         resumable.start(out, target, new_path(spark, "checkpoint")).awaitTermination()
     return resumable.committed(spark, target, out.schema).select("user_id", "event_id", "run", "longest", "stopped")
@@ -101,7 +103,7 @@ with e as (select *, event_type = 'error' as f from events), {_RUNS}, l as (sele
 select user_id, event_id, run::bigint as run, run >= 2 as stopped from l where earlier < 2
 """)
 def run_stops(events):
-    out = runs.until_limit(events.select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], FAILED, 2)
+    out = runs.until_limit(events.select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], _failed(), 2)
     return out.select("user_id", "event_id", big("run").alias("run"), "stopped")
 
 
@@ -112,7 +114,7 @@ select user_id, coalesce(max(run) filter (island = 0), 0)::bigint as prefix, coa
 def run_summaries_merged(events):
     """Summaries of the first half of the month and of the rest, merged without their rows."""
     half = F.lit("2024-01-16").cast("timestamp")
-    early, late = (runs.run_summaries(events.where(c), "user_id", ["ts", "event_id"], ~FAILED) for c in (F.col("ts") < half, F.col("ts") >= half))
+    early, late = (runs.run_summaries(events.where(c), "user_id", ["ts", "event_id"], ~_failed()) for c in (F.col("ts") < half, F.col("ts") >= half))
     return runs.joined_summaries(early, late, "user_id")
 
 
