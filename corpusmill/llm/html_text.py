@@ -5,17 +5,22 @@ presentation importance is the entropy of its child sequences over the pages tha
 (0: all pages alike, 1: each its own). Its content importance is 1 less the mean entropy of its blocks' texts over them
 (0: on all pages, 1: each on one). Its importance is the mean of both and, on a page, the mean of that with what the
 page says beforehand: 1 in an article or main element itself, 0.8 if named as content, 0.5 below an article or where the
-page has none, less where a part of its name stands for something else, little outside the page's article. A node below LOW
-loses its blocks; a branch is as important as its most important node, so one of low nodes alone goes whole. Nodes on
-fewer than MIN_PAGES pages have the page's word alone.
+page has none, less where a part of its name stands for something else, little outside the page's article. The tree's word has the weight of its
+pages less one, the page's that of one page, so a node of one page has the page's word alone and no number of pages switches the tree on. A node below LOW
+loses its blocks; a branch is as important as its most important node, so one of low nodes alone goes whole.
+
+Copies of an article on many pages recur like a menu. So pages that share most of their text count as one in the tree: pages are told apart by three
+blocks, drawn by hash with their length as weight. And where the tree would take more than half of what the page declares as its article, or
+LARGER of a page without one, what recurs is the article, and stays.
 
 Markup is read before the tree: scripts, styles, forms, hidden elements, nav, footer, aside and their roles are no
 text, nor are elements whose class or id says nothing else than what is to go (ad, comments, cookie-notice); entropies
-cannot tell readers' comments or fresh adverts from an article. Names never cut what holds the page's article.
+cannot tell readers' comments or fresh adverts from an article. Names never cut what holds the page's article. A form that holds the article, or most
+of the page's text where there is none, is an element like any other.
 
 Null or empty html, or a page without text: ''. Unclosed elements end with their parent; text after an unclosed
 comment, tag, script or style is not text. A null or odd url: the host is ''. Repeated rows are pages of their own, but
-pages of a host with the same text count as one in the tree. A page that the tree would leave empty keeps its text.
+count as one in the tree. A page that all this would leave empty keeps what markup and whole names do not cut.
 Reading is linear in the page's length, however broken the page is.
 """
 
@@ -23,7 +28,9 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import re
+import struct
 from functools import lru_cache
 
 import pyarrow as pa
@@ -31,10 +38,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow_map, batch, ship, written
 
-MIN_PAGES = 4
 LOW = 0.3
+#: The share of a page without an article that the tree may not take.
+LARGER = 0.8
 #: What a page says of a node: named as content, neutral, named in part as something else (below an article; on a page without one), outside the page's article.
-NAMED, NEUTRAL, PARTLY, DOUBTFUL, OUTSIDE = 0.8, 0.5, 0.45, 0.29, 0.05
+NAMED, NEUTRAL, PARTLY, DOUBTFUL, OUTSIDE = 0.8, 0.5, 0.45, 0.35, 0.05
 
 #: Elements and what they are.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -49,8 +57,8 @@ OWN_HEADER = CONTENT | set("post entry".split())
 #: Words that say nothing by themselves of what an element holds.
 GENERIC = set("this the us my site page box bar wrap wrapper container block area list links items section widget widgets module inner outer body left right top bottom main primary secondary slot unit posts articles stories topics id js col row panel group small large new".split())
 OTHERS = set("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion related recommended recommendations comment comments commentlist reply replies respond".split())
-#: Declared by names: in part by words of NOISE, by nothing else, or as content.
-WEAK, STRONG, SAID = -1, -2, 2
+#: Declared by names: in part by words of NOISE, by nothing else, or as content; and a form, whose text decides.
+WEAK, STRONG, SAID, FORM = -1, -2, 2, -3
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation": 0, "banner": 0, "contentinfo": 0, "complementary": 0, "search": 0, "dialog": 0, "alert": 0, "alertdialog": 0, "menu": 0, "menubar": 0, "form": 0, "toolbar": 0, "main": 1, "article": 1}
 
@@ -114,7 +122,7 @@ def _declared(tag: str, attrs: str) -> tuple[str, int | None, bool]:
 
 @lru_cache(50_000)
 def _known(tag: str, attrs: str) -> tuple[str, int | None, bool]:
-    """What identifies an element among its siblings, what it declares itself to be (0, 1, SAID, WEAK, STRONG, None), and whether it is an article or main element."""
+    """What identifies an element among its siblings, what it declares itself to be (0, 1, SAID, WEAK, STRONG, FORM, None), and whether it is an article or main element."""
     found: dict[str, str] = {}
     for m in _ATTR.finditer(attrs):
         found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
@@ -129,7 +137,8 @@ def _known(tag: str, attrs: str) -> tuple[str, int | None, bool]:
     if tag in ("html", "body"):
         return name, None, False
     if tag in CUT or "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "").lower()) or ROLES.get(role) == 0:
-        return name, 0, main
+        plain = tag == "form" and not ("hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "").lower()) or ROLES.get(role) == 0)
+        return name, FORM if plain else 0, main
     if main:
         return name, STRONG if tag != "main" and words & OTHERS else 1, True
     noise = NOISE if words & OWN_HEADER else NOISE | {"header"}
@@ -150,9 +159,28 @@ class Node(list):
         self.key, self.parent, self.own, self.main, self.style, self.cut, self.prior, self.inside = key, parent, own, main, [], own == 0, NEUTRAL, False
 
 
-def _settle(nodes: list[Node], names: list[str]) -> None:
+def _forms(nodes: list[Node], blocks: list[tuple[int, str]]) -> None:
+    """A form that holds an article or main element, or most of the text of a page without one, is neutral; others are cut."""
+    size, holds = [0] * len(nodes), [n.main for n in nodes]
+    hard = [False] * len(nodes)
+    for i, n in enumerate(nodes[1:], 1):
+        hard[i] = hard[n.parent] or n.own in (0, STRONG)
+    for i, t in blocks:
+        size[i] += 0 if hard[i] else len(t)
+    for i in range(len(nodes) - 1, 0, -1):
+        size[nodes[i].parent] += size[i]
+        holds[nodes[i].parent] |= holds[i] and not hard[i]
+    for i, n in enumerate(nodes):
+        if n.own == FORM:
+            n.own = None if holds[i] or not holds[0] and 2 * size[i] > size[0] else 0
+            n.cut = n.own == 0
+
+
+def _settle(nodes: list[Node], names: list[str], blocks: list[tuple[int, str]]) -> None:
     """Names cut no article or main element and nothing that holds one, unless there is another that fewer of them are
     around: then it is a teaser or comment. What is left of them, and where the article is, gives the nodes' priors."""
+    if any(n.own == FORM for n in nodes):
+        _forms(nodes, blocks)
     strong = [0] * len(nodes)
     for i, n in enumerate(nodes[1:], 1):
         n.cut |= nodes[n.parent].cut
@@ -267,19 +295,28 @@ def parse(page: str, host: str = "") -> tuple[list[Node], list[tuple[int, str]]]
         elif attrs and tag not in ("input", "link", "meta", "img", "embed", "source", "a", "b", "i", "em", "strong") and (own := _declared(tag, attrs)[1]) in (0, STRONG):
             hidden, soft = [tag], own != 0
     close()
-    _settle(nodes, names)
+    _settle(nodes, names, blocks)
     return nodes, blocks
 
 
-def _kept(nodes: list[Node], blocks: list[tuple[int, str]], importance: dict[int, float]) -> str:
-    keep = [not n.cut and (n.prior if (e := importance.get(n.key)) is None else (n.prior + e) / 2) >= LOW for n in nodes]
-    return "\n".join(t for i, t in blocks if keep[i])
+def _kept(nodes: list[Node], blocks: list[tuple[int, str]], importance: dict[int, tuple[float, int]]) -> str:
+    low = []
+    for n in nodes:
+        e, pages = importance.get(n.key, (0.0, 1))
+        low.append((n.prior + (n.prior + (pages - 1) * e) / pages) / 2 < LOW)
+    # What the tree alone would take, inside the article if there is one, and all that stands there.
+    article = any(n.inside and not n.cut for n in nodes)
+    there = [(len(t), low[i]) for i, t in blocks if not nodes[i].cut and nodes[i].prior >= LOW and (nodes[i].inside or not article)]
+    taken, all_ = sum(k for k, cut in there if cut), sum(k for k, _ in there)
+    if taken > (0.5 if article else LARGER) * all_:
+        low = [cut and not (n.prior >= LOW and (n.inside or not article)) for n, cut in zip(nodes, low)]
+    return "\n".join(t for i, t in blocks if not (nodes[i].cut or low[i]))
 
 
-def main_text(page: str | None, importance: dict[int, float] | set[int] = frozenset(), host: str = "") -> str:
-    """The text of a page's blocks without branches of low importance (node -> that in the host's tree; a set: nodes of none); by the page's word alone, if nothing is left."""
+def main_text(page: str | None, importance: dict[int, tuple[float, int]] = {}, host: str = "") -> str:
+    """The text of a page's blocks without branches of low importance (node -> that in the host's tree, and its pages); where nothing is left, all that is not cut by markup or whole names."""
     nodes, blocks = parse(page or "", host)
-    return _kept(nodes, blocks, importance if isinstance(importance, dict) else dict.fromkeys(importance, 0.0)) or _kept(nodes, blocks, {})
+    return _kept(nodes, blocks, importance) or "\n".join(t for i, t in blocks if not nodes[i].cut)
 
 
 _STATS = pa.schema([("host_key", pa.int64()), ("page", pa.int64()), ("node", pa.int64()), ("kind", pa.int8()), ("value", pa.int64())])
@@ -289,20 +326,32 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _likeness(texts: list[str]) -> int:
+    """A hash of three of the texts, each drawn by another hash with the lengths as weights: two pages that share a part s of their text draw the same with a chance of about s cubed."""
+    best, drawn = [math.inf] * 3, [0] * 3
+    for t in set(texts):
+        raw = hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=24).digest()
+        for k, u in enumerate(struct.unpack("<3Q", raw)):
+            rank = -math.log((u + 1) / (1 << 64)) / len(t)
+            if rank < best[k]:
+                best[k], drawn[k] = rank, u
+    return _hash(repr(drawn))
+
+
 def _page_stats(batches):
-    """For each page and node that is not cut: its child sequence (kind 0) and block texts (kind 1), each once, and a hash of the page's blocks, which copies share."""
+    """For each page and node that is not cut: its child sequence (kind 0) and block texts (kind 1), each once, and the page's likeness, which near copies share."""
     for rb in batches:
         out: list[tuple] = []
         for host, key, page in zip(*(rb.column(c).to_pylist() for c in ("host", "host_key", "html"))):
             nodes, blocks = parse(page or "", host)
             shown = [(nodes[i].key, _hash(t)) for i, t in blocks if not nodes[i].cut]
-            same = _hash(repr(shown))
+            same = _likeness([t for i, t in blocks if not nodes[i].cut])
             out += {(key, same, n.key, 0, _hash("|".join(n.style))) for n in nodes if not n.cut} | {(key, same, node, 1, t) for node, t in shown}
         yield batch(_STATS, [list(c) for c in zip(*out)] if out else [[]] * 5)
 
 
 def importances(pages: DataFrame) -> DataFrame:
-    """host_key, node, pages, presentation, content, importance of each node that MIN_PAGES different pages of its host have. pages: host, host_key, html.
+    """host_key, node, pages, presentation, content, importance of each node that two different pages of its host have. pages: host, host_key, html.
 
     presentation: entropy of the child sequences to the base of the pages. content: 1 less the mean, over the node's
     different blocks, of the entropy of the pages that hold the block; null without blocks. importance: their mean, or presentation alone.
@@ -316,7 +365,7 @@ def importances(pages: DataFrame) -> DataFrame:
         F.avg(F.when(~style, F.ln("n"))).alias("mean_ln"),
     )
     m = F.ln(F.col("pages").cast("double"))
-    own = of_node.where(F.col("pages") >= MIN_PAGES).select("host_key", "node", "pages", (1 - F.col("n_ln_n") / F.col("pages") / m).alias("presentation"), F.when(F.col("mean_ln").isNotNull(), 1 - F.least(F.lit(1.0), F.col("mean_ln") / m)).alias("content"))
+    own = of_node.where(F.col("pages") > 1).select("host_key", "node", "pages", (1 - F.col("n_ln_n") / F.col("pages") / m).alias("presentation"), F.when(F.col("mean_ln").isNotNull(), 1 - F.least(F.lit(1.0), F.col("mean_ln") / m)).alias("content"))
     return own.withColumn("importance", F.when(F.col("content").isNull(), F.col("presentation")).otherwise((F.col("presentation") + F.col("content")) / 2))
 
 
@@ -329,7 +378,7 @@ def _extract(batches):
         out, trees = [], rb.column("tree")
         for i, (host, page) in enumerate(zip(rb.column("host").to_pylist(), rb.column("html").to_pylist())):
             if host != held:
-                held, tree = host, {x["node"]: x["importance"] for x in trees[i].as_py() or ()}
+                held, tree = host, {x["node"]: (x["importance"], x["pages"]) for x in trees[i].as_py() or ()}
             out.append(main_text(page, tree, host))
         yield batch(_TEXT, [rb.column("page_id"), rb.column("url"), out, [len(t) for t in out]])
 
@@ -344,7 +393,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     ship(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host")).withColumn("host_key", F.xxhash64("host"))
-    tree = written(importances(rows.select("host", "host_key", "html")).groupBy("host_key").agg(F.collect_list(F.struct("node", "importance")).alias("tree")), "trees")
+    tree = written(importances(rows.select("host", "host_key", "html")).groupBy("host_key").agg(F.collect_list(F.struct("node", "importance", "pages")).alias("tree")), "trees")
     joined = rows.join(tree, "host_key", "left")
     return arrow_map(joined.select("page_id", "url", "html", "host", "tree"), _extract, "page_id long, url string, text string, n_chars long")
 

@@ -94,7 +94,7 @@ def test_copies_keep_their_text(spark):
     page = "<html><body><div class='x'><p>Same text</p></div><div class='y'><p>{}</p></div></body></html>"
     for n in (3, 4, 9):
         assert texts(spark, [page.format("End") + f"<!-- {i} -->" for i in range(n)]) == ["Same text\nEnd"] * n
-    assert h.main_text(page.format("End"), {n[0] for n in h.parse(page)[0]}) == "Same text\nEnd"
+    assert h.main_text(page.format("End"), {n[0]: (0.0, 1000) for n in h.parse(page)[0]}) == "Same text\nEnd"
 
 
 def test_revisits(spark):
@@ -157,16 +157,16 @@ def test_importances_against_plain_entropies(spark):
     styles, texts_, seen = defaultdict(Counter), defaultdict(Counter), set()
     for page in pages:
         nodes, blocks = h.parse(page, "a.org")
-        same = tuple((nodes[i][0], t) for i, t in blocks)
-        if same not in seen:
-            seen.add(same)
-            for n in nodes:
-                styles[n[0]][tuple(n.style)] += 1
-            for x in set(same):
-                texts_[x[0]][x[1]] += 1
+        same = h._likeness([t for _, t in blocks])  # pages alike count once with each child sequence and text
+        for kind, where, value in [(0, n[0], tuple(n.style)) for n in nodes] + [(1, nodes[i][0], t) for i, t in blocks]:
+            if (same, kind, where, value) not in seen:
+                seen.add((same, kind, where, value))
+                (texts_ if kind else styles)[where][value] += 1
     want = {}
     for node, c in styles.items():
         m = sum(c.values())
+        if m < 2:
+            continue
         pres = -sum(k / m * math.log(k / m, m) for k in c.values())
         content = 1 - sum(math.log(k, m) for k in texts_[node].values()) / len(texts_[node]) if texts_[node] else None
         want[node] = (m, pres, content, pres if content is None else (pres + content) / 2)
@@ -200,3 +200,72 @@ def test_long_broken_pages_take_linear_time(piece):
     began = time.process_time()
     h.main_text(piece * (1_000_000 // len(piece)))
     assert time.process_time() - began < 20
+
+
+SHARED = [f"Paragraph {k} of the story that all copies share, some words long." for k in range(30)]
+
+
+def near_copies(n, wrap="<article><h1>Title {0}</h1><div class='body'>{1}</div></article>"):
+    return [wrap.format(i, "".join(f"<p>{t}</p>" for t in [*SHARED, f"Line of copy {i} alone."])) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [2, 5, 40])
+def test_near_copies_keep_their_article(spark, n):
+    assert texts(spark, near_copies(n)) == ["\n".join([f"Title {i}", *SHARED, f"Line of copy {i} alone."]) for i in range(n)]
+    bare = "<h1>Title {0}</h1><div class='body'>{1}</div>"
+    assert texts(spark, near_copies(n, bare)) == ["\n".join([f"Title {i}", *SHARED, f"Line of copy {i} alone."]) for i in range(n)]
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<body><form id='aspnetForm' action='x'><div><article><h1>T</h1><p>a</p></article><aside>s</aside></div></form></body>", "T\na"),
+    ("<body><form><div class='main-text'><p>The story that fills the page.</p></div></form><form><label>Mail</label></form></body>", "The story that fills the page."),
+    ("<article><p>a</p><form><label>Your name, your mail, your town and whatever else</label></form></article>", "a"),
+    ("<form><p>Mail us</p></form><article>a</article>", "a"), ("<form hidden><article>a</article></form><p>b", "b"),
+    ("<div class='share-price-analysis'><p>Shares fell.</p></div>", "Shares fell."), ("<div id='form-of-government'><p>A republic.</p></div>", "A republic."),
+    ("<article></article><div><p>Outside.</p></div><footer>f</footer>", "Outside."), ("<div class='comments'>c</div>", ""),
+])
+def test_forms_and_names_do_not_empty_a_page(page, text):
+    assert h.main_text(page) == text
+
+
+def test_random_hosts(spark):
+    """Hosts built of recurring and own parts, with and without names: the text is what was put in as own."""
+    import random
+
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for host in range(6):
+        recurring = [f"<div class='k{k}'><p>{line(4)}</p><ul><li>{line(2)}<li>{line(2)}</ul></div>" for k in range(r.randint(1, 3))]
+        declared = host % 2
+        for p in range(r.randint(10, 14)):
+            own = [line(r.randint(8, 25)) for _ in range(r.randint(2, 6))]
+            body = f"<h1>{own[0]}</h1>" + "".join(f"<p>{t}</p>" for t in own[1:])
+            middle = f"<article>{body}</article>" if declared else f"<div class='x'>{body}</div>"
+            cut = r.randint(0, len(recurring))
+            rows.append((len(rows), f"https://h{host}.net/{p}", f"<html><body>{''.join(recurring[:cut])}{middle}{''.join(recurring[cut:])}<script>{line(3)}</script></body></html>"))
+            want[len(rows) - 1] = "\n".join(own)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert {x["page_id"]: x["text"] for x in h.extracted(df).collect()} == want
+    # By the page's word alone the recurring parts of pages without an article stay: it is the tree that takes them.
+    assert sum(h.main_text(page) != want[i] for i, _, page in rows) > 25
+
+
+def test_a_hot_host(spark):
+    rows = [(i, f"http://big.org/{i}", f"<body><div class='m'>Menu of all pages</div><div><p>Own story number {i} with some words, {i * 7} of them.</p></div></body>") for i in range(1500)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    assert {r["text"] for r in h.extracted(df).collect()} == {f"Own story number {i} with some words, {i * 7} of them." for i in range(1500)}
+
+
+def test_likeness_tells_near_copies_from_pages_of_one_frame():
+    import random
+
+    r = random.Random(1)
+    block = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    near = frame = 0
+    for _ in range(200):
+        body = [block(100) for _ in range(20)]
+        near += h._likeness([*body, block(60)]) == h._likeness([*body, block(60)])
+        frame += h._likeness([body[0], *[block(100) for _ in range(5)]]) == h._likeness([body[0], *[block(100) for _ in range(5)]])
+    assert near > 150 and frame < 20
