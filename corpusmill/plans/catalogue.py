@@ -610,7 +610,42 @@ def epoch_permutation(documents):
     return documents.select("doc_id", sampling.epoch_order("doc_id", 100010 - 100003, 1).alias("place"))
 
 
-@query()
+#: The sanitizer in DuckDB, whose patterns have no lookahead: texts are cut at opening tags, and each rest is read to the closing one.
+def _opened_sql(text: str, tag: str) -> str:
+    parts = f"regexp_split_to_array({text}, '(?i)<\\s*{tag}\\s*>')"
+    rest = f"list_transform(range(2, len({parts}) + 1), lambda i: array_to_string({parts}[i:], '<{tag}>'))"
+    closed = f"list_transform(list_filter({rest}, lambda r: regexp_matches(r, '(?i)<\\s*/\\s*{tag}\\s*>')), lambda r: trim(regexp_split_to_array(r, '(?i)<\\s*/\\s*{tag}\\s*>')[1], {_SQL_SPACE}))"
+    return f"list_filter({closed}, lambda c: c <> '')"
+
+
+_SQL_SPACE = "' ' || chr(9) || chr(10) || chr(13)"
+_SQL_POLLUTED = " or ".join("lower(x) like '%" + p.replace("'", "''") + "%'" for p in vocab.POLLUTION)
+_SQL_COLLAPSE = "array_to_string(list_filter(list_transform({}, lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'), " + _SQL_SPACE + ")), lambda x: x <> ''), chr(10))"
+
+
+def _tidy_sql(c: str) -> str:
+    lines = f"string_split(regexp_replace({c}, '</?[^<>]+>', ' ', 'g'), chr(10))"
+    return _SQL_COLLAPSE.format(f"list_filter({lines}, lambda x: not ({_SQL_POLLUTED}))")
+
+
+def _cut_sql(c: str, most: int) -> str:
+    last = lambda m, n: f"case when contains({c}[1:{most}], {m}) then {most} - (strpos(reverse({c}[1:{most}]), reverse({m})) - 1) - {n} else -1 end"
+    at = f"greatest({last(repr('. '), 2)}, {last('chr(10)', 1)}, {last(repr('; '), 2)})"
+    return f"case when length({c}) <= {most} then {c} else trim({c}[1:case when {at} < {most // 2} then {most} else {at} end], {_SQL_SPACE}) end"
+
+
+@query(f"""
+with d as (select doc_id, length(text) // 3 as k, text from documents),
+r as (select doc_id, trim('<think>' || text[1:k] || '</think><answer><fused_understand>' || text[k + 1:2 * k] || '</fused_understand><fused_image>' || text[2 * k + 1:] || '</fused_image></answer>', {_SQL_SPACE}) as t from d),
+p as (select doc_id, t, coalesce({_opened_sql('t', 'think')}[1], '') as closed, coalesce({_opened_sql('t', 'fused_understand')}[-1], '') as a, coalesce({_opened_sql('t', 'fused_image')}[-1], '') as b from r),
+c as (select doc_id, closed, {_tidy_sql("regexp_split_to_array(case when closed <> '' then closed else regexp_split_to_array(t, '(?i)</think>')[1] end, '(?i)<answer>')[1]")} as th,
+  trim({_tidy_sql('a')}, {_SQL_SPACE} || ':"' || chr(39)) as a, trim({_tidy_sql('b')}, {_SQL_SPACE} || ':"' || chr(39)) as b from p),
+f as (select doc_id, closed, {_cut_sql('th', 1800)} as th, {_cut_sql('a', 900)} as a, {_cut_sql('b', 900)} as b from c),
+s as (select *, {_SQL_COLLAPSE.format("string_split('" + vocab.SYNTHESIS['fused'].replace("{fused_understand}", "' || a || '").replace("{fused_image}", "' || b || '") + "', chr(10))")} as told from f),
+w as (select *, case when length(th) < 100 or regexp_matches(closed, '(?i)<\\s*(fused_understand|fused_image)\\s*>') then {_cut_sql('told', 1800)} else th end as think from s)
+select doc_id, md5('<think>' || chr(10) || think || chr(10) || '</think>' || chr(10) || '<answer>' || chr(10) || '<fused_understand>' || case when a = '' then '{vocab.NO_FIELD}' else a end || '</fused_understand>' || chr(10)
+  || '<fused_image>' || case when b = '' then '{vocab.NO_FIELD}' else b end || '</fused_image>' || chr(10) || '</answer>') as digest from w
+""")
 def stage_sanitizer(documents):
     # The whole text, by thirds of its length; the last one takes the rest. Only the sanitizer's own limits cut.
     third = F.floor(F.length("text") / 3).cast("int")

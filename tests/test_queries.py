@@ -45,17 +45,15 @@ def test_contract(spark):
 
 
 def test_stage_sanitizer_reads_whole_texts(spark, tmp_path):
-    from hashlib import md5
-
-    from corpusmill.functions import text as T
-
-    def whole(t):
-        k = len(t) // 3
-        return f"<think>{t[:k]}</think><answer><fused_understand>{t[k : 2 * k]}</fused_understand><fused_image>{t[2 * k :]}</fused_image></answer>"
+    import duckdb
 
     base = "".join(f"Line {i:03d} stands here. " for i in range(60))
-    texts = [base, base[:1010] + "X" + base[1011:], base * 20, "short", "\U0001f600ab" * 400, "ab", "", None]
+    texts = [
+        base, base[:1010] + "X" + base[1011:], base * 20, "short", "\U0001f600ab" * 400, "ab", "", base + "\nThe user said so; all of it\n\n  \t" + base * 2, "<b>" * 300, ("word; " * 90 + "\n") * 9,
+        base * 2 + "<fused_image> again " + base + "</fused_image>" + base, "\"quoted: " * 60, "x" * 5000,
+    ]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["digest"] for r in catalogue.QUERIES["stage_sanitizer"](spark, str(tmp_path)).collect()}
-    assert got == {i: md5(T._rebuilt(t and whole(t), "fused", 1800, 900).encode()).hexdigest() for i, t in enumerate(texts)}
-    assert got[0] != got[1]
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == dict(c.execute(catalogue.SQL["stage_sanitizer"]).fetchall()) and len(set(got.values())) == len(texts) - 1  # nothing is left of "" and of the tags
