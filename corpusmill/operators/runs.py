@@ -230,3 +230,44 @@ def k_of_state(tokens: DataFrame, key: str, order: list[str], start: Column, end
     """tokens with k: `inside` where one more start than ends lies before the row, else `outside`."""
     d = carried(in_blocks(tokens, key, order), sums={"_open": F.coalesce(start, F.lit(False)).cast("long") - F.coalesce(end, F.lit(False)).cast("long")}, inclusive=False)
     return plain(d.withColumn("k", F.when(F.col("_open") == 1, inside).otherwise(outside)).drop("_open"))
+
+
+# Contexts of image blocks.
+
+
+def context_blocks(tokens: DataFrame, key: str, start: int, end: int, first: Column | int = 0, least: int = 3) -> DataFrame:
+    """key, block, start_at, end_at: the contexts in which image tokens are predicted, [start_at, end_at) of a stream, numbered over all streams in the order (key, start).
+
+    tokens: key, pos (0, 1, 2 ... in each stream), token. Starts before `first` make no block. Each start takes the first end behind it that no earlier start took, so
+    the i-th start takes the end number i + max over j <= i of (ends before start j) - j, a running maximum; without one it runs to the stream's end. The end itself is not in.
+    Blocks under `least` tokens go. A null key is a stream.
+    """
+    t = F.col("token")
+    of = tokens.select(key, "pos", "token", (F.col("pos") >= first).alias("_in"))
+    d = carried(in_blocks(of, key, ["pos"]), sums={"_e": (t == end).cast("long"), "_s": ((t == start) & F.col("_in")).cast("long")}, inclusive=False).drop("_o", "_b")
+    starts = d.where((t == start) & F.col("_in")).select("_k", "pos", "_s", (F.col("_e") - F.col("_s")).alias("_lead"))
+    s = carried(in_blocks(starts.withColumnRenamed("_k", key), key, ["pos"]), maxima={"_most": F.col("_lead")})
+    s = s.select("_k", F.col("pos").alias("start_at"), (F.col("_s") + F.col("_most")).alias("_nth"))
+    ends = d.where(t == end).select(F.col("_k").alias("_k2"), F.col("_e").alias("_nth2"), F.col("pos").alias("end_at"))
+    length = tokens.groupBy(F.col(key).alias("_k3")).agg((F.max("pos") + 1).alias("_length"))
+    s = s.join(ends, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_nth") == F.col("_nth2")), "left").join(length, F.col("_k").eqNullSafe(F.col("_k3")))
+    s = s.select(F.col("_k").alias(key), "start_at", F.coalesce("end_at", "_length").alias("end_at")).where(F.col("end_at") - F.col("start_at") >= least)
+    return with_ordinal(s, key, "start_at").select(key, F.col("ordinal").alias("block"), "start_at", "end_at")
+
+
+def context_map(tokens: DataFrame, blocks: DataFrame, key: str, skip: int = 2) -> DataFrame:
+    """key, pos, block, offset: for each place that is predicted in a block (behind its first `skip` tokens), where it stands there; the last block to start has it.
+
+    Ends ascend with starts, so that is the last block whose start + skip is not behind the place, if it has not ended: one running maximum over places and marks.
+    """
+    place = lambda d, at, mark: d.select(key, at.alias("_place"), mark.alias("_mark"))
+    mark = F.struct("start_at", "end_at", "block")
+    none = F.lit(None).cast(blocks.select(mark.alias("m")).schema["m"].dataType)
+    rows = place(tokens, F.col("pos"), none).unionByName(place(blocks, F.col("start_at") + skip, mark)).withColumn("_last", F.col("_mark").isNull())
+    d = carried(in_blocks(rows, key, ["_place", "_last"]), maxima={"_in": F.col("_mark")}).where("_last and _place < _in.end_at")
+    return d.select(F.col("_k").alias(key), F.col("_place").alias("pos"), F.col("_in.block").alias("block"), (F.col("_place") - F.col("_in.start_at")).alias("offset"))
+
+
+def context_places(places: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+    """places (block, offset) with key and pos, the way back."""
+    return places.join(blocks.select(key, "block", "start_at"), "block").withColumn("pos", F.col("start_at") + F.col("offset")).drop("start_at")

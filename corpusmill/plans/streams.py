@@ -122,13 +122,27 @@ def run_summaries_merged(events):
 _OPEN, _TALL, _WIDE, _LINE = 10, 201, 202, 203
 
 
-@query(f"""
-with t as (
+TOKENS_SQL = f"""
+t as (
   select l_orderkey // 50 as id, row_number() over (partition by l_orderkey // 50 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 as pos,
     case when l_returnflag = 'R' and l_linenumber > 1 then 155000 + l_suppkey
       else case l_linenumber when 1 then {_OPEN} when 2 then 151665 when 3 then {_TALL} when 4 then {_WIDE} when 5 then 155000 + l_suppkey when 6 then {_LINE} else 151666 end end as token
   from lineitem
-), b as (
+)"""
+
+
+def token_streams(lineitem: DataFrame) -> DataFrame:
+    """id, pos, token: fifty orders' lines as one stream."""
+    number = F.col("l_linenumber")
+    code = vocab.CODE_FIRST + F.col("l_suppkey")
+    token = F.when(number == 1, _OPEN).when((F.col("l_returnflag") == "R") | (number == 5), code).when(number == 2, vocab.IMAGE_START).when(number == 3, _TALL).when(number == 4, _WIDE).when(number == 6, _LINE).otherwise(vocab.IMAGE_END)
+    stream = F.floor(F.col("l_orderkey") / 50)
+    pos = F.row_number().over(W.partitionBy(stream).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")) - 1
+    return lineitem.select(stream.alias("id"), pos.cast("long").alias("pos"), token.cast("long").alias("token"))
+
+
+@query(f"""
+with {TOKENS_SQL}, b as (
   select *, coalesce(sum(case when token = 151665 then 1 else 0 end) over p, 0) as s, coalesce(sum(case when token = 151666 then 1 else 0 end) over p, 0) as e,
     pos - max(case when token = 151665 then pos end) over p - 1 as gone, lag(token) over (partition by id order by pos) as before
   from t window p as (partition by id order by pos rows between unbounded preceding and 1 preceding)
@@ -141,12 +155,7 @@ select id, pos::bigint as pos, expected, case expected when 'stop' then token =
   when 'end' then token = 151666 when 'code' then code when 'open' then not code and token not in (151666, {_LINE}) else not code and token not in (151665, 151666, {_LINE}) end as ok from x
 """)
 def token_grammar(lineitem):
-    number = F.col("l_linenumber")
-    code = vocab.CODE_FIRST + F.col("l_suppkey")
-    token = F.when(number == 1, _OPEN).when((F.col("l_returnflag") == "R") | (number == 5), code).when(number == 2, vocab.IMAGE_START).when(number == 3, _TALL).when(number == 4, _WIDE).when(number == 6, _LINE).otherwise(vocab.IMAGE_END)
-    stream = F.floor(F.col("l_orderkey") / 50)
-    pos = F.row_number().over(W.partitionBy(stream).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")) - 1
-    tokens = lineitem.select(stream.alias("id"), pos.cast("long").alias("pos"), token.cast("long").alias("token"))
+    tokens = token_streams(lineitem)
     out = runs.grammar(tokens, "id", start=vocab.IMAGE_START, end=vocab.IMAGE_END, newline=_LINE, codes=(vocab.CODE_FIRST, vocab.CODE_LAST), sizes=(_TALL, _WIDE), rows=1, columns=2, tags=[[_OPEN]], stop_after=4, stop=7)
     return out.select("id", "pos", "expected", "ok")
 

@@ -111,12 +111,6 @@ def skip_ids(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("id <> ''").distinct()
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes, sha256 of the files below path. Each file is read whole in one task."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
 def token_records(spark: SparkSession, path: str) -> DataFrame:
     """Token records, kept as Parquet. Tokens and labels of unequal length fail the job."""
     df = spark.read.schema(TOKENS).parquet(path)

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.shipping import ship
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -68,6 +70,7 @@ def counted(stream: DataFrame, key: str, ts: str, row_id: str, flag, *, limit: i
     limit: 0 stops nothing. forget_ms: a key without rows for longer (in event time) starts anew. A null flag is not set; rows with a null key, time or id are left out.
     The session needs the RocksDB state store (with_rocksdb).
     """
+    ship(stream.sparkSession)
     rows = stream.select(F.col(key).cast("long").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(row_id).cast("long").alias("id"), F.coalesce(flag, F.lit(False)).alias("flag")).dropna()
     rows = rows.withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
     out = rows.groupBy("key").transformWithStateInPandas(RunCounter(limit, forget_ms), "key long, at long, id long, run long, longest long, stopped boolean", "Append", "EventTime")

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.tables import written
+
 
 def windowed_rates(stream: DataFrame, *, late: str = "10 minutes", width: str = "1 hour", flag: str = "event_type = 'error'") -> DataFrame:
     """Rows, mean value and share flagged for each window and type; works on a stream or a table."""
@@ -64,13 +66,53 @@ def judged(rows: DataFrame, judge: Callable[[list[dict]], list[dict]], size: int
     return rows.mapInPandas(run, schema)
 
 
+def scored_lists(rows: DataFrame, setup: Callable[[], Callable[[list[dict]], list[float]]], size: int = 8) -> DataFrame:
+    """rows with score and score_error, by a callback from a list of rows to a list of scores.
+
+    setup() makes the callback once a task (a model, a client). Lists have `size` rows whatever Arrow's batches are, but for a task's last; a list that fails, or has
+    another number of scores, is an error of its rows and stops nothing; a score that is no finite number is an error of its own row. Only a list of rows is held at a time.
+    """
+    import math
+
+    names = rows.columns
+
+    def run(frames):
+        score = setup()
+        held: list[dict] = []
+
+        def scored(part: list[dict]) -> pd.DataFrame:
+            try:
+                got = list(score([dict(r) for r in part]))
+                if len(got) != len(part):
+                    raise ValueError(f"{len(got)} scores for {len(part)} rows")
+                values = [(float(x), None) if isinstance(x, (int, float)) and math.isfinite(x) else (None, f"no score: {x!r}") for x in got]
+            except Exception as e:
+                values = [(None, f"{type(e).__name__}: {e}")] * len(part)
+            return pd.DataFrame([(*[r[n] for n in names], *v) for r, v in zip(part, values)], columns=[*names, "score", "score_error"])
+
+        for pdf in frames:
+            # Nulls of numbers come as NaN; the callback gets None.
+            held += pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+            while len(held) >= size:
+                part, held = held[:size], held[size:]
+                yield scored(part)
+        if held:
+            yield scored(held)
+
+    schema = rows.select(*names, F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("score_error")).schema
+    return rows.mapInPandas(run, schema)
+
+
 def retried(rows: DataFrame, make: Callable[[DataFrame], DataFrame], valid: str, times: int = 3) -> DataFrame:
-    """make(rows), and again only for rows that are not valid, up to `times`."""
+    """make(rows), and again only for rows that are not valid, up to `times`. Each try is written, so that none is made twice, and none is made for no rows."""
     done, left = None, rows
     for k in range(times):
-        tried = make(left)
-        good = tried.where(valid) if k + 1 < times else tried
+        tried = written(make(left), "tried")
+        left = tried.where(f"not coalesce({valid}, false)")
+        last = k + 1 == times or left.isEmpty()
+        good = tried if last else tried.where(valid)
         done = good if done is None else done.unionByName(good)
-        if k + 1 < times:
-            left = tried.where(f"not coalesce({valid}, false)").select(*rows.columns)
+        if last:
+            return done
+        left = left.select(*rows.columns)
     return done

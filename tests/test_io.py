@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.sources import readers, sinks
+from corpusmill.sources import blocks, readers, sinks
 from corpusmill.streaming import rewards
 
 
@@ -51,7 +51,7 @@ def test_bundle(spark, tmp_path):
     got = sinks.copy_bundle(plan.withColumn("path", F.replace("path", F.lit("file://"), F.lit(""))), str(tmp_path / "out")).collect()
     assert got[0]["sha256"] == hashlib.sha256(b"abc").hexdigest() and (tmp_path / "out" / got[0]["target"]).read_bytes() == b"abc"
     assert moved.first()["p"] == got[0]["target"] and moved.first()["q"] is None
-    assert readers.file_digests(spark, str(tmp_path / "out")).count() == 1
+    assert blocks.file_digests(spark, str(tmp_path / "out")).count() == 1
     assert sinks.totals(spark.createDataFrame([(3,)], "bytes int")).first()["bytes"] == 3
 
 
