@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import vocab
+from . import runs
 
 
 def advantages(df: DataFrame, group, value: str, eps: float = 1e-4, least_std: float = 0.0) -> DataFrame:
@@ -120,9 +121,10 @@ def mean_of_means(df: DataFrame, key: str, value: Column, keep: Column) -> DataF
 
 
 def top_with_ties(df: DataFrame, k: int, score: str, key: str | None = None) -> DataFrame:
-    """Scores of the k-th largest or more, ties kept."""
-    w = (W.partitionBy(key) if key else W.partitionBy()).orderBy(F.desc(score))
-    return df.withColumn("_r", F.rank().over(w)).where(F.col("_r") <= k).drop("_r")
+    """Scores of the k-th largest or more, ties kept. Without a key by the k-th score alone, which takes no rank over all rows."""
+    if key is None:
+        return runs.top_by_threshold(df, [], score, F.lit(k))
+    return df.withColumn("_r", F.rank().over(W.partitionBy(key).orderBy(F.desc(score)))).where(F.col("_r") <= k).drop("_r")
 
 
 def sequence_stats(values: Column) -> Column:

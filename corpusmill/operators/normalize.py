@@ -35,8 +35,8 @@ def filled_metadata(df: DataFrame) -> DataFrame:
     return out.withColumn("base_image", T.base_scene(F.col("base_image"), F.col("fused_gt_path"), F.col("infrared_degraded_path")))
 
 
-def rl_projection(df: DataFrame) -> DataFrame:
-    """The eleven columns of a sample, labels canonical, id from id, sample_id or the ordinal."""
+def rl_projection(df: DataFrame, *more: str) -> DataFrame:
+    """The eleven columns of a sample, labels canonical, id from id, sample_id or the ordinal; and columns of df as they are."""
     has = set(df.columns)
     pick = lambda *names: T.given(*[F.col(n) for n in names if n in has])
     columns = [F.coalesce(pick("id", "sample_id"), F.format_string("sample_%06d", F.col("ordinal"))).alias("id")]
@@ -46,7 +46,18 @@ def rl_projection(df: DataFrame) -> DataFrame:
         columns.append(F.coalesce(T.given(T.canonical_label(pick(f"{m}_label"))), T.canonical_label(T.path_label(path))).alias(f"{m}_label"))
         columns.append(F.coalesce(pick(f"{m}_level"), T.path_level(path)).alias(f"{m}_level"))
     columns.append(T.base_scene_from_id(F.col("base_image"), pick("id", "sample_id"), F.col("infrared_degraded_path"), F.col("visible_degraded_path"), F.col("fused_gt_path")).alias("base_image"))
-    return df.select(*columns)
+    return df.select(*columns, *more)
+
+
+def rl_samples(items: DataFrame, most: int = 0) -> DataFrame:
+    """rl_projection() of the first `most` items by their ordinal (0: all), with errors: what sample_errors() finds, and `duplicate id` where others of these have the same one."""
+    from .rules import sample_errors
+
+    chosen = items.where(F.col("ordinal") < most) if most > 0 else items
+    d = rl_projection(chosen.withColumn("_errors", sample_errors(F.col("ordinal"))), "_errors", "ordinal")
+    again = d.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("id").alias("_id"))
+    d = d.join(again, F.col("id") == F.col("_id"), "left")
+    return d.withColumn("errors", F.when(F.col("_id").isNotNull(), F.concat("_errors", F.array(F.concat(F.lit("duplicate id: "), "id")))).otherwise(F.col("_errors"))).drop("_errors", "_id")
 
 
 def stratum() -> Column:

@@ -25,6 +25,24 @@ def mean_skip_nan(c: Column) -> Column:
     return F.avg(F.when(~F.isnan(c), c))
 
 
+#: What an evaluation's report holds, and where a row has it.
+EVALUATION = {
+    "mean_total_reward": "reward.score", "mean_gated_reward": "reward.gated_score", "mean_text_reward": "text_reward.score", "mean_label_score": "text_reward.label_score.score",
+    "mean_planning_score": "text_reward.planning_score.score", "mean_image_reward": "image_reward.score", "mean_reference_reward": "reference_reward.score",
+    "mean_combined_image_reward": "reward.combined_image_score", "mean_infrared_psnr": "reference_reward.infrared.psnr", "mean_infrared_ssim": "reference_reward.infrared.ssim",
+    "mean_visible_psnr": "reference_reward.visible.psnr", "mean_visible_ssim": "reference_reward.visible.ssim", "mean_fused_psnr": "reference_reward.fused.psnr", "mean_fused_ssim": "reference_reward.fused.ssim",
+}
+
+
+def evaluation(rows: DataFrame, root: str, metrics: dict[str, str] = EVALUATION) -> DataFrame:
+    """One row: eval_root, num_samples, num_gate_ok, and each metric's mean over the rows that have it (null without one). rows: records as VARIANT in column `record`, whatever
+    parts each of them has; what is no number, or NaN, counts as not there. No rows: counts 0. One scan, partial aggregates."""
+    # A string or a boolean is no number, though a cast would make it one.
+    number = lambda path: F.when(F.schema_of_variant(F.try_variant_get("record", f"$.{path}", "variant")).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get("record", f"$.{path}", "double"))
+    ok = F.coalesce(F.try_variant_get("record", "$.format_gate.ok", "boolean"), F.lit(False))
+    return rows.agg(F.lit(root).alias("eval_root"), F.count(F.lit(1)).alias("num_samples"), F.count_if(ok).alias("num_gate_ok"), *[mean_skip_nan(number(path)).alias(name) for name, path in metrics.items()])
+
+
 def share(condition: Column, of: Column | None = None) -> Column:
     """Rows with the condition over rows (of a kind), 0 without any."""
     total = F.count(F.lit(1)) if of is None else F.count_if(of)

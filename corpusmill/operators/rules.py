@@ -38,6 +38,17 @@ def pairing_errors() -> Column:
     return errors(*out)
 
 
+def sample_errors(ordinal: Column) -> Column:
+    """What keeps an item from being a sample: paths that are not there, and labels, given or from the path's folder, without a part; each names the item's ordinal."""
+    missing = F.array_compact(F.array(*[F.when(T.given(F.col(p)).isNull(), F.lit(p)) for p in PATHS]))
+    where = F.concat(F.lit("sample index="), ordinal.cast("string"))
+    out = [F.when(F.size(missing) > 0, F.concat(where, F.lit(" missing paths: "), F.array_join(missing, ",")))]
+    for m in ("infrared", "visible"):
+        label = F.coalesce(T.given(F.col(f"{m}_label"), T.path_label(F.col(f"{m}_degraded_path"))), F.lit(""))
+        out.append(F.when((F.size(missing) == 0) & (F.size(T.components(label)) == 0), F.concat(where, F.lit(f" no {m}_label: "), label)))
+    return errors(*out)
+
+
 def has_control_tags(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(r"(?i)<\s*/?\s*(think|answer)\s*>")
 

@@ -500,16 +500,15 @@ with e as (select vec_id, unnest(embedding)::double as x from embeddings)
 select vec_id, count(*)::bigint as n, round(avg(x), 6) as mean, round(var_pop(x), 6) as var, sum(case when abs(x) > 1e-8 then 1 else 0 end)::bigint as nonzero from e group by 1
 """)
 def vector_stats(embeddings):
-    stats = scoring_stats(F.col("embedding"))
-    return embeddings.select("vec_id", *stats)
+    return embeddings.select("vec_id", scoring_stats(F.col("embedding")).alias("s")).select("vec_id", "s.*")
 
 
 def scoring_stats(v):
-    d = F.transform(v, lambda x: x.cast("double"))
-    s = groups.sequence_stats(d)
-    mean = s["mean"]
-    var = F.aggregate(d, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(d)
-    return [s["count"].cast("long").alias("n"), F.round(mean, 6).alias("mean"), F.round(var, 6).alias("var"), s["nonzero"].cast("long").alias("nonzero")]
+    def stats(d):
+        variance = lambda s: F.aggregate(d, F.lit(0.0), lambda a, x: a + (x - s["mean"]) * (x - s["mean"])) / F.size(d)
+        return T.bound(groups.sequence_stats(d), lambda s: F.struct(s["count"].cast("long").alias("n"), F.round(s["mean"], 6).alias("mean"), F.round(variance(s), 6).alias("var"), s["nonzero"].cast("long").alias("nonzero")))
+
+    return T.bound(F.transform(v, lambda x: x.cast("double")), stats)
 
 
 @query("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..operators import assembly, runs
+from ..operators import assembly, normalize, reports, runs
 from ..sources import elements
 from ..streaming import rewards
 from .catalogue import big, query
@@ -63,6 +63,44 @@ def completion_pairs(lineitem, part):
     return record.select("id", F.col("infrared.truth_exists").alias("infrared_pair"), *[F.round(F.col(m)["error"], 9).alias(f"{m}_error") for m in assembly.MODALITIES], "complete")
 
 
+@query("""
+with o as (select *, o_totalprice as p, o_orderstatus as s, o_orderkey % 10 as k from orders)
+select '/runs/a' as eval_root, count(*)::bigint as num_samples, count_if(s = 'F')::bigint as num_gate_ok, round(avg(p), 3) as mean_total_reward, round(avg(case when s <> 'P' then p / 2 end), 3) as mean_gated_reward,
+  round(avg(length(o_orderpriority)), 3) as mean_label_score, round(avg(case when s = 'O' then null else p end), 3) as mean_visible_psnr, null::double as mean_fused_ssim from o
+""")
+def evaluation_report(orders):
+    """Orders as evaluation records, of which some lack parts, hold text where a number belongs, or NaN."""
+    p, s = F.col("o_totalprice"), F.col("o_orderstatus")
+    nested = F.struct(
+        F.struct(p.alias("score"), F.when(s != "P", p / 2).alias("gated_score")).alias("reward"), F.struct(F.struct(F.length("o_orderpriority").alias("score")).alias("label_score")).alias("text_reward"),
+        F.struct(F.struct(F.when(s == "O", F.lit("12")).alias("text"), F.when(s != "O", p).alias("psnr")).alias("visible"), F.struct(F.lit("high").alias("ssim")).alias("fused")).alias("reference_reward"),
+        F.struct((s == "F").alias("ok")).alias("format_gate"),
+    )
+    report = reports.evaluation(orders.select(F.parse_json(F.to_json(nested)).alias("record")), "/runs/a")
+    some = ("mean_total_reward", "mean_gated_reward", "mean_label_score", "mean_visible_psnr", "mean_fused_ssim")
+    return report.select("eval_root", "num_samples", "num_gate_ok", *[F.round(c, 3).alias(c) for c in some])
+
+
+@query("""
+with b as (select *, row_number() over (order by p_partkey) - 1 as o, lower(string_split(p_type, ' ')[1]) as label, case when p_size < 5 then '' when p_size % 9 = 0 then '/' else '/level_2/' end as level from part),
+i as (select o, case when level = '' then null else 'root' || level || case when p_size % 7 = 0 then '_' else label end || '/' || p_name || '.png' end as path, level, label, p_size, 'p' || (p_partkey // 2) as id from b),
+e as (select *, case when path is null then ['sample index=' || o || ' missing paths: infrared_degraded_path'] when level = '/' then ['sample index=' || o || ' no infrared_label: '] when p_size % 7 = 0 then ['sample index=' || o || ' no infrared_label: _'] else [] end as errors,
+  count(*) over (partition by id) as n from i)
+select o::bigint as ordinal, id, array_to_string(errors || case when n > 1 then ['duplicate id: ' || id] else [] end, ';') as errors from e
+""")
+def rl_sample_rules(part):
+    """Parts as items: the type's first word is the label, folders and gaps come from the size; two parts share an id."""
+    size = F.col("p_size")
+    level = F.when(size < 5, "").when(size % 9 == 0, "/").otherwise("/level_2/")
+    label = F.when(size % 7 == 0, "_").otherwise(F.lower(F.split("p_type", " ")[0]))
+    path = F.when(level != "", F.concat(F.lit("root"), level, label, F.lit("/"), "p_name", F.lit(".png")))
+    rest = {p: F.lit("root/level_2/haze/x.png") for p in normalize.PATHS[1:]}
+    blank = F.lit(None).cast("string")
+    items = part.select("p_partkey", F.concat(F.lit("p"), F.floor(F.col("p_partkey") / 2)).alias("id"), path.alias(normalize.PATHS[0]), *[c.alias(p) for p, c in rest.items()], *[blank.alias(c) for c in ("infrared_label", "visible_label", "infrared_level", "visible_level", "base_image")])
+    out = normalize.rl_samples(normalize.with_ordinal(items, "p_partkey"))
+    return out.select(big("ordinal").alias("ordinal"), "id", F.array_join("errors", ";").alias("errors"))
+
+
 @query("""
 with e as (select user_id, row_number() over (partition by user_id order by event_id) - 1 as element, event_type, (props->>'k')::int as k from events)
 select user_id, element::int as element, case when event_type = 'error' then null else k end as k, case when event_type = 'error' then 'no object' end as error from e

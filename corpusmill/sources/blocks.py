@@ -6,7 +6,9 @@ one read at a time.
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -65,6 +67,31 @@ def range_digests(spark: SparkSession, path: str, size: int = RANGE) -> DataFram
     return _digests(ranges.select("path", "start", F.least(F.col("bytes"), F.col("start") + size).alias("end")))
 
 
+#: What an export of a model for a new run leaves out.
+RUN_FILES = ("optimizer*", "trainer_state.json", "status.json", "logs/*")
+SUMS = "SHA256SUMS"
+
+
+def checksum_list(spark: SparkSession, folder: str, exclude: tuple[str, ...] = (), need: str | None = None) -> DataFrame:
+    """path (./ and the place below folder), bytes, sha256, line of the files below folder, but for the list itself and those whose place, or a folder of it, matches a pattern of `exclude`.
+
+    need: a pattern that some file directly in folder must match, else an error. Write `line` in the order of path for a list that checking tools read.
+    """
+    root = re.sub("^/+", "/", re.sub("^[a-z0-9]+:(?=/)", "", folder)).rstrip("/")
+    place = F.substring_index("path", root + "/", -1)
+    files = listed(spark, folder).withColumn("_place", place)
+    match = lambda p: F.col("_place").rlike(f"(^|/){fnmatch.translate(p)[4:-3]}$")  # noqa: E731  # what stands in (?s:...)
+    gone = F.col("_place") == SUMS
+    for p in exclude:
+        gone = gone | match(p)
+    files = files.where(~gone)
+    if need and files.where(~F.contains("_place", F.lit("/")) & match(need)).isEmpty():
+        raise ValueError(f"no {need} in {folder}")
+    names = files.select(F.col("path").alias("_path"), F.concat(F.lit("./"), "_place").alias("_place"))
+    out = _digests(files.select("path", F.lit(0).cast("long").alias("start"), F.col("bytes").alias("end"))).join(names, F.col("path") == F.col("_path"))
+    return out.select(F.col("_place").alias("path"), "bytes", "sha256", F.concat("sha256", F.lit("  "), "_place").alias("line"))
+
+
 def changed_ranges(before: DataFrame, after: DataFrame) -> DataFrame:
     """path, start, state (new, gone, changed) of ranges that differ between two tables of range_digests()."""
     b = before.select("path", "start", F.col("sha256").alias("_b"), F.lit(True).alias("_in_b"))

@@ -165,3 +165,36 @@ def test_context_map_and_back(spark, seed):
     assert {(x["id"], x["pos"]): (x["block"], x["offset"]) for x in where.collect()} == want
     back = runs.context_places(where.select("block", "offset", F.struct("id", "pos").alias("was")), found, "id").collect()
     assert len(back) == len(want) and all((x["id"], x["pos"]) == tuple(x["was"]) for x in back)
+
+
+def test_checksum_list(spark, tmp_path):
+    for name in ("a.safetensors", "config.json", "optimizer_1.pt", "trainer_state.json", "logs/x.txt", "sub/status.json", "sub/keep.bin", "SHA256SUMS"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    got = {r["path"]: r["line"] for r in blocks.checksum_list(spark, str(tmp_path), blocks.RUN_FILES, "*.safetensors").collect()}
+    assert got == {f"./{n}": f"{hashlib.sha256(n.encode()).hexdigest()}  ./{n}" for n in ("a.safetensors", "config.json", "sub/keep.bin")}
+    assert blocks.checksum_list(spark, str(tmp_path)).count() == 7
+    with pytest.raises(ValueError, match="no \\*.gguf"):
+        blocks.checksum_list(spark, str(tmp_path), need="*.gguf")
+
+
+def test_evaluation_of_odd_records(spark):
+    from corpusmill.operators import reports
+
+    rows = ['{"reward": {"score": 1}, "format_gate": {"ok": true}}', '{"reward": {"score": "7"}, "format_gate": 3}', '{"reward": 5}', '{"reward": {"score": 2.5}, "reference_reward": {"fused": {"psnr": 4}}}', "[]", '{"reward": {"score": true}}']
+    df = spark.createDataFrame([(r,) for r in rows], "t string").select(F.parse_json("t").alias("record"))
+    r = reports.evaluation(df, "/x").first()
+    assert (r["num_samples"], r["num_gate_ok"], r["mean_total_reward"], r["mean_fused_psnr"], r["mean_text_reward"]) == (6, 1, 1.75, 4.0, None)
+    r = reports.evaluation(df.limit(0), "/x").first()
+    assert (r["num_samples"], r["num_gate_ok"], r["mean_total_reward"]) == (0, 0, None) and len(r) == 17
+
+
+def test_samples_of_a_manifest(spark):
+    from corpusmill.operators import normalize
+    from tests_support import item, items
+
+    rows = [item("a"), item("a", label="rain"), item("b") | {"fused_gt_path": " ", "visible_clean_path": ""}, item("c") | {"infrared_degraded_path": "x/y.png"}, item(None) | {"sample_id": "s"}, item("d")]
+    d = normalize.with_ordinal(items(spark, rows).withColumn("o", F.monotonically_increasing_id()), "o")
+    got = {r["ordinal"]: (r["id"], r["errors"]) for r in normalize.rl_samples(d, 5).collect()}
+    assert got[0] == ("a", ["duplicate id: a"]) and got[1] == got[0] and got[4] == ("s", []) and 5 not in got
+    assert got[2][1] == ["sample index=2 missing paths: visible_clean_path"] and got[3][1] == ["sample index=3 no infrared_label: "]
