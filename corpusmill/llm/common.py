@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import os
 import re
-import shutil
-import tempfile
-import zipfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from ..sources.shipping import ship
 from ..sources.tables import filesystem, new_path, shared_dir, written  # noqa: F401 (the operators take them from here)
 
 #: Bytes of A-Z to a-z.
@@ -22,28 +18,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bounds of an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send the package's source to the executors once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="corpusmill")
-    atexit.register(shutil.rmtree, folder, True)
-    path = os.path.join(folder, "corpusmill_src.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for top, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(top, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
-    sc.addPyFile(path)
-
-
 def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
     """mapInArrow with the package shipped. Batches have BATCH_ROWS rows and BATCH_BYTES bytes at most: the session's
     settings are lowered to that where they are higher, and left so, as a plan reads them when it runs."""
