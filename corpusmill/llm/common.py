@@ -18,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bounds of an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
 
+
 def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
     """mapInArrow with the package shipped. Batches have BATCH_ROWS rows and BATCH_BYTES bytes at most: the session's
     settings are lowered to that where they are higher, and left so, as a plan reads them when it runs."""

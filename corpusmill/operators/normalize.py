@@ -60,6 +60,13 @@ def rl_samples(items: DataFrame, most: int = 0) -> DataFrame:
     return d.withColumn("errors", F.when(F.col("_id").isNotNull(), F.concat("_errors", F.array(F.concat(F.lit("duplicate id: "), "id")))).otherwise(F.col("_errors"))).drop("_errors", "_id")
 
 
+def flat_conversations(turns: DataFrame, key: str = "conv_id", by: str = "turn") -> DataFrame:
+    """key, roles (a>b>c), n, flat: a conversation's turns in order, each text in its role's tag, one a line. For conversations that fit a row."""
+    c = turns.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(by, "role", "text"))).alias("t"))
+    line = lambda x: F.concat(F.lit("<"), x["role"], F.lit(">"), x["text"], F.lit("</"), x["role"], F.lit(">"))
+    return c.select(key, F.array_join(F.transform("t", lambda x: x["role"]), ">").alias("roles"), F.size("t").cast("long").alias("n"), F.array_join(F.transform("t", line), "\n").alias("flat"))
+
+
 def stratum() -> Column:
     """The four parts of a stratum as a struct, in the builder's order of labels."""
     label = lambda m: T.canonical_degradation(F.col(f"{m}_label")).alias(f"{m}_label")

@@ -73,6 +73,22 @@ def level_averages(df: DataFrame, stratum: str, level: str, value: str) -> DataF
     return df.groupBy(level, stratum).agg(F.avg(value).alias("m")).groupingSets([[F.col(level)], []], level).agg(F.avg("m").alias("value"), F.count(F.lit(1)).alias("strata"))
 
 
+def rolled_up(df: DataFrame, levels: list[str], value: str) -> DataFrame:
+    """n and total of each level's groups, of the levels above, and of all (null where a level is summed over)."""
+    return df.rollup(*levels).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+
+
+def not_yet(strata: DataFrame, scenes: DataFrame, done: DataFrame, stratum: str, scene: str, most: int = 100_000) -> DataFrame:
+    """Rows of strata with each scene (column `scene` of scenes) that `done` (stratum, scene) does not hold.
+
+    Strata times scenes is what a catalogue is, so scenes are put in one list, of `most` different ones at most (more fail the job), and each stratum's row is
+    exploded by it; rows are spread by what they hold, and no join without a key takes place. Null scenes are none.
+    """
+    names = scenes.agg(F.array_sort(F.collect_set(scene)).alias("s")).select(F.when(F.size("s") <= most, F.col("s")).otherwise(F.raise_error(F.lit(f"more than {most} scenes")).cast("array<string>")).alias("s")).scalar()
+    every = strata.withColumn(scene, F.explode(names))
+    return every.join(done.select(stratum, scene).distinct(), [stratum, scene], "left_anti")
+
+
 def missing_from(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.select(key).distinct().join(right.select(key).distinct(), key, "left_anti")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, vocab
+from . import runs
 from .normalize import PATHS, STAGES, _all, cot_all_valid, record_kind, unpivoted_paths
 
 
@@ -49,6 +50,14 @@ def sample_errors(ordinal: Column) -> Column:
     return errors(*out)
 
 
+def turns_in_order(turns: DataFrame, key: str = "conv_id", by: str = "turn") -> DataFrame:
+    """key, ordered: a system turn comes first alone, no user turn follows a user turn, and every other turn follows one; a first turn of another kind is passed over."""
+    d = runs.carried(runs.in_blocks(turns.select(key, by, "role"), key, [by]), maxima={"_before": F.struct(F.col("_o").alias("o"), F.col("role").alias("role"))}, inclusive=False)
+    role, before = F.col("role"), F.col("_before.role")
+    ok = F.when(role == "system", F.col("_before").isNull()).when(role == "user", F.col("_before").isNull() | (before != "user")).otherwise(before == "user")
+    return d.groupBy(F.col("_k").alias(key)).agg(F.bool_and(ok).alias("ordered"))
+
+
 def has_control_tags(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(r"(?i)<\s*/?\s*(think|answer)\s*>")
 

@@ -134,8 +134,7 @@ def last_write_wins(events):
 select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events where json_extract_string(props, '$.k') is not null
 """)
 def props_extract(events):
-    parsed = events.select("event_id", F.from_json("props", "k string").alias("p"))
-    return parsed.where("p.k is not null").select("event_id", F.col("p.k").try_cast("long").alias("k"))
+    return readers.json_fields(events.select("event_id", "props"), "props", "k string", "k").select("event_id", F.col("k").try_cast("long").alias("k"))
 
 
 @query("""
@@ -463,10 +462,7 @@ def content_key(documents):
 select conv_id, string_agg(role, '>' order by turn) as roles, count(*)::bigint as n, md5(string_agg('<' || role || '>' || text || '</' || role || '>', chr(10) order by turn)) as flat from conversations group by 1
 """)
 def conversation_build(conversations):
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    c = conversations.groupBy("conv_id").agg(turns.alias("t"))
-    flat = F.array_join(F.transform("t", lambda x: F.concat(F.lit("<"), x["role"], F.lit(">"), x["text"], F.lit("</"), x["role"], F.lit(">"))), "\n")
-    return c.select("conv_id", F.array_join(F.transform("t", lambda x: x["role"]), ">").alias("roles"), F.size("t").cast("long").alias("n"), F.md5(flat).alias("flat"))
+    return normalize.flat_conversations(conversations).withColumn("flat", F.md5("flat"))
 
 
 @query("""
@@ -474,10 +470,7 @@ with t as (select *, lag(role) over (partition by conv_id order by turn) as befo
 select conv_id, bool_and(case when role = 'system' then before is null when role = 'user' then before is null or before <> 'user' else before = 'user' end) as ordered from t group by 1
 """)
 def conversation_grammar(conversations):
-    before = F.lag("role").over(W.partitionBy("conv_id").orderBy("turn"))
-    t = conversations.withColumn("before", before)
-    ok = F.when(F.col("role") == "system", F.col("before").isNull()).when(F.col("role") == "user", F.col("before").isNull() | (F.col("before") != "user")).otherwise(F.col("before") == "user")
-    return t.groupBy("conv_id").agg(F.bool_and(ok).alias("ordered"))
+    return rules.turns_in_order(conversations)
 
 
 # Vectors stand for pixels.
@@ -567,7 +560,7 @@ def unpivot_missing(lineitem):
 
 @query("select o_orderstatus, o_orderpriority, count(*)::bigint as n, round(sum(o_totalprice), 2) as total from orders group by rollup (o_orderstatus, o_orderpriority)")
 def tier_rollup(orders):
-    return orders.rollup("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return reports.rolled_up(orders, ["o_orderstatus", "o_orderpriority"], "o_totalprice").withColumn("total", F.round("total", 2))
 
 
 @query("select round(avg(m), 4) as value from (select o_orderpriority, avg(o_totalprice) as m from orders group by 1)")
@@ -585,10 +578,8 @@ def merged_metrics(lineitem):
 select n_name, m from nation, (select distinct c_mktsegment as m from customer) where (n_nationkey, m) not in (select c_nationkey, c_mktsegment from customer where c_acctbal > 9500)
 """)
 def catalog_pending(nation, customer):
-    segments = customer.select(F.col("c_mktsegment").alias("m")).distinct()
-    every = nation.select("n_nationkey", "n_name").crossJoin(segments)  # the catalogue: two short dimensions
-    done = customer.where("c_acctbal > 9500").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("m")).distinct()
-    return every.join(done, ["n_nationkey", "m"], "left_anti").select("n_name", "m")
+    done = customer.where("c_acctbal > 9500").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("m"))
+    return reports.not_yet(nation.select("n_nationkey", "n_name"), customer.select(F.col("c_mktsegment").alias("m")), done, "n_nationkey", "m").select("n_name", "m")
 
 
 @query("select c_nationkey::bigint as c_nationkey, count(distinct c_mktsegment)::bigint as payloads from customer group by 1 having count(distinct c_mktsegment) > 1")

@@ -63,10 +63,16 @@ def trainer_state(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
+def json_fields(df: DataFrame, column: str, schema: str | S.StructType, need: str) -> DataFrame:
+    """df with the fields of a column of JSON objects in its place; rows whose object, or whose field `need`, is not there are left out."""
+    kept = [c for c in df.columns if c != column]
+    return df.select(*kept, F.from_json(column, schema).alias("_m")).where(F.col(f"_m.{need}").isNotNull()).select(*kept, "_m.*")
+
+
 def metric_log(spark: SparkSession, path: str) -> DataFrame:
     """JSON object lines with a micro_step of a mixed text log; all other lines are passed over."""
     lines = spark.read.text(path).where(F.ltrim("value").startswith("{"))
-    return lines.select(F.from_json("value", METRICS).alias("m")).where("m.micro_step is not null").select("m.*")
+    return json_fields(lines, "value", METRICS, "micro_step")
 
 
 def reward_rows(spark: SparkSession, folder: str) -> DataFrame:
