@@ -28,4 +28,5 @@ SQL = {
     "op9_suffix_arrays": decontaminate.SQL,
     "op10_water_filling": mixing.SQL,
     "op11_filter_cube": filter_audit.SQL,
+    "op13_feistel": sharding.SQL,
 }

@@ -87,3 +87,31 @@ def op13_feistel(spark, sf_dir: str) -> DataFrame:
     """Texts are reduced to size and checksum in the scan, so the numbering moves 24 bytes a row; rows of one doc_id are ordered by these."""
     d = sharded(digests(spark.read.parquet(f"{sf_dir}/documents.parquet")), "doc_id", "text_crc32", "size")
     return d.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _rounds_sql(source: str) -> str:
+    """The network on column p of a table with row, turns, half and low, in DuckDB: products modulo 2^64 go through 128 bits."""
+    times = lambda x, c: f"({x}::uhugeint * {c}::uhugeint % 18446744073709551616::uhugeint)::ubigint"
+    out = f"select row, turns, half, low, p >> half as l, p & low as r from ({source})"
+    for k in _keys(SEED).tolist():
+        mixed = f"((r::uhugeint + {k}::uhugeint) % 18446744073709551616::uhugeint)::ubigint as a, xor(a, a >> 31) as b, {times('b', 0xBF58476D1CE4E5B9)} as c, xor(c, c >> 29) as d, {times('d', 0x94D049BB133111EB)} as e"
+        out = f"select row, turns, half, low, r as l, xor(l, xor(e, e >> 32) & low) as r from (select *, {mixed} from ({out}))"
+    return f"select row, (r << half) | l as p, turns + 1 as turns from ({out})"
+
+
+#: DuckDB. The checksum goes byte by byte through the table of the usual polynomial; places are walked by recursion.
+SQL = f"""
+with recursive bits as (
+  select 0 as k, i::ubigint as b, i::ubigint as v from range(256) t(i)
+  union all select k + 1, b, case when v & 1 = 1 then xor(v >> 1, 3988292384::ubigint) else v >> 1 end from bits where k < 8
+), crc as (select list(v order by b) as tab from bits where k = 8),
+x as (
+  select doc_id, strlen(coalesce(text, '')) + 1 as size,
+    list_reduce(list_prepend(4294967295::ubigint, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::ubigint)), lambda a, b: xor(tab[(xor(a, b) & 255)::bigint + 1], a >> 8)) as c
+  from documents, crc
+), y as (select doc_id, size::bigint as size, xor(c, 4294967295::ubigint)::bigint as text_crc32 from x),
+h as (select count(*)::ubigint as n, greatest(1, (ceil(log2(greatest(count(*), 1)))::int + 1) // 2) as half, ((1::ubigint << greatest(1, (ceil(log2(greatest(count(*), 1)))::int + 1) // 2)) - 1)::ubigint as low from y),
+r as (select *, row_number() over (order by doc_id nulls first, text_crc32, size) - 1 as row from y),
+w as (select row, row::ubigint as p, 0 as turns from r union all {_rounds_sql("select w.*, half, low from w, h where turns = 0 or p >= n")})
+select doc_id, size, text_crc32, 'rows' as law, (p % {SHARDS})::int as shard, (p // {SHARDS})::bigint as slot, null::int as grown_shard from w join r using (row), h where turns > 0 and p < n
+"""
