@@ -42,6 +42,14 @@ def carried(blocks: DataFrame, sums: dict[str, Column] | None = None, maxima: di
     return d.select(*blocks.columns, *[both[f](F.col(f"_i_{n}"), F.col(f"_c_{n}")).alias(n) for n, _, f in parts])
 
 
+def numbered_within(df: DataFrame, key: str, order: list[str], name: str = "within") -> DataFrame:
+    """df with a dense number from 1 within its key: the number over all less the key's first one, so no window runs over a key."""
+    d = in_blocks(df, key, order)
+    first = d.groupBy(F.col("_k").alias("_k2")).agg(F.min("_o").alias("_first"))
+    d = d.join(first, F.col("_k").eqNullSafe(F.col("_k2"))).withColumn(name, F.col("_o") - F.col("_first") + 1)
+    return plain(d.drop("_k2", "_first"))
+
+
 def plain(blocks: DataFrame) -> DataFrame:
     """Without the columns of in_blocks()."""
     return blocks.drop("_k", "_o", "_b")

@@ -27,10 +27,11 @@ def shortfalls(df: DataFrame, quotas: DataFrame, stratum: str) -> DataFrame:
     return quotas.join(have, stratum, "left").withColumn("available", F.coalesce("available", F.lit(0))).where("available < quota")
 
 
-def scene_disjoint_sample(df: DataFrame, quotas: dict, stratum: str, scene: str, key: str, seed: str, used: DataFrame | None = None, save=None) -> DataFrame:
+def scene_disjoint_sample(df: DataFrame, quotas: dict, stratum: str, scene: str, key: str, seed: str, used: DataFrame | None = None, save=None, split=None) -> DataFrame:
     """Quota per stratum with one row for each scene, and no scene that an earlier stratum (in sorted order) or `used` has.
-    A step for each stratum: quotas are a short control table. save(df) writes each step, so that later ones do not run it again."""
-    out = None
+    A step for each stratum: quotas are a short control table. save(df) writes each step, so that later ones do not run it again;
+    split(df, stratum) parts the input first, so that each step reads its own stratum alone."""
+    out, df = None, split(df, stratum) if split else df
     for name in sorted(quotas):
         rows = df.where(F.col(stratum) == name)
         for seen in (used, out):
@@ -44,10 +45,12 @@ def scene_disjoint_sample(df: DataFrame, quotas: dict, stratum: str, scene: str,
     return out
 
 
-def balanced_sample(df: DataFrame, n: int, stratum: str, scene: str, level: str, key: str, seed: str, save=None) -> DataFrame:
+def balanced_sample(df: DataFrame, n: int, stratum: str, scene: str, level: str, key: str, seed: str, save=None, split=None) -> DataFrame:
     """n rows of each stratum with n or more, smallest stratum first; within one, scenes least used on its level, then
     least used at all, then by seeded order. Counts do not change within a stratum, so a scene can come twice in one.
-    save(df) writes each step, so that later ones do not run it again; without it the plan is one query."""
+    save(df) writes each step, so that later ones do not run it again; without it the plan is one query. split(df, stratum) parts
+    the input first, so that each step reads its own stratum alone."""
+    df = split(df, stratum) if split else df
     sizes = sorted((r["count"], r[0]) for r in df.groupBy(stratum).count().collect())
     out = None
     for size, name in sizes:

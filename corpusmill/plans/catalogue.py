@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions import scoring, text as T, vocab
 from ..operators import groups, normalize, reports, rules, runs, sampling
 from ..sources import readers
-from ..sources.tables import written
+from ..sources.tables import parted, written
 from ..streaming import rewards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,7 +233,7 @@ def _disjoint_sql(n: int) -> str:
 
 @query(_disjoint_sql(3))
 def disjoint_sample(documents):
-    return sampling.scene_disjoint_sample(documents.select("doc_id", "lang", "source"), dict.fromkeys(("de", "en", "es", "fr"), 3), "lang", "source", "doc_id", "7", save=written)
+    return sampling.scene_disjoint_sample(documents.select("doc_id", "lang", "source"), dict.fromkeys(("de", "en", "es", "fr"), 3), "lang", "source", "doc_id", "7", save=written, split=parted)
 
 
 def _balanced_sql(n: int, strata: int) -> str:
@@ -249,7 +249,7 @@ def _balanced_sql(n: int, strata: int) -> str:
 @query(_balanced_sql(8, 4))
 def balanced_topk(documents):
     d = documents.select("doc_id", "lang", "source").withColumn("level", F.lit("level_2"))
-    return sampling.balanced_sample(d, 8, "lang", "source", "level", "doc_id", "7", save=written).select("doc_id", "lang", "source")
+    return sampling.balanced_sample(d, 8, "lang", "source", "level", "doc_id", "7", save=written, split=parted).select("doc_id", "lang", "source")
 
 
 @query("""
@@ -592,7 +592,7 @@ select c_custkey, row_number() over (order by c_custkey) - 1 as ordinal, row_num
 """)
 def global_numbering(customer):
     c = normalize.with_ordinal(customer.select("c_custkey", "c_mktsegment"), "c_custkey")
-    return c.select("c_custkey", big("ordinal").alias("ordinal"), F.row_number().over(W.partitionBy("c_mktsegment").orderBy("c_custkey")).cast("long").alias("within"))
+    return runs.numbered_within(c, "c_mktsegment", ["c_custkey"]).select("c_custkey", big("ordinal").alias("ordinal"), big("within").alias("within"))
 
 
 @query("select doc_id, md5('100010:' || doc_id) as place from documents")

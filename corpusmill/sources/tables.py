@@ -48,6 +48,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def parted(df: DataFrame, column: str, name: str = "parted") -> DataFrame:
+    """written(), with a folder for each value of a column of few values, so that a filter on it reads that folder alone."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.partitionBy(column).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back."""
     spark = df.sparkSession

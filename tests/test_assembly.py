@@ -198,3 +198,33 @@ def test_samples_of_a_manifest(spark):
     got = {r["ordinal"]: (r["id"], r["errors"]) for r in normalize.rl_samples(d, 5).collect()}
     assert got[0] == ("a", ["duplicate id: a"]) and got[1] == got[0] and got[4] == ("s", []) and 5 not in got
     assert got[2][1] == ["sample index=2 missing paths: visible_clean_path"] and got[3][1] == ["sample index=3 no infrared_label: "]
+
+
+def test_catalogue_not_yet_done(spark):
+    from corpusmill.operators import reports
+
+    strata = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "s string, w int")
+    scenes = spark.createDataFrame([("x",), ("y",), ("y",), (None,)], "c string")
+    done = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "z")], "s string, c string")
+    out = reports.not_yet(strata, scenes, done, "s", "c")
+    assert sorted(map(tuple, out.select("s", "w", "c").collect()), key=str) == sorted([("a", 1, "y"), ("b", 2, "x"), ("b", 2, "y"), (None, 3, "x"), (None, 3, "y")], key=str)
+    with pytest.raises(Exception, match="more than 1 scenes"):
+        reports.not_yet(strata, scenes, done, "s", "c", 1).collect()
+    assert reports.not_yet(strata, scenes.limit(0), done, "s", "c").count() == 0
+
+
+def test_turns_and_flat_conversations(spark):
+    from corpusmill.operators import normalize, rules
+
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (2, 0, "user", "u"), (2, 1, "user", "v"), (3, 1, "system", "late"), (3, 0, "user", "u"), (4, 0, "user", "u"), (4, 1, "tool", "t"), (4, 2, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    assert {r["conv_id"]: r["ordered"] for r in rules.turns_in_order(df).collect()} == {1: True, 2: False, 3: False, 4: False}
+    flat = {r["conv_id"]: tuple(r)[1:] for r in normalize.flat_conversations(df).collect()}
+    assert flat[1] == ("system>user>assistant", 3, "<system>s</system>\n<user>u</user>\n<assistant>a</assistant>") and flat[3][0] == "user>system"
+
+
+def test_json_fields(spark):
+    from corpusmill.sources import readers
+
+    df = spark.createDataFrame([(1, '{"k": 3}'), (2, "{broken"), (3, '{"j": 1}'), (4, None)], "i int, t string")
+    assert [tuple(r) for r in readers.json_fields(df, "t", "k int", "k").collect()] == [(1, 3)]

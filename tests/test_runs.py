@@ -80,6 +80,12 @@ def test_next_match(table, size):
         assert {r["i"]: r["end_at"] for r in runs.next_match(d, key, "i", F.col("g"), ~F.col("g"), size).collect()} == want
 
 
+def test_numbers_within_a_key(table):
+    rows, df = table
+    want = {(k, i): n for k, seq in by_key(rows).items() for n, (i, _) in enumerate(seq, 1)}
+    assert {(r["k"], r["i"]): r["within"] for r in runs.numbered_within(df, "k", ["i"]).collect()} == want
+
+
 def test_a_hot_key_lies_in_many_blocks(spark):
     df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(99).alias("k"), "id")
     d = runs.in_blocks(df, "k", ["id"])

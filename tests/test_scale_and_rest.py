@@ -42,10 +42,10 @@ def test_slots_and_shards_take_a_subquery(spark):
 
 def test_written_steps_change_no_sample(spark):
     df = spark.range(400).select("id", (F.col("id") % 3).cast("string").alias("s"), (F.col("id") % 17).alias("scene"), F.lit("l").alias("level"))
-    for save in (None, tables.written):
-        picked = sampling.scene_disjoint_sample(df, {"0": 5, "1": 5, "2": 5}, "s", "scene", "id", "1", save=save)
+    for save, split in ((None, None), (tables.written, None), (tables.written, tables.parted)):
+        picked = sampling.scene_disjoint_sample(df, {"0": 5, "1": 5, "2": 5}, "s", "scene", "id", "1", save=save, split=split)
         assert picked.count() == picked.select("scene").distinct().count() == 15
-        even = sampling.balanced_sample(df, 6, "s", "scene", "level", "id", "1", save)
+        even = sampling.balanced_sample(df, 6, "s", "scene", "level", "id", "1", save, split)
         rows = (sorted(r["id"] for r in picked.collect()), sorted(r["id"] for r in even.collect()))
         assert save is None or rows == before  # noqa: F821
         before = rows
