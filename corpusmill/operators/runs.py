@@ -20,7 +20,7 @@ SYMBOLS = 256
 
 def in_blocks(df: DataFrame, key: str | None, order: list[str], size: int = BLOCK) -> DataFrame:
     """df with _o, a dense number in the order (key, order), and _b, its block; with _k, the key (0 without one). Name columns that leave no ties: tied rows keep no fixed order."""
-    d = with_ordinal(df.withColumn("_k", F.col(key) if key else F.lit(0)), "_k", *order).withColumnRenamed("ordinal", "_o")
+    d = with_ordinal(df.withColumn("_k", F.col(key) if key else F.lit(0)), "_k", *order, name="_o")
     return d.withColumn("_b", F.floor(F.col("_o") / size))
 
 
