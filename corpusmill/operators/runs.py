@@ -85,9 +85,13 @@ def _in_order(place: str, value: str) -> Column:
 def run_summaries(df: DataFrame, key: str | None, order: list[str], flag: Column, size: int = BLOCK) -> DataFrame:
     """key, prefix, suffix, best, length of each key's rows in order; a null flag is not set. No rows, no keys.
 
-    Blocks of rows, then blocks of blocks, then the rest: three levels hold 4096 values each for 6.9e10 rows of one key.
+    Blocks of rows, then blocks of blocks, then the rest: three levels hold 4096 values each for 6.9e10 rows of one key. Rows are read once, so
+    their places need no table and no dense numbers: range partitions in order, and places in them.
     """
-    d = in_blocks(df.select(*([key] if key else []), *order, F.coalesce(flag, F.lit(False)).alias("_f")), key, order, size)
+    d = df.select((F.col(key) if key else F.lit(0)).alias("_k"), *order, F.coalesce(flag, F.lit(False)).alias("_f"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = d.repartitionByRange(parts, "_k", *order).sortWithinPartitions("_k", *order).select("_k", "_f", F.monotonically_increasing_id().alias("_o"))
+    d = d.withColumn("_b", F.floor(F.col("_o") / size))
     s = d.groupBy("_k", "_b").agg(summary(_in_order("_o", "_f")).alias("_s"))
     fold = lambda values: F.aggregate(values, empty(), merged)
     s = s.groupBy("_k", F.floor(F.col("_b") / size).alias("_b")).agg(fold(_in_order("_b", "_s")).alias("_s"))
