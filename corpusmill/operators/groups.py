@@ -34,13 +34,15 @@ def exploded_tokens(df: DataFrame, key: str = "id", *arrays: str) -> DataFrame:
     return df.select(key, F.posexplode(F.arrays_zip(*arrays)).alias("pos", "t")).select(key, "pos", *[F.col(f"t.{a}").alias(a) for a in arrays])
 
 
-def image_blocks(tokens: DataFrame, key: str = "id") -> DataFrame:
-    """id, block, start_at, end_at of framed image blocks that hold a code between start + 3 and the end; an unclosed start has none."""
-    first, last = vocab.CODE_FIRST, vocab.CODE_LAST
+def image_blocks(tokens: DataFrame, key: str = "id", code: Column | None = None) -> DataFrame:
+    """id, block, start_at, end_at of framed image blocks that hold a code between start + 3 and the end; an unclosed start has none.
+
+    code: whether a token is a code; by default, whether it is one of the vocabulary's."""
+    code = F.col("token").between(vocab.CODE_FIRST, vocab.CODE_LAST) if code is None else code
     t = tokens.select(key, "pos", "token")
     w = W.partitionBy(key).orderBy("pos").rowsBetween(1, W.unboundedFollowing)
     t = t.withColumn("end_at", F.min(F.when(F.col("token") == vocab.IMAGE_END, F.col("pos"))).over(w))
-    t = t.withColumn("next_code", F.min(F.when(F.col("token").between(first, last), F.col("pos"))).over(W.partitionBy(key).orderBy("pos").rowsBetween(3, W.unboundedFollowing)))
+    t = t.withColumn("next_code", F.min(F.when(code, F.col("pos"))).over(W.partitionBy(key).orderBy("pos").rowsBetween(3, W.unboundedFollowing)))
     # A start within an open block belongs to that block.
     starts = t.where((F.col("token") == vocab.IMAGE_START) & F.col("end_at").isNotNull())
     starts = starts.withColumn("_n", F.row_number().over(W.partitionBy(key, "end_at").orderBy("pos"))).where("_n = 1")

@@ -57,3 +57,16 @@ def test_stage_sanitizer_reads_whole_texts(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert got == dict(c.execute(catalogue.SQL["stage_sanitizer"]).fetchall()) and len(set(got.values())) == len(texts) - 1  # nothing is left of "" and of the tags
+
+
+def test_token_image_blocks_of_many_suppliers(spark, tmp_path):
+    import duckdb
+
+    # Start, two sizes, a code, end; the last suppliers' numbers lie beyond the vocabulary's codes.
+    rows = [(o, n, part, supplier) for o, supplier in enumerate((0, 16383, 16384, 59999)) for n, part in enumerate((5, 2, 2, 3, 6))]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
+    lines.selectExpr("*", "1.0d as l_quantity", "1.0d as l_extendedprice", "timestamp_ntz'2024-01-01 00:00:00' as l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted(tuple(r) for r in catalogue.QUERIES["token_image_blocks"](spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    c.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert got == sorted(c.execute(catalogue.SQL["token_image_blocks"]).fetchall()) and [r[0] for r in got] == [0, 1, 2, 3]
