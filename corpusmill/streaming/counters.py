@@ -1,7 +1,8 @@
 """A counter of flagged rows in a row for each key of a stream, with a limit, as state of its own kind.
 
-Rows may come late and more than once. They wait in the state, by time and id, until the watermark has passed them, are then counted in the order of time
-and id, and are given out once with their run. So the result is that of the sorted table, in whatever order and batches rows arrive within the watermark's delay;
+Rows may come late and more than once. They wait, by key, time and id, in the state of an aggregation until the watermark has passed them; Spark's engine keeps that
+state, so a waiting row costs no call of Python. A key's rows that a batch lets go are then counted at once, in the order of time and id, from the key's counter, and are given out once
+with their run; what later batches let go lies behind them. So the result is that of the sorted table, in whatever order and batches rows arrive within the watermark's delay;
 rows behind the watermark are left out. Once a run reaches the limit the key is stopped: that row says so, and later rows of the key are not counted.
 """
 
@@ -19,43 +20,27 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 class RunCounter(StatefulProcessor):
-    """State: waiting rows (map of (time, id) to flag), and run, longest, stopped, the last time counted."""
+    """State: run, longest, stopped, the last time counted. It is read and written once for all rows of a key in a batch."""
 
     def __init__(self, limit: int, forget: int):
         self.limit, self.forget = limit, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, id long", "flag boolean")
         self.counter = handle.getValueState("counter", "run long, longest long, stopped boolean, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        counted = self.counter.get()
-        stopped = bool(counted[2]) if counted else False
-        for pdf in rows:
-            for at, i, flag in zip(pdf["at"], pdf["id"], pdf["flag"]):
-                if at // 1000 > mark and not stopped:
-                    if not self.waiting.containsKey((int(at), int(i))):
-                        self.handle.registerTimer(int(at) // 1000)
-                        self.waiting.updateValue((int(at), int(i)), (bool(flag),))
-        yield pd.DataFrame({"key": [], "at": [], "id": [], "run": [], "longest": [], "stopped": []})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
         run, longest, stopped, last = self.counter.get() or (0, 0, False, 0)
-        due = sorted((k[0], k[1], v[0]) for k, v in self.waiting.iterator() if k[0] // 1000 <= mark)
+        due = [] if stopped else sorted(r for pdf in rows for r in zip(pdf["at"].tolist(), pdf["id"].tolist(), pdf["flag"].tolist()))
         out = []
         for at, i, flag in due:
-            self.waiting.removeKey((at, i))
-            if stopped:
-                continue
             if last and self.forget and at - last > self.forget * 1000:
                 run = longest = 0
             run, last = run + 1 if flag else 0, at
             longest = max(longest, run)
             stopped = 0 < self.limit <= run
             out.append((key[0], at, i, run, longest, stopped))
+            if stopped:
+                break
         if due:
             self.counter.update((run, longest, stopped, last))
         yield pd.DataFrame(out, columns=["key", "at", "id", "run", "longest", "stopped"])
@@ -68,12 +53,14 @@ def counted(stream: DataFrame, key: str, ts: str, row_id: str, flag, *, limit: i
     """key, ts, row_id, run, longest, stopped of each row that the watermark has passed, up to the row that stops its key. Append mode.
 
     limit: 0 stops nothing. forget_ms: a key without rows for longer (in event time) starts anew. A null flag is not set; rows with a null key, time or id are left out.
-    The session needs the RocksDB state store (with_rocksdb).
+    A row that comes again while it waits is one row, flagged if one of its copies is. The session needs the RocksDB state store (with_rocksdb).
     """
     ship(stream.sparkSession)
     rows = stream.select(F.col(key).cast("long").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(row_id).cast("long").alias("id"), F.coalesce(flag, F.lit(False)).alias("flag")).dropna()
-    rows = rows.withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
-    out = rows.groupBy("key").transformWithStateInPandas(RunCounter(limit, forget_ms), "key long, at long, id long, run long, longest long, stopped boolean", "Append", "EventTime")
+    # The watermark counts in milliseconds: a row is let go with the others of its millisecond, so none comes behind one that is counted.
+    rows = rows.withColumn("at", F.unix_micros("ts")).withColumn("ts", F.date_trunc("millisecond", "ts")).withWatermark("ts", late)
+    due = rows.groupBy("key", "ts", "at", "id").agg(F.bool_or("flag").alias("flag"))
+    out = due.groupBy("key").transformWithStateInPandas(RunCounter(limit, forget_ms), "key long, at long, id long, run long, longest long, stopped boolean", "Append", "None")
     return out.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts), F.col("id").alias(row_id), "run", "longest", "stopped")
 
 

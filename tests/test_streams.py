@@ -145,6 +145,39 @@ def test_rows_behind_the_watermark_and_forgetting(spark, tmp_path):
     assert got == [(1, 1000, 1, 1, 1, False), (1, 1010, 2, 2, 2, False), (1, 2000, 3, 1, 1, False), (1, 2010, 5, 2, 2, False)]
 
 
+def test_counter_asks_its_state_once_a_key():
+    """A call of the state goes over a socket; a call for each row took most of the time."""
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        value = None
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return {"get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "containsKey": lambda k: False}.get(name, lambda *a: None)
+
+    class Handle:
+        def getValueState(self, *a):
+            return State()
+
+        getMapState = getValueState
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    counter = counters.RunCounter(0, 0)
+    counter.init(Handle())
+    frames = [pd.DataFrame({"at": [1_000_000 * k + 5_000_000], "id": [k], "flag": [k % 3 > 0]}) for k in reversed(range(300))]
+    got = pd.concat(counter.handleInputRows((1,), iter(frames), Times()))
+    assert calls == ["get", "update"] and list(got["id"]) == list(range(300)) and list(got["run"]) == [k % 3 for k in range(300)]
+
+
 def test_stream_and_blocks_agree(spark):
     path = "/root/testdata/sf0.001/events.parquet"
     events = spark.read.parquet(path)
