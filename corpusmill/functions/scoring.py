@@ -97,8 +97,8 @@ def format_gate(text: Column, n_images: Column, expected: int = 3, protocol: Col
 
 def coverage(label: Column, text: Column, lexicon: dict = vocab.LEXICON_REWARD) -> Column:
     """Share of the label's components that the text speaks of; 0 without components."""
-    parts = T.components(label)
-    return F.coalesce(F.try_divide(F.size(T.covered(parts, text, lexicon)), F.size(parts)), F.lit(0.0))
+    share = lambda parts: _once(text, lambda t: F.coalesce(F.try_divide(F.size(T.covered(parts, t, lexicon)), F.size(parts)), F.lit(0.0)))
+    return _once(T.components(label), share)
 
 
 def label_score(text: Column, infrared_label: Column, visible_label: Column) -> Column:
@@ -119,9 +119,11 @@ def degradation_score(text: Column, modality: str, label: Column, penalize: bool
 
 
 def planning_score(text: Column) -> Column:
-    plan = T.planning_text(text)
-    hits = [plan.rlike("(?i)" + "|".join(p)).cast("int") for p in vocab.INTENTS.values()]
-    return sum(hits[1:], hits[0]) / float(len(hits))
+    def share(plan: Column) -> Column:
+        hits = [plan.rlike("(?i)" + "|".join(p)).cast("int") for p in vocab.INTENTS.values()]
+        return sum(hits[1:], hits[0]) / float(len(hits))
+
+    return _once(text, lambda t: _once(T.planning_text(t), share))
 
 
 def text_reward(label: Column, planning: Column, label_weight: float = 0.7, planning_weight: float = 0.3) -> Column:

@@ -103,3 +103,7 @@ def test_a_cut_text_is_made_once(spark):
     assert made(spark, lambda t: T.sanitized_stage(t, "fused")) == 1
     rows = spark.createDataFrame([("ab. cd. efgh",), ("ab. cdefghijk",), ("short",), ("12345. é 78",), ("x\ny; zzzzzzz",), (None,)], "t string")
     assert [r[0] for r in rows.select(T.truncated(F.col("t"), 9)).collect()] == ["ab. cd", "ab. cdefg", "short", "12345", "x\ny; zzzz", ""]
+
+
+def test_rewards_make_their_text_once(spark):
+    assert made(spark, scoring.planning_score) == 1 and made(spark, lambda t: scoring.coverage(F.lit("rain_haze"), t)) == 1
