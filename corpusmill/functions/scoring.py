@@ -24,7 +24,6 @@ def _once(value: Column, use) -> Column:
 
 _LAST = vocab.OUTER_TAGS[-1]
 _OPENING = rf"(?s)<{_LAST}>\s*{re.escape(vocab.PLACEHOLDER)}\s*$"
-_SPECS = [(t, t, None) for t in vocab.OUTER_TAGS] + [(f"{t}.{i}", t, i) for t in vocab.OUTER_TAGS for i in vocab.INNER_TAGS.get(t, ())]
 
 
 def _found(text: Column, tag: Column) -> Column:
@@ -33,27 +32,37 @@ def _found(text: Column, tag: Column) -> Column:
 
 def tag_report(text: Column) -> Column:
     """missing, empty, duplicate tags (inner ones as stage.tag), whether the outer ones are in order, and whether the last image tag is open at the end."""
-    t = F.coalesce(text, F.lit(""))
-    is_open = ~F.contains(t, F.lit(f"</{_LAST}>")) & t.rlike(_OPENING)
-    specs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(o).alias("outer"), F.lit(i).cast("string").alias("inner")) for n, o, i in _SPECS])
 
-    def look(x: Column) -> Column:
-        scope = F.when(x["inner"].isNull(), t).otherwise(F.coalesce(F.get(_found(t, x["outer"]), F.lit(0)), F.lit("")))
-        end = is_open & (x["name"] == _LAST)
-        at = F.when(end, F.regexp_instr(t, F.lit(_OPENING))).otherwise(F.instr(t, F.concat(F.lit("<"), x["outer"], F.lit(">"))))
-        found = lambda f: F.struct(
-            x["name"].alias("name"), x["inner"].isNull().alias("is_outer"), F.when(end, 1).otherwise(F.size(f)).alias("n"),
-            F.when(end, vocab.PLACEHOLDER).otherwise(T.clean(F.get(f, F.lit(0)))).alias("first"), at.alias("at"),
-        )
-        return _once(_found(scope, F.coalesce(x["inner"], x["outer"])), found)
+    def report(t: Column, is_open: Column) -> Column:
+        def seen(name: str, outer: str | None, tag: str, found: Column) -> Column:
+            end = is_open if name == _LAST else F.lit(False)
+            at = F.when(end, F.regexp_instr(t, F.lit(_OPENING))).otherwise(F.instr(t, f"<{tag}>")) if outer is None else F.lit(None).cast("int")
+            return F.struct(
+                F.lit(name).alias("name"), F.lit(outer is None).alias("is_outer"), F.when(end, 1).otherwise(F.size(found)).alias("n"),
+                F.when(end, vocab.PLACEHOLDER).otherwise(T.clean(F.get(found, F.lit(0)))).alias("first"), at.alias("at"),
+            )
 
-    def judge(rows: Column) -> Column:
-        names = lambda keep: F.transform(F.filter(rows, keep), lambda x: x["name"])
-        places = F.transform(F.filter(rows, lambda x: x["is_outer"] & (x["n"] > 0)), lambda x: x["at"])
-        ordered = (F.size(places) == len(vocab.OUTER_TAGS)) & (F.array_sort(F.array_distinct(places)) == places)
-        return F.struct(names(lambda x: x["n"] == 0).alias("missing"), names(lambda x: (x["n"] > 0) & (x["first"] == "")).alias("empty"), names(lambda x: x["n"] > 1).alias("duplicate"), ordered.alias("order_ok"), is_open.alias("open_end"))
+        def look(outer: str) -> Column:
+            # The contents of an outer tag are found once, for itself and for the tags inside.
+            def stage(found: Column) -> Column:
+                own = F.array(seen(outer, None, outer, found))
+                inner = [_once(_found(F.coalesce(F.get(found, F.lit(0)), F.lit("")), F.lit(i)), lambda f, i=i: seen(f"{outer}.{i}", outer, i, f)) for i in vocab.INNER_TAGS.get(outer, ())]
+                return F.concat(own, F.array(*inner)) if inner else own
 
-    return _once(F.transform(specs, look), judge)
+            return _once(_found(t, F.lit(outer)), stage)
+
+        def judge(rows: Column) -> Column:
+            names = lambda keep: F.transform(F.filter(rows, keep), lambda x: x["name"])
+            places = F.transform(F.filter(rows, lambda x: x["is_outer"] & (x["n"] > 0)), lambda x: x["at"])
+            ordered = _once(places, lambda p: (F.size(p) == len(vocab.OUTER_TAGS)) & (F.array_sort(F.array_distinct(p)) == p))
+            return F.struct(names(lambda x: x["n"] == 0).alias("missing"), names(lambda x: (x["n"] > 0) & (x["first"] == "")).alias("empty"), names(lambda x: x["n"] > 1).alias("duplicate"), ordered.alias("order_ok"), is_open.alias("open_end"))
+
+        # Outer tags first, as they were listed.
+        rows = lambda all_: F.concat(F.filter(all_, lambda x: x["is_outer"]), F.filter(all_, lambda x: ~x["is_outer"]))
+        return _once(_once(F.flatten(F.array(*[look(o) for o in vocab.OUTER_TAGS])), rows), judge)
+
+    opened = lambda t: _once(~F.contains(t, F.lit(f"</{_LAST}>")) & t.rlike(_OPENING), lambda is_open: report(t, is_open))
+    return _once(F.coalesce(text, F.lit("")), opened)
 
 
 N_TAGS = len(vocab.OUTER_TAGS) + sum(map(len, vocab.INNER_TAGS.values()))
@@ -61,12 +70,11 @@ N_TAGS = len(vocab.OUTER_TAGS) + sum(map(len, vocab.INNER_TAGS.values()))
 
 def format_score(text: Column, n_images: Column, expected: int = 3, require_images: bool = True) -> Column:
     """score, ok, text_score, image_score, problems of the staged format. n_images may be null (not decoded)."""
-    marks = T.placeholders(text)
     near = lambda n: F.greatest(F.lit(0.0), 1.0 - F.abs(n - expected) / float(expected))
-    images_ok = F.coalesce(n_images == expected, F.lit(False)) if require_images else F.coalesce(n_images == expected, marks == expected)
-    image_score = F.when(images_ok, 1.0).otherwise(F.coalesce(near(n_images), F.lit(0.0) if require_images else near(marks)))
 
-    def grade(r: Column) -> Column:
+    def grade(r: Column, marks: Column, n: Column) -> Column:
+        images_ok = F.coalesce(n == expected, F.lit(False)) if require_images else F.coalesce(n == expected, marks == expected)
+        image_score = F.when(images_ok, 1.0).otherwise(F.coalesce(near(n), F.lit(0.0) if require_images else near(marks)))
         tag_score = F.greatest(F.lit(0.0), (N_TAGS - F.size(r["missing"]) - F.size(r["empty"])) / float(N_TAGS))
         penalty = F.least(F.lit(0.20), 0.04 * F.size(r["duplicate"]))
         text_score = unit(0.75 * tag_score + 0.15 * r["order_ok"].cast("double") + 0.10 * near(marks) - penalty)
@@ -77,7 +85,8 @@ def format_score(text: Column, n_images: Column, expected: int = 3, require_imag
         score = F.when(ok, 1.0).otherwise(unit(0.70 * text_score + 0.30 * image_score))
         return F.struct(score.alias("score"), ok.alias("ok"), text_score.alias("text_score"), image_score.alias("image_score"), problems.alias("problems"), images_ok.alias("image_count_ok"), marks.alias("placeholders"))
 
-    return _once(tag_report(text), grade)
+    found = lambda t: F.struct(tag_report(t).alias("r"), T.placeholders(t).alias("marks"), n_images.alias("n"))
+    return _once(_once(text, found), lambda x: grade(x["r"], x["marks"], x["n"]))
 
 
 def format_gate(text: Column, n_images: Column, expected: int = 3, protocol: Column | None = None) -> Column:

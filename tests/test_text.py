@@ -107,3 +107,7 @@ def test_a_cut_text_is_made_once(spark):
 
 def test_rewards_make_their_text_once(spark):
     assert made(spark, scoring.planning_score) == 1 and made(spark, lambda t: scoring.coverage(F.lit("rain_haze"), t)) == 1
+
+
+def test_format_score_makes_its_text_once(spark):
+    assert made(spark, lambda t: scoring.format_score(t, F.lit(3))) == 1
