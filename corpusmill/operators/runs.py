@@ -255,7 +255,8 @@ def context_blocks(tokens: DataFrame, key: str, start: int, end: int, first: Col
     Blocks under `least` tokens go. A null key is a stream.
     """
     t = F.col("token")
-    of = tokens.select(key, "pos", "token", (F.col("pos") >= first).alias("_in"))
+    # Only starts and ends are counted, so only they are numbered.
+    of = tokens.select(key, "pos", "token", (F.col("pos") >= first).alias("_in")).where(t.isin(start, end))
     d = carried(in_blocks(of, key, ["pos"]), sums={"_e": (t == end).cast("long"), "_s": ((t == start) & F.col("_in")).cast("long")}, inclusive=False).drop("_o", "_b")
     starts = d.where((t == start) & F.col("_in")).select("_k", "pos", "_s", (F.col("_e") - F.col("_s")).alias("_lead"))
     s = carried(in_blocks(starts.withColumnRenamed("_k", key), key, ["pos"]), maxima={"_most": F.col("_lead")})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..operators import assembly, normalize, reports, runs
 from ..sources import elements
+from ..sources.tables import written
 from ..streaming import rewards
 from .catalogue import big, query
 from .streams import TOKENS_SQL, token_streams
@@ -23,7 +24,8 @@ select m.id, m.pos::bigint as pos, block, (m.pos - m.a)::bigint as place from m
 """)
 def image_contexts(lineitem):
     """Where each predicted image token stands in the context of its block."""
-    tokens = token_streams(lineitem)
+    # Read three times, so made once.
+    tokens = written(token_streams(lineitem), "tokens")
     blocks = runs.context_blocks(tokens, "id", vocab.IMAGE_START, vocab.IMAGE_END)
     return runs.context_map(tokens, blocks, "id").select("id", "pos", big("block").alias("block"), big("offset").alias("place"))
 

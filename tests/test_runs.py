@@ -204,3 +204,11 @@ def test_k_of_state(spark):
     df = spark.createDataFrame([("k", i, c) for i, c in enumerate(seq)], "k string, i int, c string")
     got = [x["k2"] for x in runs.k_of_state(df.withColumnRenamed("k", "g"), "g", ["i"], F.col("c") == "s", F.col("c") == "e", 5, 1).select("i", F.col("k").alias("k2")).orderBy("i").collect()]
     assert got == [5 if seq[:i].count("s") == seq[:i].count("e") + 1 else 1 for i in range(len(seq))]
+
+
+def test_contexts_number_starts_and_ends_alone(spark, monkeypatch):
+    numbered, plain_blocks = [], runs.in_blocks
+    monkeypatch.setattr(runs, "in_blocks", lambda df, *a, **k: numbered.append(df.count()) or plain_blocks(df, *a, **k))
+    tokens = spark.createDataFrame([(1, p, t) for p, t in enumerate([7, 8, 1, 5, 5, 5, 2, 7])], "id long, pos long, token long")
+    got = [tuple(r) for r in runs.context_blocks(tokens, "id", 1, 2).collect()]
+    assert got == [(1, 0, 2, 6)] and numbered[0] == 2
