@@ -17,12 +17,16 @@ STAGES = ("infrared", "visible", "fused")
 def with_ordinal(df: DataFrame, *order: str, name: str = "ordinal") -> DataFrame:
     """df with `name`, a dense row number by the given columns, made in two steps so that no task holds all rows: range partitions, then offsets of the partitions.
     Range bounds come from a sample, and two reads may sample differently, so the numbered rows are written once and both steps read that table.
+    The offsets, one a partition, are a scalar subquery: a join would move all rows by partition once Spark's estimate of the sums' size is over its limit for broadcasts.
     Ties keep no fixed order; an empty table gives none."""
-    parts = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    number = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.repartitionByRange(number, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
     parts = written(parts.withColumn("_part", F.shiftright("_m", 33)).withColumn("_at", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m"), "ordinals")
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select(F.col("_part").alias("_p"), (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return parts.join(offsets, F.col("_part") == F.col("_p")).withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_p", "_before")
+    sizes = df.sparkSession.range(number).select(F.col("id").alias("_p")).join(sizes, F.col("_p") == F.col("_part"), "left").select("_p", F.coalesce("_n", F.lit(0)).alias("_n"))
+    offsets = sizes.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_before"))
+    offsets = offsets.agg(F.sort_array(F.collect_list(F.struct("_p", "_before")))["_before"]).scalar()
+    return parts.withColumn(name, F.get(offsets, F.col("_part").cast("int")) + F.col("_at")).drop("_part", "_at")
 
 
 def filled_metadata(df: DataFrame) -> DataFrame:

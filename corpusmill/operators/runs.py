@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..sources.tables import written
 from .normalize import with_ordinal
 
 #: Rows of a block, and blocks of a superblock.
@@ -143,44 +144,58 @@ def next_match(df: DataFrame, key: str | None, order: str, start: Column, end: C
 # Automata: a block's transition vector says for each state it may start in where it ends.
 
 
-def _composed(vectors: Column, states: int) -> Column:
-    """The vector of several after each other."""
-    return F.aggregate(vectors, F.sequence(F.lit(0), F.lit(states - 1)), lambda s, v: F.transform(s, lambda x: F.get(v, x)))
+def _walked(start: Column, values: Column, step, number: Column) -> Column:
+    """The states before each of several values, from a start state."""
+    return F.slice(F.aggregate(values, F.array(start), lambda s, v: F.concat(s, F.array(step(F.element_at(s, -1), v)))), 1, number)
 
 
-def _walked(start: Column, vectors: Column) -> Column:
-    """The states before each of several vectors, from a start state; the state behind the last comes last."""
-    return F.aggregate(vectors, F.array(start), lambda s, v: F.concat(s, F.array(F.get(v, F.element_at(s, -1)))))
+def with_states(df: DataFrame, key: str, order: str, symbol: Column, table: list[list[int]], start: int = 0, size: int = SYMBOLS, counts: dict[str, int] | None = None, lasts: dict[str, int] | None = None) -> DataFrame:
+    """df with _o of in_blocks() and state, the automaton's state before each row of a sequence; for each name in counts how many earlier rows of the key have that symbol, in lasts the _o of the last one (null without).
 
-
-def states_before(df: DataFrame, key: str, order: str, symbol: Column, table: list[list[int]], start: int = 0, size: int = SYMBOLS) -> DataFrame:
-    """key, order, state: the state of an automaton before each row of a sequence.
-
-    table[state][symbol] is the next state; a symbol that is null or outside the table is symbol 0. Orders are unique within a key. Vectors of blocks of 256 rows are
-    composed to those of 256 blocks; starts are carried down over superblocks, blocks and rows, so every step but the first holds 256 values.
+    table[state][symbol] is the next state; a symbol that is null or outside the table is symbol 0. Orders are unique within a key. Rows are numbered once and lie in
+    blocks of 256, written once: what a block does (its vector, counts and last places) is composed to what 256 blocks do; starts are carried down over
+    superblocks, blocks and rows. Every step but the first holds 256 values, and rows move once into their blocks and once to meet the starts.
     """
-    n = len(table)
+    n, counts, lasts = len(table), counts or {}, lasts or {}
     by_symbol = F.array(*[F.array(*[F.lit(table[s][c]) for s in range(n)]) for c in range(len(table[0]))])
     sym = F.when(symbol.between(0, len(table[0]) - 1), symbol.cast("int")).otherwise(F.lit(0))
-    d = in_blocks(df.select(key, order, sym.alias("_y")), key, [order], size)
-    rows = d.groupBy("_k", "_b").agg(F.sort_array(F.collect_list(F.struct("_o", order, "_y"))).alias("_rows"))
-    rows = rows.withColumn("_vectors", F.transform("_rows", lambda x: F.get(by_symbol, x["_y"])))
-    blocks = rows.select("_k", "_b", F.floor(F.col("_b") / size).alias("_s"), _composed(F.col("_vectors"), n).alias("_v"))
-    supers = blocks.groupBy("_k", "_s").agg(F.sort_array(F.collect_list(F.struct("_b", "_v"))).alias("_blocks"))
-    whole = supers.select("_k", "_s", _composed(F.transform("_blocks", lambda x: x["_v"]), n).alias("_v"))
-    whole = whole.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("_s", "_v"))).alias("_supers"))
-    begin = whole.select("_k", F.explode(F.arrays_zip(F.transform("_supers", lambda x: x["_s"]).alias("s"), F.slice(_walked(F.lit(start), F.transform("_supers", lambda x: x["_v"])), 1, F.size("_supers")).alias("q"))).alias("z"))
-    begin = begin.select(F.col("_k").alias("_k2"), F.col("z.s").alias("_s2"), F.col("z.q").alias("_q"))
-    same = lambda a, b: F.col("_k").eqNullSafe(F.col("_k2")) & (F.col(a) == F.col(b))
-    down = supers.join(begin, same("_s", "_s2")).select("_k", F.explode(F.arrays_zip(F.transform("_blocks", lambda x: x["_b"]).alias("b"), F.slice(_walked(F.col("_q"), F.transform("_blocks", lambda x: x["_v"])), 1, F.size("_blocks")).alias("q"))).alias("z"))
-    down = down.select(F.col("_k").alias("_k2"), F.col("z.b").alias("_b2"), F.col("z.q").alias("_q"))
-    out = rows.join(down, same("_b", "_b2")).select("_k", F.explode(F.arrays_zip(F.transform("_rows", lambda x: x[order]).alias("o"), F.slice(_walked(F.col("_q"), F.col("_vectors")), 1, F.size("_rows")).alias("q"))).alias("z"))
-    return out.select(F.col("_k").alias(key), F.col("z.o").alias(order), F.col("z.q").alias("state"))
-
-
-def tag_table(tags: list[list[int]]) -> tuple[dict[int, int], list[list[int]], set[int]]:
-    """An automaton that follows which tags the symbols read so far end with: (symbol of each token, table, states in which a tag has just ended)."""
-    symbols = {t: i + 1 for i, t in enumerate(sorted({t for tag in tags for t in tag}))}
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    # A value has what rows do to the state: v, counts and last places. A state has q instead of v.
+    value = lambda v, count, last: F.struct(v, *[count(c).alias(c) for c in counts], *[last(c).alias(c) for c in lasts])
+    both = lambda v, a, b: value(v, lambda c: a[c] + b[c], lambda c: F.coalesce(b[c], a[c]))
+    nothing = value(F.sequence(F.lit(0), F.lit(n - 1)).alias("v"), lambda c: zero, lambda c: none)
+    first = value(F.lit(start).alias("q"), lambda c: zero, lambda c: none)
+    folded = lambda values: F.aggregate(values, nothing, lambda a, b: both(F.transform(a["v"], lambda x: F.get(b["v"], x)).alias("v"), a, b))
+    before = lambda state, values, number: _walked(state, values, lambda s, b: both(F.get(b["v"], s["q"]).alias("q"), s, b), number)
+    listed = lambda *columns: F.sort_array(F.collect_list(F.struct(*columns)))
+
+    rest = [c for c in df.columns if c != key]
+    rows = in_blocks(df, key, [order], size).withColumn("_y", sym).groupBy("_k", "_b").agg(F.min("_o").alias("_first"), listed("_o", *rest, "_y").alias("_rows"))
+    rows = rows.withColumn("_rows", F.transform("_rows", lambda x: F.struct(*[x[c].alias(c) for c in (*rest, "_y")])))
+    done = F.transform("_rows", lambda x, i: value(F.get(by_symbol, x["_y"]).alias("v"), lambda c: (x["_y"] == counts[c]).cast("long"), lambda c: F.when(x["_y"] == lasts[c], F.col("_first") + i)))
+    rows = written(rows.withColumn("_v", folded(done)), "blocks")
+    supers = rows.groupBy("_k", F.floor(F.col("_b") / size).alias("_s")).agg(listed("_b", "_v").alias("_blocks"))
+    whole = supers.select("_k", "_s", folded(F.transform("_blocks", lambda x: x["_v"])).alias("_v")).groupBy("_k").agg(listed("_s", "_v").alias("_supers"))
+    places = lambda of, name, state: F.explode(F.arrays_zip(F.transform(of, lambda x: x[name]).alias("b"), before(state, F.transform(of, lambda x: x["_v"]), F.size(of)).alias("q"))).alias("z")
+    begin = lambda d: d.select(F.col("_k").alias("_k2"), F.col("z.b").alias("_b2"), F.col("z.q").alias("_q"))
+    same = lambda b: F.col("_k").eqNullSafe(F.col("_k2")) & (F.col(b) == F.col("_b2"))
+    # Left joins, though each block has its start: rows of few bytes as Parquet are many, and no side to broadcast.
+    down = supers.join(begin(whole.select("_k", places("_supers", "_s", first))), same("_s"), "left")
+    down = begin(down.select("_k", places("_blocks", "_b", F.col("_q"))))
+    out = rows.join(down, same("_b"), "left").select("_k", "_first", F.posexplode(F.arrays_zip(F.col("_rows").alias("r"), before(F.col("_q"), done, F.size("_rows")).alias("q"))).alias("_i", "z"))
+    out = out.select("_k", (F.col("_first") + F.col("_i")).alias("_o"), *[F.col(f"z.r.{c}").alias(c) for c in rest], F.col("z.q.q").alias("state"), *[F.col(f"z.q.{c}").alias(c) for c in (*counts, *lasts)])
+    return out.withColumnRenamed("_k", key)
+
+
+def states_before(df: DataFrame, key: str, order: str, symbol: Column, table: list[list[int]], start: int = 0, size: int = SYMBOLS) -> DataFrame:
+    """key, order, state: with_states() without the rest."""
+    d = df.select(key, order, symbol.alias("_symbol"))
+    return with_states(d, key, order, F.col("_symbol"), table, start, size).select(key, order, "state")
+
+
+def tag_table(tags: list[list[int]], more: tuple[int, ...] = ()) -> tuple[dict[int, int], list[list[int]], set[int]]:
+    """An automaton that follows which tags the symbols read so far end with: (symbol of each token, those in `more` too, table, states in which a tag has just ended)."""
+    symbols = {t: i + 1 for i, t in enumerate(sorted({t for tag in tags for t in tag} | set(more)))}
     heads = sorted({()} | {tuple(tag[:i]) for tag in tags for i in range(len(tag) + 1)}, key=lambda h: (len(h), h))
     number = {h: i for i, h in enumerate(heads)}
     ends = lambda read: next(read[i:] for i in range(len(read) + 1) if read[i:] in number)  # noqa: E731  # the longest tail that a tag starts with
@@ -195,15 +210,13 @@ def grammar(tokens: DataFrame, key: str, *, start: int, end: int, newline: int,
     tokens: key, pos (unique in a key), token. Expected: `stop` once `stop_after` images (over the first `ended`) are done; outside images `text`
     (no code, start, end or line end), or `open` behind one of the tags (a start may come as well); in an image `height` and `width` (the two of `sizes`), `code`,
     `line` behind each row of `columns` codes, `end` behind `rows` rows; `any` where starts and ends do not pair. All of it depends on the tokens before alone, so
-    it is made of running counts and of the tags' automaton, both by blocks: a stream of any length is checked in parallel.
+    it is made of running counts and of the tags' automaton, both by the same blocks: a stream of any length is checked in parallel.
     """
     t = F.col("token")
-    symbols, table, open_states = tag_table(tags)
-    symbol = reduce(lambda c, kv: c.when(t == kv[0], kv[1]), symbols.items(), F.when(F.lit(False), 0)).otherwise(0) if symbols else F.lit(0)
-    tagged = states_before(tokens, key, "pos", symbol, table).select(F.col(key).alias("_key"), F.col("pos").alias("_pos"), F.col("state").isin(*open_states).alias("_open") if open_states else F.lit(False).alias("_open"))
-    d = in_blocks(tokens.select(key, "pos", "token"), key, ["pos"])
-    d = carried(d, sums={"_starts": (t == start).cast("long"), "_ends": (t == end).cast("long")}, maxima={"_last": F.when(t == start, F.col("_o"))}, inclusive=False)
-    d = d.join(tagged, F.col(key).eqNullSafe(F.col("_key")) & (F.col("pos") == F.col("_pos")))
+    symbols, table, open_states = tag_table(tags, (start, end))
+    symbol = reduce(lambda c, kv: c.when(t == kv[0], kv[1]), symbols.items(), F.when(F.lit(False), 0)).otherwise(0)
+    d = with_states(tokens.select(key, "pos", "token"), key, "pos", symbol, table, counts={"_starts": symbols[start], "_ends": symbols[end]}, lasts={"_last": symbols[start]})
+    d = d.withColumn("_open", F.col("state").isin(*open_states) if open_states else F.lit(False))
     since, width = F.col("_o") - F.col("_last") - 1, columns + 1
     at = since - 1  # places behind the two sizes, from 1
     inside = F.when(since == 0, "height").when(since == 1, "width").when(at == width * rows + 1, "end").when(at % width == 0, "line").otherwise("code")

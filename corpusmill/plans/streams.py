@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import vocab
 from ..operators import runs
-from ..sources.tables import new_path
+from ..sources.tables import new_path, written
 from ..streaming import counters, resumable
 from .catalogue import QUERIES, SQL, big, query
 
@@ -155,7 +155,8 @@ select id, pos::bigint as pos, expected, case expected when 'stop' then token =
   when 'end' then token = 151666 when 'code' then code when 'open' then not code and token not in (151666, {_LINE}) else not code and token not in (151665, 151666, {_LINE}) end as ok from x
 """)
 def token_grammar(lineitem):
-    tokens = token_streams(lineitem)
+    # The range partitions of their numbers are sampled first, so they are read twice and made once.
+    tokens = written(token_streams(lineitem), "tokens")
     out = runs.grammar(tokens, "id", start=vocab.IMAGE_START, end=vocab.IMAGE_END, newline=_LINE, codes=(vocab.CODE_FIRST, vocab.CODE_LAST), sizes=(_TALL, _WIDE), rows=1, columns=2, tags=[[_OPEN]], stop_after=4, stop=7)
     return out.select("id", "pos", "expected", "ok")
 

@@ -212,3 +212,34 @@ def test_contexts_number_starts_and_ends_alone(spark, monkeypatch):
     tokens = spark.createDataFrame([(1, p, t) for p, t in enumerate([7, 8, 1, 5, 5, 5, 2, 7])], "id long, pos long, token long")
     got = [tuple(r) for r in runs.context_blocks(tokens, "id", 1, 2).collect()]
     assert got == [(1, 0, 2, 6)] and numbered[0] == 2
+
+
+def test_states_carry_counts_and_last_places(spark):
+    r = random.Random(9)
+    table = [[(2 * s + c) % 3 for c in range(4)] for s in range(3)]
+    rows = [(k, 7 * i, r.choice([0, 1, 2, 3, 9, None])) for k in ("x", "y", None) for i in range(90)]
+    want = {}
+    for k in ("x", "y", None):
+        s, gone = 1, []
+        for kk, i, c in rows:
+            if kk == k:
+                want[k, i] = (c, s, gone.count(1), gone.count(2), next((n for n, x in enumerate(reversed(gone)) if x == 1), None))
+                s = table[s][c if c in (0, 1, 2, 3) else 0]
+                gone.append(c)
+    df = spark.createDataFrame(rows, "k string, i long, c int").repartition(4)
+    for size in (2, 5, 256):
+        got = runs.with_states(df, "k", "i", F.col("c"), table, 1, size, counts={"ones": 1, "twos": 2}, lasts={"at": 1}).withColumn("since", F.col("_o") - F.col("at") - 1)
+        assert {(x["k"], x["i"]): (x["c"], x["state"], x["ones"], x["twos"], x["since"]) for x in got.collect()} == want
+
+
+def test_grammar_numbers_its_tokens_once(spark, monkeypatch):
+    numbered, plain_blocks = [], runs.in_blocks
+    monkeypatch.setattr(runs, "in_blocks", lambda df, *a, **k: numbered.append(df.count()) or plain_blocks(df, *a, **k))
+    tokens = spark.createDataFrame([(1, p, t) for p, t in enumerate([START, None, START, 10, START])], "id long, pos long, token long")
+    got = runs.grammar(tokens, "id", **SPEC | {"tags": [[START, 10]]}).orderBy("pos").collect()
+    assert [x["expected"] for x in got] == ["text", "height", "width", "any", "any"] and numbered == [5]
+
+
+def test_numbering_joins_no_rows(spark):
+    plan = runs.in_blocks(spark.range(50).withColumn("k", F.col("id") % 3), "k", ["id"])._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() == 1
